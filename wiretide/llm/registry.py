@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from wiretide.llm import simhash
+from wiretide.llm import bpe, simhash
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
+    "op5_byte_bpe": bpe.op5_byte_bpe,
 }
 
 ORACLE: dict[str, str] = {}
