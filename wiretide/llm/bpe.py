@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import unicodedata
 from collections.abc import Iterator
@@ -242,20 +243,22 @@ class Codec:
         return b"".join(map(self.words.__getitem__, ids))
 
 
-_codecs: dict[int, Codec] = {}
-
-
-def _codec(shared) -> Codec:
-    """One codec a worker and vocabulary."""
-    if shared.id not in _codecs:
-        _codecs[shared.id] = Codec(shared.value)
-    return _codecs[shared.id]
+_codecs: dict[str, Codec] = {}
 
 
 def _vocabulary(spark, path: str):
-    """The vocabulary file is some MB and doesn't grow with the data; executors get it by broadcast and need no such path."""
+    """A function that gives a worker its codec. The vocabulary file is some MB and doesn't grow with the data; executors get
+    it by broadcast and need no such path."""
     with open(path, "rb") as f:
-        return spark.sparkContext.broadcast(f.read())
+        data = f.read()
+    shared, key = spark.sparkContext.broadcast(data), hashlib.sha256(data).hexdigest()
+
+    def codec() -> Codec:
+        if key not in _codecs:
+            _codecs[key] = Codec(shared.value)
+        return _codecs[key]
+
+    return codec
 
 
 def _portions(texts: list[str], most: int = 2_000_000) -> Iterator[list[str]]:
@@ -277,11 +280,11 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     A null or empty text has no ids. Repeated rows and null ids come out as they go in; other columns are not read. Special
     tokens are ordinary text. Bytes that aren't UTF-8 count as U+FFFD. A text of any length is encoded whole.
     """
-    shared = _vocabulary(session_of(docs), path)
+    codec_of = _vocabulary(session_of(docs), path)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared)
+        codec = codec_of()
         for batch in batches:
             at = 0
             for texts in _portions([b.decode("utf-8", "replace") for b in batch.column(1).to_pylist()]):
@@ -303,11 +306,11 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(doc_id, ids, decoded binary): the bytes that the ids stand for. Null ids count as none; an id that the vocabulary lacks is an error."""
-    shared = _vocabulary(session_of(encoded), path)
+    codec_of = _vocabulary(session_of(encoded), path)
     kind = encoded.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared)
+        codec = codec_of()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([codec.decode(x.as_py() or []) for x in batch.column(1)], pa.binary())], names=["doc_id", "ids", "decoded"])
 
