@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from wiretide.llm import bpe, langid, secrets, simhash
+from wiretide.llm import bpe, langid, quality, secrets, simhash
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
+    "op3_quality_rules": quality.op3_quality_rules,
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op6_secret_scan": secrets.op6_secret_scan,
     "op10_language_id": langid.op10_language_id,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_quality_rules": quality.ORACLE_OP3,
+}

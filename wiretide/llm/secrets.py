@@ -59,6 +59,12 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return out + [(m.start(), "hex", m.end()) for m in HEX.finditer(text)]
 
 
+def mixed(candidate: str) -> bool:
+    """Digits with letters of both cases, or 32 characters and more of digits and letters."""
+    digits, low, up = (re.search(c, candidate) is not None for c in ("[0-9]", "[a-z]", "[A-Z]"))
+    return digits and (low and up or (low or up) and len(candidate) >= 32)
+
+
 def novel_spans(text: str, taken: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
     """Strings after a context word that mix letters and digits, touch no span taken, and don't compress against what surrounds them."""
     low = text.lower()
@@ -71,7 +77,7 @@ def novel_spans(text: str, taken: list[tuple[int, str, int]]) -> list[tuple[int,
                 break
             done = m.end()
             found = m.group()
-            if not (re.search("[0-9]", found) and re.search("[A-Za-z]", found)) or any(a < m.end() and m.start() < b for a, _, b in taken):
+            if not mixed(found) or any(a < m.end() and m.start() < b for a, _, b in taken):
                 continue
             if novelty(found, text[max(0, m.start() - AROUND) : m.start()] + text[m.end() : m.end() + AROUND]) >= NOVEL:
                 out.append((m.start(), "novel", m.end()))
