@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from wiretide.llm import bpe, langid, quality, secrets, simhash
+from wiretide.llm import bpe, chat, langid, linededup, quality, secrets, simhash
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
     "op3_quality_rules": quality.op3_quality_rules,
+    "op4_chat_formatting": chat.op4_chat_formatting,
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op6_secret_scan": secrets.op6_secret_scan,
+    "op8_line_dedup": linededup.op8_line_dedup,
     "op10_language_id": langid.op10_language_id,
 }
 
 ORACLE: dict[str, str] = {
     "op3_quality_rules": quality.ORACLE_OP3,
+    "op4_chat_formatting": chat.ORACLE_OP4,
+    "op8_line_dedup": linededup.ORACLE_OP8,
 }
