@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wiretide.llm import bpe, chat, langid, linededup, quality, secrets, simhash
+from wiretide.llm import bpe, chat, decontam, langid, linededup, quality, secrets, simhash
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op6_secret_scan": secrets.op6_secret_scan,
+    "op7_benchmark_decontamination": decontam.op7_benchmark_decontamination,
     "op8_line_dedup": linededup.op8_line_dedup,
     "op10_language_id": langid.op10_language_id,
 }
@@ -17,5 +18,6 @@ QUERIES = {
 ORACLE: dict[str, str] = {
     "op3_quality_rules": quality.ORACLE_OP3,
     "op4_chat_formatting": chat.ORACLE_OP4,
+    "op7_benchmark_decontamination": decontam.ORACLE_OP7,
     "op8_line_dedup": linededup.ORACLE_OP8,
 }
