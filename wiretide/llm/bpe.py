@@ -30,7 +30,7 @@ BLOCK = 64
 #: Bytes from which a slice's pairs go into a heap.
 LONG = 80
 #: Slices that a worker remembers.
-CACHED = 400_000
+CACHED = 300_000
 _STOP = 0x110000
 
 
@@ -261,7 +261,7 @@ def _vocabulary(spark, path: str):
     return codec
 
 
-def _portions(texts: list[str], most: int = 2_000_000) -> Iterator[list[str]]:
+def _portions(texts: list[str], most: int = 1_000_000) -> Iterator[list[str]]:
     portion, size = [], 0
     for t in texts:
         if portion and size + len(t) > most:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from wiretide.llm import bpe, chat, decontam, langid, linededup, quality, secrets, simhash
+from wiretide.llm import bpe, chat, decontam, langid, linededup, quality, secrets, simhash, substring
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
+    "op2_substring_dedup": substring.op2_substring_dedup,
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op5_byte_bpe": bpe.op5_byte_bpe,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op2_substring_dedup": substring.ORACLE_OP2,
     "op3_quality_rules": quality.ORACLE_OP3,
     "op4_chat_formatting": chat.ORACLE_OP4,
     "op7_benchmark_decontamination": decontam.ORACLE_OP7,
