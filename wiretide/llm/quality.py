@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wiretide.llm.common import WS, cut
+from wiretide.llm.common import WS, cut, row_key
 
 #: Rules: a document is rejected if the value is above the cutoff. Values are per word or per line, from the counts below.
 RULES = {
@@ -112,6 +112,13 @@ def choose_cutoffs(labelled: DataFrame, stratum: str = "stratum", good: str = "g
     return best.groupBy(stratum).agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
 
 
+def select_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
+    """docs, all columns, without the rows that judge() rejects. Rows that agree in id and text have the same verdict."""
+    good = _judged(docs, labels, id_col, text_col, stratum_col).where("kept").select(F.col("doc_id").alias("_wt_id"), F.col("_key").alias("_wt_good")).distinct()
+    rows = docs.withColumn("_wt_key", row_key(id_col, text_col))
+    return rows.join(good, (rows["_wt_key"] == good["_wt_good"]) & rows[id_col].eqNullSafe(good["_wt_id"]), "left_semi").drop("_wt_key")
+
+
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed, kept) for every row of docs.
 
@@ -123,15 +130,20 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     The counts are made once, from one pass over the texts, and written to the checkpoint folder: learning and judging then
     read about 60 bytes a document. At most strata x rules cutoffs are joined back.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("\x00none")).alias("stratum"), F.col(text_col).alias("_body"))
-    counts = cut(text_counts(rows, "_body", ("doc_id", "stratum")))
+    return _judged(docs, labels, id_col, text_col, stratum_col, risk, delta).drop("_key")
+
+
+def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, stratum_col: str, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """What judge() returns, with the row's key."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("\x00none")).alias("stratum"), row_key(id_col, text_col).alias("_key"), F.col(text_col).alias("_body"))
+    counts = cut(text_counts(rows, "_body", ("doc_id", "stratum", "_key")))
     known = labels.select(F.col(id_col).alias("doc_id"), (F.col("quality") == 1).alias("good"))
     cutoffs = choose_cutoffs(counts.join(known, "doc_id").where(~base_failed()), risk=risk, delta=delta)
     above = F.lit(False)
     for rule, value in RULES.items():
         above = above | F.coalesce(F.expr(value) > F.col("cutoffs")[rule], F.lit(False))
     judged = counts.join(cutoffs, "stratum", "left")
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & ~above).alias("kept"))
+    return judged.select("doc_id", "_key", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & ~above).alias("kept"))
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:

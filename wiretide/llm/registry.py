@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wiretide.llm import bpe, chat, decontam, langid, linededup, quality, secrets, simhash, substring
+from wiretide.llm import boilerplate, bpe, chat, decontam, langid, linededup, quality, secrets, simhash, substring
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_secret_scan": secrets.op6_secret_scan,
     "op7_benchmark_decontamination": decontam.op7_benchmark_decontamination,
     "op8_line_dedup": linededup.op8_line_dedup,
+    "op9_html_extraction": boilerplate.op9_html_extraction,
     "op10_language_id": langid.op10_language_id,
 }
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from wiretide.llm.common import as_bytes, cut, partitions, session_of
+from wiretide.llm.common import as_bytes, cut, partitions, row_key, session_of
 from wiretide.llm.components import connected_components
 
 #: Fingerprints in a block of the comparison grid, at most: 8 MB.
@@ -166,6 +166,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, width: int = 4) -> DataFrame:
+    """docs, all columns, with one row of each component of near_duplicates(): that of the smallest id (null first), of several with it one."""
+    key = F.struct(F.col(id_col).alias("a"), row_key(id_col, text_col).alias("b"))
+    keyed = docs.select(key.alias("_key"), F.col(text_col).alias("_text"))
+    first = near_duplicates(keyed, "_key", "_text", radius, width).select(F.col("component_id.a").alias("_wt_a"), F.col("component_id.b").alias("_wt_b")).distinct()
+    rows = docs.withColumn("_wt_key", row_key(id_col, text_col))
+    kept = rows.join(first, (rows["_wt_key"] == first["_wt_b"]) & rows[id_col].eqNullSafe(first["_wt_a"]), "left_semi")
+    return kept.dropDuplicates(["_wt_key", id_col]).drop("_wt_key")
+
+
 def op1_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     from wiretide.llm.common import table
 
