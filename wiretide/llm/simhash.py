@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _tiles(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Fingerprints in an order that keeps population counts together; per tile the least and largest counts of the whole and of its quarters."""
-    quarters = np.bitwise_count(fps.view(np.uint16).reshape(-1, 4)).astype(np.int16)
+    quarters = np.bitwise_count(np.ascontiguousarray(fps).view(np.uint16).reshape(-1, 4)).astype(np.int16)
     whole = quarters.sum(axis=1, dtype=np.int16)
     order = np.lexsort((quarters[:, 2], quarters[:, 1], quarters[:, 0], whole))
     counts = np.column_stack((whole, quarters))[order]
