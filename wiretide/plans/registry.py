@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from wiretide.plans import basics
+from wiretide.plans import basics, relational
 
-MODULES = (basics,)
+MODULES = (basics, relational)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
