@@ -22,6 +22,8 @@ CUTOFFS = {
 }
 #: Share of good documents of a stratum that all rules together may reject, and the probability that this fails anywhere.
 RISK, DELTA = 0.05, 0.05
+#: Strata up to which the cutoffs are broadcast, 200 bytes each; more are joined by a shuffle.
+STRATA = 10_000
 #: A cutoff is of use if it rejects this share of the bad documents, and so many times the share of the good ones.
 GAIN, LIFT = 0.02, 10.0
 
@@ -138,7 +140,9 @@ def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, stra
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("\x00none")).alias("stratum"), row_key(id_col, text_col).alias("_key"), F.col(text_col).alias("_body"))
     counts = cut(text_counts(rows, "_body", ("doc_id", "stratum", "_key")))
     known = labels.select(F.col(id_col).alias("doc_id"), (F.col("quality") == 1).alias("good"))
-    cutoffs = choose_cutoffs(counts.join(known, "doc_id").where(~base_failed()), risk=risk, delta=delta)
+    cutoffs = cut(choose_cutoffs(counts.join(known, "doc_id").where(~base_failed()), risk=risk, delta=delta))
+    if cutoffs.limit(STRATA + 1).count() <= STRATA:
+        cutoffs = F.broadcast(cutoffs)
     above = F.lit(False)
     for rule, value in RULES.items():
         above = above | F.coalesce(F.expr(value) > F.col("cutoffs")[rule], F.lit(False))
