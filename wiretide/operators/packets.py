@@ -20,7 +20,8 @@ def packets_to_flows(packets: DataFrame, sensor_id: str = "capture", ipv6: bool
     key = canonical_flow_key(*[F.col(c) for c in ("src_ip", "src_port", "dst_ip", "dst_port", "protocol")], ipv6=ipv6)
     keyed = packets.withColumn("_key", key)
     order = Window.partitionBy("_key").orderBy("ts", "seq")
-    iat = F.greatest((F.col("ts") - F.lag("ts").over(order)) * 1000, F.lit(0.0))
+    gap = (F.col("ts") - F.lag("ts").over(order)) * 1000
+    iat = F.when(gap.isNotNull(), F.greatest(gap, F.lit(0.0)))  # the first packet has none
     own = F.struct(F.col("src_ip").alias("src_ip"), F.col("src_port").alias("src_port"), F.col("dst_ip").alias("dst_ip"), F.col("dst_port").alias("dst_port"))
     tcp = F.upper("protocol") == "TCP"
     flag = lambda bit: F.coalesce(F.col("tcp_flags"), F.lit(0)).bitwiseAND(bit) != 0

@@ -42,10 +42,11 @@ def temporal_features(flows: DataFrame, window_s: float = 60.0, short_s: float =
         "event_id", *keep, "_me", (F.col("ts_us") < F.col("_wm")).alias("_late"), "_wm",
         F.array_sort(F.filter("_all", lambda r: r["seq"] <= F.col("_me.seq"))).alias("_cut"),
     )
-    capped = at.withColumn("_cut", F.when(F.size("_cut") > most, F.slice("_cut", F.size("_cut") - (most - 1), F.lit(most))).otherwise(F.col("_cut")))
-    sets = capped.select(
-        "event_id", *keep, "_me", "_late", "_wm", F.filter("_cut", lambda r: r["ts"] >= F.col("_wm") - window).alias("_active"),
-    ).select("*", F.filter("_active", lambda r: r["seq"] < F.col("_me.seq")).alias("_prior"), F.filter("_active", lambda r: r["ts"] >= F.col("_wm") - short).alias("_short"))
+    last = lambda rows: F.when(F.size(rows) > most, F.slice(rows, F.size(rows) - (most - 1), F.lit(most))).otherwise(rows)
+    recent = lambda rows: F.filter(rows, lambda r: r["ts"] >= F.col("_wm") - window)
+    before = at.withColumn("_was", F.filter("_cut", lambda r: r["seq"] < F.col("_me.seq")))
+    sets = before.select("event_id", *keep, "_me", "_late", "_wm", recent(last(F.col("_cut"))).alias("_active"), recent(last(F.col("_was"))).alias("_prior"))
+    sets = sets.withColumn("_short", F.filter("_active", lambda r: r["ts"] >= F.col("_wm") - short))
     distinct = lambda c, f: F.size(F.array_distinct(F.transform(c, lambda r: r[f])))
     n, p = F.size("_active"), F.size("_prior")
     shared = lambda f: F.size(F.filter("_prior", lambda r: r[f] == F.col("_me")[f]))

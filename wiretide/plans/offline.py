@@ -71,7 +71,7 @@ def _packets(spark, d):
 
 
 @query("e4_packets_to_flows", f"""WITH {FLOW}, p AS (SELECT ts_us / 1e6::DOUBLE AS ts, n, n % 2 = 1 AS back, k % 1400 + 60 AS size, '10.0.0.' || (k % 9 + 1) AS c, 50000 + k % 3 AS cp, CASE WHEN k % 2 = 0 THEN 80 ELSE 9000 END AS sp FROM flow),
-i AS (SELECT *, greatest((ts - lag(ts) OVER w) * 1000, 0) AS iat, first_value(back) OVER w AS first_back FROM p WINDOW w AS (PARTITION BY c, cp, sp ORDER BY ts, n)),
+i AS (SELECT *, CASE WHEN lag(ts) OVER w IS NOT NULL THEN greatest((ts - lag(ts) OVER w) * 1000, 0) END AS iat, first_value(back) OVER w AS first_back FROM p WINDOW w AS (PARTITION BY c, cp, sp ORDER BY ts, n)),
 d AS (SELECT *, CASE WHEN sp = 80 THEN back ELSE back <> first_back END AS rev, CASE WHEN sp = 80 THEN false ELSE first_back END AS turned FROM i)
 SELECT CASE WHEN any_value(turned) THEN '10.0.1.1' ELSE c END AS src_ip, CASE WHEN any_value(turned) THEN sp ELSE cp END AS src_port, count(*) FILTER (NOT rev) AS packets_forward, count(*) FILTER (rev) AS packets_reverse, coalesce(sum(size) FILTER (NOT rev), 0)::BIGINT AS bytes_forward, coalesce(sum(size) FILTER (rev), 0)::BIGINT AS bytes_reverse,
   round(avg(size), 6) AS packet_length_mean, round(stddev_pop(size), 6) AS packet_length_std, round(coalesce(max(iat), 0), 3) AS iat_max, round(coalesce(avg(iat), 0), 3) AS iat_mean FROM d GROUP BY c, cp, sp""")
