@@ -59,7 +59,15 @@ def envelope(i, port=80):
     return json.dumps({"flow": flow | {"known_p": 0.9, "confidence": 0.9, "iso_s": 0.1, "rec_s": 0.1, "contextual_score": 0.0, "arrival": i}, "odd": 1})
 
 
-def test_detection_stream_is_idempotent_and_quarantines(spark, tmp_path):
+@pytest.fixture
+def compiled(spark):
+    """Scoring chains are long: interpreted, their shared parts would be worked out again and again."""
+    spark.conf.set("spark.sql.codegen.wholeStage", "true")
+    yield
+    spark.conf.set("spark.sql.codegen.wholeStage", "false")
+
+
+def test_detection_stream_is_idempotent_and_quarantines(spark, tmp_path, compiled):
     source = tmp_path / "in"
     source.mkdir()
     (source / "a.txt").write_text("\n".join([envelope(1), envelope(2), envelope(1), envelope(3, 70_000), "{broken"]))
