@@ -102,4 +102,4 @@ def test_sources(spark, tmp_path):
     lines = spark.createDataFrame([('{"event":"detection_batch_persisted","published_count":3}',), ("plain",), ('{"event":"other","published_count":9}',)], "value string")
     assert readers.read_ops_logs(lines).first()["published"] == 3
     sinks.write_csv(sinks.export_rows(spark.createDataFrame([("=x", "10.0.0.1", 5)], "event_id string, src_ip string, secret int"), salt=b"k"), str(tmp_path / "out"))
-    assert "secret" not in (text := next((tmp_path / "out").glob("*.csv")).read_text()) and "'=x" in text and "10.0.0.1" not in text
+    assert "secret" not in (text := "".join(f.read_text() for f in (tmp_path / "out").glob("*.csv"))) and "'=x" in text and "10.0.0.1" not in text

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from wiretide.plans import basics, offline, relational
+from wiretide.plans import basics, experiments, offline, relational
 
-MODULES = (basics, relational, offline)
+MODULES = (basics, relational, offline, experiments)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
