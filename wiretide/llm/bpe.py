@@ -6,8 +6,8 @@ import base64
 import hashlib
 import heapq
 import unicodedata
-from collections.abc import Iterator
-from functools import cache
+from collections.abc import Iterable, Iterator
+from functools import cache, cached_property
 from itertools import chain
 
 import numpy as np
@@ -191,9 +191,13 @@ class Codec:
         self.words: dict[int, bytes] = {i: w for w, i in self.ranks.items()}
         self.sizes = np.zeros(max(self.words, default=0) + 1, np.int64)
         self.sizes[list(self.words)] = [len(w) for w in self.words.values()]
-        self.merger = Merger(self.ranks)
         self.cache: dict[str, tuple[int, ...]] = {}
 
+    @cached_property
+    def merger(self) -> Merger:
+        """Only a worker that encodes has need of it."""
+        return Merger(self.ranks)
+
     def _learn(self, pieces: set[str]) -> None:
         """Puts the ids of slices into the cache."""
         if len(self.cache) + len(pieces) > CACHED:
@@ -261,7 +265,7 @@ def _vocabulary(spark, path: str):
     return codec
 
 
-def _portions(texts: list[str], most: int = 1_000_000) -> Iterator[list[str]]:
+def _portions(texts: Iterable[str], most: int = 1_000_000) -> Iterator[list[str]]:
     portion, size = [], 0
     for t in texts:
         if portion and size + len(t) > most:
@@ -287,7 +291,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         codec = codec_of()
         for batch in batches:
             at = 0
-            for texts in _portions([b.decode("utf-8", "replace") for b in batch.column(1).to_pylist()]):
+            for texts in _portions(b.as_py().decode("utf-8", "replace") for b in batch.column(1)):
                 ids = codec.encode_all(texts)
                 flat = np.concatenate(ids)
                 ends = np.cumsum([0, *map(len, ids)])
@@ -312,7 +316,9 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([codec.decode(x.as_py() or []) for x in batch.column(1)], pa.binary())], names=["doc_id", "ids", "decoded"])
+            for at in range(0, batch.num_rows, 200):
+                some = batch.slice(at, 200)
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array([codec.decode(x.as_py() or []) for x in some.column(1)], pa.binary())], names=["doc_id", "ids", "decoded"])
 
     return encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded binary")
 
