@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import random
 
 import pytest
 
@@ -59,3 +60,37 @@ def test_stages_return_the_columns_of_documents(spark):
         out = stage(spark, docs, DATA)
         assert out.columns == docs.columns
         docs = out
+
+
+def test_near_dedup_stage_against_jaccard_brute_force(spark):
+    rng = random.Random(11)
+    new = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+    def edited(w, k):
+        w = list(w)
+        for i in rng.sample(range(len(w)), k):
+            w[i] = f"e{rng.randrange(10**6)}"
+        return w
+
+    base = [new(rng.randrange(60, 400)) for _ in range(40)]
+    texts = [" ".join(w) for w in base] + [" ".join(edited(w, k)) for w in base for k in (1, max(1, len(w) // 60), len(w) // 40, len(w) // 25)]
+    texts += [texts[0].upper(), texts[1], "", "  ", None, "one two", "one  two", "one two three"]
+    docs = [(i, t) for i, t in enumerate(texts)] + [(1, texts[1]), (None, texts[2])]
+
+    def shingles(t):
+        w = split((t or "").lower())
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets, label = [shingles(t) for _, t in docs], list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            if label[i] != label[j] and (n := len(sets[i] & sets[j])) >= 0.8 * (len(sets[i]) + len(sets[j]) - n) - 1e-9:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    least = {}
+    for (d, _), x in zip(docs, label):
+        least[x] = min(least.get(x, (True, 10**9)), (d is not None, d or 0))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, frame, DATA).collect()]
+    assert sorted((d is not None, d or 0) for d in got) == sorted(least.values())
+    assert corpus_pipeline.near_dedup(spark, frame.limit(0), DATA).count() == 0

@@ -17,6 +17,11 @@ from wiretide.llm.components import connected_components
 BLOCK = 1_000_000
 #: Fingerprints in a tile: the tile product fits the processor's cache.
 TILE = 256
+#: Similar documents: the words of a shingle, the least Jaccard similarity of their shingle sets, and the bits by which fingerprints
+#: may differ. Such pairs of sf0.1 differ in 14 bits at most; at a similarity of 0.8 about 10 are expected, with a deviation of 3.
+SIMILAR_WIDTH, SIMILAR_SHARE, SIMILAR_RADIUS = 5, 0.8, 18
+#: Classes of shingle hashes that are counted per document, and pairs that a cell holds before it thins them.
+CLASSES, PAIRS = 64, 2_000_000
 
 
 def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
@@ -106,13 +111,8 @@ def links(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.n
     return every[low], every[top[low]]
 
 
-def near_links(fps: DataFrame, radius: int = 4) -> DataFrame:
-    """(u, v): links between the distinct fingerprints of column fp, enough to connect all that differ in at most radius bits.
-
-    Blocks of at most BLOCK fingerprints, in the order of their population counts, form a grid; each cell of two blocks whose
-    counts come within the radius is one group, compared tile by tile. Each fingerprint goes to as many cells as there are
-    such blocks. The 65 counts of population counts are all that comes to the driver.
-    """
+def _dealt(fps: DataFrame, radius: int) -> DataFrame:
+    """fps, all columns, with block and other: the grid of near_links(), a row for each block that its own comes within the radius of."""
     spark = session_of(fps)
     ones = F.bit_count("fp").cast("int")
     sizes = {r["ones"]: r["count"] for r in fps.groupBy(ones.alias("ones")).count().collect()}
@@ -132,7 +132,17 @@ def near_links(fps: DataFrame, radius: int = 4) -> DataFrame:
     reach = [[j for j in range(len(low)) if low[j] - high[i] <= radius and low[i] - high[j] <= radius] for i in range(len(low))]
     pick = lambda xs, at: F.element_at(F.array(*map(F.lit, xs)), at + 1)
     block = pick(first, ones) + F.pmod(F.xxhash64("fp"), pick(parts, ones)).cast("int")
-    dealt = fps.select("fp", block.alias("block")).select("fp", "block", F.explode(F.sequence(pick([r[0] for r in reach], F.col("block")), pick([r[-1] for r in reach], F.col("block")))).alias("other"))
+    return fps.withColumn("block", block).select("*", F.explode(F.sequence(pick([r[0] for r in reach], F.col("block")), pick([r[-1] for r in reach], F.col("block")))).alias("other"))
+
+
+def near_links(fps: DataFrame, radius: int = 4) -> DataFrame:
+    """(u, v): links between the distinct fingerprints of column fp, enough to connect all that differ in at most radius bits.
+
+    Blocks of at most BLOCK fingerprints, in the order of their population counts, form a grid; each cell of two blocks whose
+    counts come within the radius is one group, compared tile by tile. Each fingerprint goes to as many cells as there are
+    such blocks. The 65 counts of population counts are all that comes to the driver.
+    """
+    dealt = _dealt(fps.select("fp"), radius)
 
     def cell(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         fp, mine = rows["fp"].to_numpy().view(np.uint64), rows["block"].to_numpy()
@@ -166,16 +176,185 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, width: int = 4) -> DataFrame:
-    """docs, all columns, with one row of each component of near_duplicates(): that of the smallest id (null first), of several with it one."""
-    key = F.struct(F.col(id_col).alias("a"), row_key(id_col, text_col).alias("b"))
-    keyed = docs.select(key.alias("_key"), F.col(text_col).alias("_text"))
-    first = near_duplicates(keyed, "_key", "_text", radius, width).select(F.col("component_id.a").alias("_wt_a"), F.col("component_id.b").alias("_wt_b")).distinct()
+def shingle_hashes(text: bytes, width: int = SIMILAR_WIDTH, seed: int = 42) -> np.ndarray:
+    """The distinct shingle hashes of a text in order, of the shingles that fingerprint() counts; no words are one empty shingle."""
+    words = text.lower().split()
+    joined = b" ".join(words)
+    if len(words) <= width:
+        return np.array([xxhash.xxh64_intdigest(joined, seed)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    n = len(words) - width + 1
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[width - 1 :].tolist())), np.uint64, n))
+
+
+def _set_rows(docs: DataFrame, width: int) -> DataFrame:
+    """(key, node, fp, n, counts) of every row of (_key, _text): the digest and size of its shingle set, its fingerprint, and how
+    many of the set are in each of CLASSES classes (a byte each, 255 for that many or more)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, fps, sizes, counts = [], [], [], []
+            for x in batch.column(1):
+                text = x.as_py()
+                own = shingle_hashes(text, width)
+                nodes.append(xxhash.xxh64_intdigest(own.tobytes()))
+                fps.append(fingerprint(text, width))
+                sizes.append(len(own))
+                counts.append(np.minimum(np.bincount((own % np.uint64(CLASSES)).astype(np.int64), minlength=CLASSES), 255).astype(np.uint8).tobytes())
+            longs = [pa.array(np.array(v, np.uint64).view(np.int64)) for v in (nodes, fps)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *longs, pa.array(sizes, pa.int64()), pa.array(counts, pa.binary())], names=["key", "node", "fp", "n", "counts"])
+
+    kind = docs.schema["_key"].dataType.simpleString()
+    return docs.select("_key", as_bytes("_text").alias("_text")).mapInArrow(run, f"key {kind}, node long, fp long, n long, counts binary")
+
+
+def _tree(a: np.ndarray, b: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """Which of the edges make a minimum spanning forest of 0..n-1."""
+    forest, kept = _Forest(n), []
+    for w in np.unique(weight):
+        at = np.flatnonzero(weight == w)
+        while at.size:
+            x, y = forest.roots(a[at]), forest.roots(b[at])
+            apart = x != y
+            at, low, high = at[apart], np.minimum(x, y)[apart], np.maximum(x, y)[apart]
+            _, first = np.unique(high, return_index=True)
+            kept.append(at[first])
+            forest.up[high[first]] = low[first]
+    return np.concatenate(kept) if kept else np.zeros(0, np.int64)
+
+
+def _candidates(left: dict, right: dict | None, radius: int, share: float, thin: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places, in left and right, of the pairs of other labels whose fingerprints differ in at most radius bits and whose sizes and
+    class counts allow the share: no more than the sum of the lesser counts can be common. thin leaves a minimum spanning forest."""
+    other = left if right is None else right
+    shift = 0 if right is None else len(left["fp"])
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    held = 0
+
+    def thinned() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x, y, d = (np.concatenate(v) for v in zip(*found))
+        at = _tree(x, y + shift, d, shift + len(other["fp"]))
+        return x[at], y[at], d[at]
+
+    for i in range(0, len(left["fp"]), TILE):
+        for j in range(i if right is None else 0, len(other["fp"]), 16 * TILE):
+            bits = np.bitwise_count(left["fp"][i : i + TILE, None] ^ other["fp"][None, j : j + 16 * TILE])
+            x, y = np.nonzero(bits <= radius)
+            d = bits[x, y]
+            x, y = x + i, y + j
+            n, m = left["n"][x], other["n"][y]
+            fits = (np.minimum(n, m) >= share * np.maximum(n, m) - 1e-9) & (left["label"][x] != other["label"][y])
+            if right is None:
+                fits &= x < y
+            x, y, d, n, m = (v[fits] for v in (x, y, d, n, m))
+            for k in range(0, len(x), 1 << 16):
+                one = slice(k, k + (1 << 16))
+                least = np.minimum(left["counts"][x[one]], other["counts"][y[one]])
+                common = least.sum(axis=1, dtype=np.int64)
+                may = (common >= share * (n[one] + m[one] - common) - 1e-9) | (least == 255).any(axis=1)
+                if may.any():
+                    found.append((x[one][may], y[one][may], d[one][may]))
+                    held += int(may.sum())
+            if thin and held > PAIRS:
+                found = [thinned()]
+                held = len(found[0][0])
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    x, y, _ = thinned() if thin else (np.concatenate(v) for v in zip(*found))
+    return x, y
+
+
+def candidate_pairs(nodes: DataFrame, radius: int, share: float, thin: bool) -> DataFrame:
+    """(u, v): the pairs of (node, fp, n, counts, label) that _candidates() leaves, cell by cell of the grid of near_links()."""
+
+    def cell(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        def side(block: int) -> dict:
+            own = rows[rows["block"] == block]
+            counts = np.frombuffer(b"".join(own["counts"]), np.uint8).reshape(-1, CLASSES)
+            return {"fp": own["fp"].to_numpy().view(np.uint64), "counts": counts} | {c: own[c].to_numpy() for c in ("node", "n", "label")}
+
+        left, right = side(key[0]), None if key[0] == key[1] else side(key[1])
+        x, y = _candidates(left, right, radius, share, thin)
+        return pd.DataFrame({"u": left["node"][x], "v": (left if right is None else right)["node"][y]})
+
+    return _dealt(nodes, radius).groupBy(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).applyInPandas(cell, "u long, v long")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, share: float) -> DataFrame:
+    """The pairs (u, v) whose shingle sets, made of the texts (node, text), have the share as Jaccard similarity or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            last, keep = (None, None), []
+            for u, a, b in zip(batch.column("u").to_pylist(), batch.column("a"), batch.column("b")):
+                if last[0] != u:
+                    last = u, shingle_hashes(a.as_py(), width)
+                one, two = last[1], shingle_hashes(b.as_py(), width)
+                common = np.intersect1d(one, two, assume_unique=True).size
+                keep.append(common >= share * (len(one) + len(two) - common) - 1e-9)
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    own = lambda end, name: texts.select(F.col("node").alias(end), F.col("text").alias(name))
+    return pairs.join(own("v", "b"), "v").join(own("u", "a"), "u").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def similar_links(docs: DataFrame, found: DataFrame, radius: int, width: int, share: float) -> DataFrame:
+    """(u, v): links between the shingle sets of found, _set_rows(docs), enough to connect all pairs that differ in at most radius
+    bits and have the share as Jaccard similarity or more; each is verified by the exact similarity.
+
+    Candidates are thinned to a spanning forest of each cell first, so that a group of near copies is verified in about as many
+    pairs as it has members. Then every candidate pair that the verified ones don't connect is verified, none left out.
+    """
+    nodes = cut(found.groupBy("node").agg(F.min("key").alias("key"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("counts").alias("counts")))
+    of = docs.select(F.col("_key").alias("key"), as_bytes("_text").alias("text"))
+
+    def verified(labelled: DataFrame, thin: bool) -> DataFrame:
+        pairs = cut(candidate_pairs(labelled, radius, share, thin).distinct())
+        wanted = nodes.join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi").select("node", "key")
+        return cut(_verified(pairs, of.join(wanted, "key").groupBy("node").agg(F.first("text").alias("text")), width, share))
+
+    plain = nodes.select("node", "fp", "n", "counts")
+    first = verified(plain.withColumn("label", F.col("node")), True)
+    label = connected_components(first).withColumnRenamed("label", "found")
+    rest = verified(plain.join(label, "node", "left").withColumn("label", F.coalesce("found", "node")).drop("found"), False)
+    return first.unionByName(rest)
+
+
+def _firsts(docs: DataFrame, first: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs whose id and row key are in (_wt_a, _wt_b), one of each."""
     rows = docs.withColumn("_wt_key", row_key(id_col, text_col))
     kept = rows.join(first, (rows["_wt_key"] == first["_wt_b"]) & rows[id_col].eqNullSafe(first["_wt_a"]), "left_semi")
     return kept.dropDuplicates(["_wt_key", id_col]).drop("_wt_key")
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    key = F.struct(F.col(id_col).alias("a"), row_key(id_col, text_col).alias("b"))
+    return docs.select(key.alias("_key"), F.col(text_col).alias("_text"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, width: int = 4) -> DataFrame:
+    """docs, all columns, with one row of each component of near_duplicates(): that of the smallest id (null first), of several with it one."""
+    first = near_duplicates(_keyed(docs, id_col, text_col), "_key", "_text", radius, width).select(F.col("component_id.a").alias("_wt_a"), F.col("component_id.b").alias("_wt_b")).distinct()
+    return _firsts(docs, first, id_col, text_col)
+
+
+def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = SIMILAR_RADIUS, width: int = SIMILAR_WIDTH, share: float = SIMILAR_SHARE) -> DataFrame:
+    """docs, all columns, with one row of each group that chains of documents with the share as exact Jaccard similarity or more
+    connect: that of the smallest id (null first), of several with it one.
+
+    Candidates are the pairs whose fingerprints differ in at most radius bits, compared tile by tile as in near_duplicates().
+    Equal shingle sets are one node. Texts of fewer words than a shingle are one shingle; null and blank ones are alike.
+    """
+    keyed = _keyed(docs, id_col, text_col)
+    found = cut(_set_rows(keyed, width))
+    label = connected_components(similar_links(keyed, found, radius, width, share)).withColumnRenamed("node", "_node")
+    nodes = found.groupBy("node").agg(F.min("key").alias("key"))
+    labelled = nodes.join(label, nodes["node"] == label["_node"], "left").select("key", F.coalesce("label", "node").alias("label"))
+    first = labelled.groupBy("label").agg(F.min("key").alias("key")).select(F.col("key.a").alias("_wt_a"), F.col("key.b").alias("_wt_b"))
+    return _firsts(docs, first, id_col, text_col)
+
+
 def op1_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     from wiretide.llm.common import table
 
