@@ -72,3 +72,15 @@ def test_times(spark):
 ])
 def test_attack_stage(spark, reason, name, verdict, want):
     assert one(spark, x.attack_stage(F.array(F.lit(reason)), F.lit(name), F.lit(""), F.lit(verdict))) == want
+
+
+def test_csv_safe_query_covers_whole_texts(spark, tmp_path):
+    import hashlib
+
+    from wiretide.plans import basics
+
+    text = "a" * 300 + "\t\n b\x1f " + "c" * 300
+    spark.createDataFrame([(0, text), (1, text), (2, text), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    cell = "a" * 300 + " b " + "c" * 300
+    got = {r["doc_id"]: r["digest"] for r in basics.QUERIES["x8_csv_safe_whole"](spark, str(tmp_path)).collect()}
+    assert got == {i: hashlib.sha256(v.encode()).hexdigest() for i, v in enumerate(["'=" + cell, "'@" + cell, cell, ""])}

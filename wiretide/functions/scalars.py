@@ -160,7 +160,7 @@ def hash_private(text: Column) -> Column:
 
 # Text ---------------------------------------------------------------------------------------------
 
-_SPACE = r"[\s\u0085\u00A0]+"
+_SPACE = r"[\s\u001C-\u001F\u0085\u00A0]+"
 
 
 def squeeze(text: Column) -> Column:

@@ -82,6 +82,14 @@ def x8(spark, d):
     return read(spark, d, "documents").select("doc_id", x.csv_safe(F.when(m == 0, F.concat(F.lit("="), t)).when(m == 1, F.concat(F.lit("@"), t)).otherwise(t)).alias("cell"))
 
 
+@query("x8_csv_safe_whole", f"""WITH v AS (SELECT doc_id, trim(regexp_replace(CASE doc_id % 5 WHEN 0 THEN '=' || text WHEN 1 THEN '@' || text ELSE text END, '{_WS}', ' ', 'g'), ' ') AS v FROM documents)
+SELECT doc_id, sha256(coalesce(CASE WHEN regexp_matches(v, '^[=+@-]') THEN '''' || v ELSE v END, '')) AS digest FROM v""")
+def x8_whole(spark, d):
+    t, m = F.col("text"), F.col("doc_id") % 5
+    cell = x.csv_safe(F.when(m == 0, F.concat(F.lit("="), t)).when(m == 1, F.concat(F.lit("@"), t)).otherwise(t))
+    return read(spark, d, "documents").select("doc_id", F.sha2(cell.cast("binary"), 256).alias("digest"))
+
+
 @query("x9_redact_log", f"""WITH a AS (SELECT doc_id, regexp_replace(' ' || text || ' client 10.1.2.3 password=hunter2', '[\\x00-\\x1f\\x7f]+', ' ', 'g') AS t FROM documents),
 b AS (SELECT doc_id, regexp_replace(t, '(?i)(authorization|api[_-]?key|password|secret|token)(\\s*[:=]\\s*)([^\\s,;]+)', '\\1\\2[redacted]', 'g') AS t FROM a),
 c AS (SELECT doc_id, regexp_replace(t, '(^|[^\\w:\\d.])(\\d{{1,3}}\\.){{3}}\\d{{1,3}}([^\\w:]|$)', '\\1[ip-redacted]\\3', 'g') AS t FROM b)
