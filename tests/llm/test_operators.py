@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -370,31 +371,99 @@ def test_html_article():
     assert boilerplate.article(boilerplate.blocks(PAGE)) == "A & B\none two three\nfour five\nsix\nseven\neight"
 
 
-def test_html_host_suffix_array(spark):
-    plain = [f"<body><div>Home News Sport Weather Travel Shop Help</div><div>story {i} has its own {i * 7} words here {i}</div><div>All rights reserved by the owner of this</div></body>" for i in range(8)]
-    data = [(i, "http://Host.example/a?b", h) for i, h in enumerate(plain)] + [(100, "https://other.example", PAGE), (101, None, None), (102, "x", ""), (None, "http://host.example/", "<p>lone text of a page"), (100, "https://other.example", PAGE)]
-    frame = spark.createDataFrame(data, "page_id long, url string, html string").withColumn("host", F.lit("clash"))
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body class="right-sidebar"><article><p>its text', '<body class="with-ads"><p>its text', '<article><div aria-hidden="false">its text</div></article>', '<article><div title="a hidden gem">its text</div></article>',
+        '<article><div data-id="comment">its text</div></article>', "<form><article>its text</article></form>", "<form><p>its text</p><input></form>", "<nav><ul><li>Home</ul><article>its text</article>",
+        '<div class="page with-sidebar"><article>its text</article><div class=sidebar>no</div></div>', '<article>its text<section id="comments"><article>no</article></section></article>', '<article><p hidden>no</p><a href="x>y" title=\'a "b" > c\'>its</a> text',
+    ],
+)
+def test_html_layout_does_not_empty_a_page(spark, page):
+    found = boilerplate.blocks(page)
+    own = boilerplate.article(found)
+    assert (own if own is not None else "\n".join(t for t, _, ruled in found if not ruled)) == "its text"
+
+
+def test_html_long_pages_take_linear_time():
+    began = time.process_time()
+    for piece in ("<a ", '<a ="', "<p><b>", "<div>", "</section>", "<!", "&amp;", "<nav>", "word ", "<script "):
+        boilerplate.blocks(piece * 100_000)
+    boilerplate.blocks("<div>" * 50_000 + "</section>" * 50_000)
+    assert time.process_time() - began < 60
+
+
+def host_pages():
+    """Pages of two hosts without articles, with the six-token substrings that at least three distinct pages hold counted one by one."""
+    rng = random.Random(8)
+    menu, foot = [f"m{i}" for i in range(9)], [f"f{i}" for i in range(7)]
+    pages = []
+    for i in range(24):
+        host = "a.example" if i % 3 else "b.example"
+        story = [f"u{rng.randrange(10**6)}" for _ in range(rng.randrange(4, 30))]
+        parts = [menu[: 9 if i % 2 else 4], story, foot if i % 4 else foot[:5] + ["other"], menu[2:8] + story[:2] if i % 5 == 0 else ["lone"]]
+        pages.append((i, host, [" ".join(x) for x in parts]))
+    pages.append((24, "a.example", pages[1][2]))  # a copy of a page is no second page
+    return pages
+
+
+def brute_host_text(pages):
+    distinct = {}
+    for _, host, parts in pages:
+        w = " ".join(parts).split()
+        for i in range(len(w) - 5):
+            distinct.setdefault((host, tuple(w[i : i + 6])), set()).add(tuple(parts))
+    out = {}
+    for page, host, parts in pages:
+        w = " ".join(parts).split()
+        covered = {i + k for i in range(len(w) - 5) if len(distinct[host, tuple(w[i : i + 6])]) >= 3 for k in range(6)}
+        at, kept = 0, []
+        for part in parts:
+            n = len(part.split())
+            if sum(at + k in covered for k in range(n)) < 0.8 * n:
+                kept.append(part)
+            at += n
+        out[page] = "\n".join(kept)
+    return out
+
+
+@pytest.mark.parametrize("chunk", [boilerplate.CHUNK, 400])
+def test_html_host_suffix_array_against_brute_force(spark, monkeypatch, chunk):
+    monkeypatch.setattr(boilerplate, "CHUNK", chunk)
+    monkeypatch.setattr(boilerplate, "BUCKET", chunk)
+    pages = host_pages()
+    frame = spark.createDataFrame([(i, f"http://{h}/p?{i}", "".join(f"<div>{p}</div>" for p in parts)) for i, h, parts in pages], "page_id long, url string, html string")
+    want = brute_host_text(pages)
+    got = {r["page_id"]: r for r in boilerplate.extract(frame).collect()}
+    assert {k: r["text"] for k, r in got.items()} == want and sum(r["n_repeated"] for r in got.values()) > 30
+    off = {r["page_id"]: r["text"] for r in boilerplate.extract(frame, least=10**9).collect()}  # no substring is repeated then
+    assert off == {i: "\n".join(parts) for i, _, parts in pages} and off != want
+
+
+def test_html_boilerplate_inside_articles_goes_by_repetition(spark):
+    rng = random.Random(3)
+    story = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(40))
+    line = "read more of this in our letter every week for free"
+    stories = [story() for _ in range(12)]
+    page = lambda s, extra="": f"<nav>Home News Sport</nav><article><p>{s}</p><p>{line}</p>{extra}</article>"
+    data = [(i, "http://h.example/x", page(s, f"<p>{stories[0]}</p>" if i in (1, 2) else "")) for i, s in enumerate(stories)]
+    data += [(100 + i, "http://copies.example/x", page(stories[3])) for i in range(3)] + [(200 + i, "http://near.example/x", page(stories[4], f"<p>{story()[:60]}</p>")) for i in range(9)]
+    frame = spark.createDataFrame(data, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"].split("\n") for r in boilerplate.extract(frame).collect()}
+    assert all(got[i] == [s] for i, s in enumerate(stories) if i not in (1, 2)) and got[1] == [stories[1], stories[0]]
+    assert all(got[100 + i] == [stories[3], line] for i in range(3)) and all(got[200 + i][:2] == [stories[4], line] for i in range(9))
+    blind = {r["page_id"]: r["text"] for r in boilerplate.extract(frame, least=10**9).collect()}
+    assert all(line in text for text in blind.values())
+
+
+def test_html_odd_rows(spark):
+    data = [(100, "https://other.example", PAGE), (101, None, None), (102, "x", ""), (None, "http://host.example/", "<p>lone text of a page"), (100, "https://other.example", PAGE), (103, "http://host.example/", None)]
+    frame = spark.createDataFrame(data, "page_id long, url string, html string").withColumn("host", F.lit("clash")).withColumn("chunk", F.lit("clash")).withColumn("text", F.lit("clash"))
     got = boilerplate.extract(frame).collect()
     assert len(got) == len(data)
     by = {r["page_id"]: r for r in got}
-    for i in range(8):
-        assert by[i]["text"] == f"story {i} has its own {i * 7} words here {i}"
     assert by[101]["text"] == "" and by[102]["n_chars"] == 0 and by[None]["text"] == "lone text of a page" and by[100]["text"].startswith("A & B")
     assert boilerplate.extract(frame.limit(0)).count() == 0
-    assert sum(r["text"].startswith("story") for r in boilerplate.extract(frame, group=4).collect()) == 8
-
-
-def test_repeated_against_brute_force():
-    rng = random.Random(8)
-    common = [f"c{i}" for i in range(9)]
-    streams = [[f"u{rng.randrange(50)}" for _ in range(rng.randrange(0, 20))] + (common if i % 2 else common[2:]) + [f"v{rng.randrange(50)}" for _ in range(5)] for i in range(9)]
-    for stream, got in zip(streams, boilerplate.repeated(streams, 6, 3, 0.5)):
-        want = [False] * len(stream)
-        for i in range(len(stream) - 5):
-            run = stream[i : i + 6]
-            if sum(any(s[j : j + 6] == run for j in range(len(s) - 5)) for s in streams) >= 4.5:
-                want[i : i + 6] = [True] * 6
-        assert got.tolist() == want
 
 
 # Language -----------------------------------------------------------------------------------------
