@@ -195,6 +195,39 @@ def test_cutoffs_hold_the_risk_and_find_junk(spark):
     assert quality.choose_cutoffs(frame.limit(60)).count() == 0  # too few to certify anything
 
 
+def test_quality_against_sql_where_cutoffs_exist(spark):
+    """Certified cutoffs of two strata, with copies and repeated and conflicting labels that are no more trials, against the SQL."""
+    duckdb = pytest.importorskip("duckdb").connect()
+    rng = random.Random(9)
+    docs, labels = [], []
+    for i in range(4200):
+        good = i % 3 > 0
+        text = cases.words(rng, 55, 5000) + " #$%|" * (0 if good else rng.randrange(12, 30)) + ("\nagain and again" * rng.randrange(0, 3))
+        docs.append((i, text, ["en", "fr", None][i % 3 if i % 50 == 0 else i % 2]))
+        labels += [(i, int(good))] * (1 + i % 3)
+        if i % 40 == 0:
+            labels.append((i, int(not good)))
+    docs += [(10_000 + k, docs[4][1], "en") for k in range(500)]
+    labels += [(10_000 + k, 1) for k in range(500)] + [(1, None), (77_777, 1)]
+    duckdb.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR)")
+    duckdb.execute("CREATE TABLE labels (doc_id BIGINT, quality INTEGER)")
+    import pandas as pd
+
+    duckdb.register("d", pd.DataFrame(docs, columns=["a", "b", "c"]))
+    duckdb.register("l", pd.DataFrame(labels, columns=["a", "b"]).astype({"b": "Int32"}))
+    duckdb.execute("INSERT INTO documents SELECT * FROM d")
+    duckdb.execute("INSERT INTO labels SELECT * FROM l")
+    want = sorted(duckdb.execute(quality.ORACLE_OP3).fetchall())
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    frames = spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    got = sorted(tuple(r) for r in quality.judge(*frames).select(columns).collect())
+    assert got == want and sum(not r[7] and not r[6] for r in got) > 500
+    copies = [r for r in frames[1].collect() if r["doc_id"] >= 10_000]
+    assert len(copies) > 400  # without them the verdicts are the same: they add no trial
+    fewer = sorted(tuple(r) for r in quality.judge(frames[0], frames[1].where("doc_id < 10000")).select(columns).collect())
+    assert fewer == got
+
+
 def test_select_good_keeps_columns(spark):
     docs = cases.frame(spark)
     labels = spark.createDataFrame([], "doc_id long, quality int")

@@ -94,7 +94,7 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 def choose_cutoffs(labelled: DataFrame, stratum: str = "stratum", good: str = "good", risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """(stratum, cutoffs map<rule, cutoff>): the cutoffs of each stratum that are certified and of use.
 
-    labelled has the counts of text_counts() with a boolean good; all of it is the holdout, as nothing else is fitted. A cutoff
+    labelled has the counts of text_counts() with a boolean good, one row an independent trial; all of it is the holdout, as nothing else is fitted. A cutoff
     of a rule is certified if the exact binomial bound on its share of rejected good documents is within risk / rules, at the
     level delta / (strata x rules x cutoffs): by Bonferroni all certified cutoffs hold at once, whichever is then picked. Picked
     is the one of largest rejected share of bad less LIFT times that of good documents. Rules without such a cutoff are absent.
@@ -126,8 +126,9 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     kept is false where base_failed, or where a rule's value is above the cutoff that choose_cutoffs() certifies for the row's
     stratum. labels has an id and quality (1 good, 0 bad, null unknown). A null text has no words and fails; null strata are a
-    stratum of their own; rows with a null id can't be labelled; repeated rows and repeated labels count as often as they
-    occur. Only the named columns are read. Without labels, or with too few, the base rules alone decide.
+    stratum of their own; rows with a null id can't be labelled. A distinct text of a stratum is one trial, however many rows,
+    copies and labels it has, as the binomial bound takes independent ones; where its labels disagree it is none. Only the
+    named columns are read. Without labels, or with too few, the base rules alone decide.
 
     The counts are made once, from one pass over the texts, and written to the checkpoint folder: learning and judging then
     read about 60 bytes a document. At most strata x rules cutoffs are joined back.
@@ -137,10 +138,15 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, stratum_col: str, risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """What judge() returns, with the row's key."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("\x00none")).alias("stratum"), row_key(id_col, text_col).alias("_key"), F.col(text_col).alias("_body"))
-    counts = cut(text_counts(rows, "_body", ("doc_id", "stratum", "_key")))
-    known = labels.select(F.col(id_col).alias("doc_id"), (F.col("quality") == 1).alias("good"))
-    cutoffs = cut(choose_cutoffs(counts.join(known, "doc_id").where(~base_failed()), risk=risk, delta=delta))
+    rows = docs.select(
+        F.col(id_col).alias("doc_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("\x00none")).alias("stratum"), row_key(id_col, text_col).alias("_key"),
+        F.xxhash64(text_col).alias("_same"), F.col(text_col).alias("_body"),
+    )
+    counts = cut(text_counts(rows, "_body", ("doc_id", "stratum", "_key", "_same")))
+    known = labels.where(F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.min("quality").alias("_low"), F.max("quality").alias("_high"))
+    measures = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
+    trials = counts.where(~base_failed()).join(known, "doc_id").groupBy("stratum", "_same").agg(*[F.first(m).alias(m) for m in measures], F.min("_low").alias("_low"), F.max("_high").alias("_high"))
+    cutoffs = cut(choose_cutoffs(trials.where("_low = _high").withColumn("good", F.col("_low") == 1), risk=risk, delta=delta))
     if cutoffs.limit(STRATA + 1).count() <= STRATA:
         cutoffs = F.broadcast(cutoffs)
     above = F.lit(False)
@@ -178,10 +184,12 @@ u AS (SELECT row_number() OVER () AS r, * FROM g),
 pos AS (SELECT r, unnest(g) AS x, unnest(range(1, len(g) + 1)) AS i FROM u),
 dup AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, x) AS n FROM pos) WHERE n > 1),
 rep AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM dup) GROUP BY r),
-c AS (SELECT doc_id, stratum, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+c AS (SELECT doc_id, stratum, text, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
         (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines,
         (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM u LEFT JOIN rep USING (r)),
-lab AS (SELECT c.*, quality = 1 AS good FROM c JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND NOT {failed}),
+lab AS (SELECT stratum, any_value(n_words) AS n_words, any_value(word_chars) AS word_chars, any_value(n_symbols) AS n_symbols, any_value(n_lines) AS n_lines,
+    any_value(n_dup_lines) AS n_dup_lines, any_value(n_repeat_words) AS n_repeat_words, min(quality) = 1 AS good
+  FROM c JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND NOT {failed} GROUP BY stratum, text HAVING min(quality) = max(quality)),
 grid AS ({grid}),
 fine AS (SELECT *, kb::DOUBLE / greatest(nb, 1) AS sb, k::DOUBLE / greatest(n, 1) AS sg FROM grid),
 ok AS (SELECT * FROM fine WHERE sb >= {GAIN} AND sb >= {LIFT} * sg AND k < n * {p} AND
