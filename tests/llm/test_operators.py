@@ -416,25 +416,73 @@ def test_contained_against_brute_force(spark):
 # Line dedup ---------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("least", [1, 2, 3, 5])
-def test_line_dedup_against_brute_force(spark, least):
-    docs = sorted({(d, t) for d, t, *_ in cases.rows()}, key=lambda x: x[0])
+def line_cases():
+    """The rows of cases with more repeats: long ones, shared by some documents to different ends, within one, of one long line."""
+    rng = random.Random(12)
+    long = [cases.words(rng, 5) for _ in range(40)]
+    prose = cases.words(rng, 60)
+    more = [long, ["x", *long[:21], "y"], ["z", *long[3:33], *long[3:9]], long[5:7] * 9, [prose], ["a", prose, "b"], ["c", *prose.split(" ", 40)[:2]], [cases.words(rng, 30), cases.words(rng, 30)]]
+    more += [more[-1], ["d", *more[-1], "e"], ["", "", "", "q"] * 6, [""] * 300, ["one", "two"], ["one", "two"]]
+    data = cases.rows()
+    return data + [(1000 + i, "\n".join(m), "en", "clash", "clash", 1) for i, m in enumerate(more)]
+
+
+def counts_as_run(lines, least, words):
+    return len(lines) >= least or sum(len(split(x)) for x in lines) >= words
+
+
+@pytest.mark.parametrize("least, words", [(1, 10**6), (3, 10**6), (5, 50)])
+def test_line_dedup_against_brute_force(spark, least, words):
+    data = line_cases()
+    docs = sorted({(d, t) for d, t, *_ in data}, key=lambda x: x[0])
     seen, want = set(), {}
     for d, t in docs:
         lines = [] if t is None else t.split("\n")
         gone = set()
-        for i in range(len(lines) - least + 1):
-            k = tuple(lines[i : i + least])
-            if k in seen:
-                gone.update(range(i, i + least))
-            seen.add(k)
+        for i in range(len(lines)):
+            for h in range(1, least + 1):
+                k = tuple(lines[i : i + h])
+                if len(k) == h and counts_as_run(k, least, words):
+                    if k in seen:
+                        gone.update(range(i, i + h))
+                    seen.add(k)
         want[d] = (len(lines), len(gone), "\n".join(x for i, x in enumerate(lines) if i not in gone))
-    got = linededup.report(cases.frame(spark, null_id=False), min_lines=least).collect()
-    assert len(got) == len(cases.rows())
+    frame = spark.createDataFrame(data, cases.SCHEMA)
+    got = linededup.report(frame, min_lines=least, min_words=words).collect()
+    assert len(got) == len(data)
     for r in got:
         assert (r["n_lines"], r["n_removed"], r["kept_text"]) == want[r["doc_id"]]
 
 
+def test_line_runs_are_maximal_and_equal_their_copies(spark):
+    data = line_cases()
+    text = {d: (t or "").split("\n") for d, t, *_ in data}
+    runs = linededup.repeated_runs(spark.createDataFrame(data, cases.SCHEMA)).collect()
+    assert max(r["n_lines"] for r in runs) == 299  # of 300 blank lines all but the first copy what is before
+    assert {(r["start"], r["n_lines"]) for r in runs if r["_id"] == 1001} == {(1, 21)} and {(1, 30), (31, 6)} <= {(r["start"], r["n_lines"]) for r in runs if r["_id"] == 1002}
+    for r in runs:
+        a, b, n = text[r["_id"]][r["start"] :], text[r["copy_id"]][r["copy_start"] :], r["n_lines"]
+        assert (r["copy_id"], r["copy_start"]) < (r["_id"], r["start"]) and len(a) >= n and a[:n] == b[:n] and counts_as_run(a[:n], 3, 50)
+        assert a[n : n + 1] != b[n : n + 1] or not a[n : n + 1]  # longer isn't equal
+
+
+def test_line_dedup_equals_its_sql(spark):
+    duckdb = pytest.importorskip("duckdb").connect()
+    data = list({r[0]: r for r in line_cases()}.values())
+    duckdb.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    duckdb.executemany("INSERT INTO documents VALUES (?, ?)", [r[:2] for r in data])
+    out = linededup.report(spark.createDataFrame(data, cases.SCHEMA))
+    got = out.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.col("kept_text").cast("binary"), 256)).collect()
+    assert sorted(tuple(r) for r in got) == sorted(duckdb.execute(linededup.ORACLE_OP8).fetchall())
+
+
+def test_line_dedup_keeps_clashing_columns(spark):
+    docs = cases.frame(spark).withColumns({c: F.lit(c) for c in ("_id", "_k", "gone", "ids", "words", "rank", "first", "_at")})
+    out = linededup.deduplicate(docs)
+    assert out.columns == docs.columns and out.where("_id = '_id' and _k = '_k' and gone = 'gone' and _at = '_at'").count() == docs.count()
+    assert linededup.report(docs).count() == docs.count()
+
+
 def test_line_dedup_keeps_rows_and_columns(spark):
     docs = cases.frame(spark)
     out = linededup.deduplicate(docs)
