@@ -53,19 +53,30 @@ def multiclass_brier(df: DataFrame, probabilities: Column, one_hot: Column) -> D
     return df.agg(F.avg(F.aggregate(F.zip_with(probabilities, one_hot, lambda p, y: (p - y) * (p - y)), F.lit(0.0), lambda a, x: a + x)).alias("brier"))
 
 
+def _ranges(counts: DataFrame) -> Column:
+    """The range of score that a row is in, from 0: bounds are fixed once, as many at most as shuffle partitions, so that every
+    use of the column deals rows alike, whether or not an exchange is reused."""
+    n = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = counts.select(F.col("score").cast("double")).approxQuantile("score", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
+    at = F.array(*map(F.lit, sorted(set(bounds)))).cast("array<double>")
+    return F.size(F.filter(at, lambda b: b < F.col("score")))
+
+
+def _before(totals: DataFrame, names: list[str], descending: bool = False) -> DataFrame:
+    """(_part, names): the sums over the ranges before each; as many rows as ranges."""
+    before = Window.orderBy(F.desc("_part") if descending else F.asc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select("_part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in names])
+
+
 def by_threshold(df: DataFrame, score: str, truth: str) -> DataFrame:
     """(score, pos, neg, tp, fp): counts at each distinct score and of all scores not below it.
 
     Scores are aggregated first; the running sums are made within ranges of scores and offset by the ranges' totals, so no
     task sees all distinct scores.
     """
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     each = df.groupBy(F.col(score).cast("double").alias("score")).agg(F.count_if(F.col(truth)).alias("pos"), F.count_if(~F.col(truth)).alias("neg"))
-    parts = each.repartitionByRange(n, F.desc("score")).withColumn("_part", F.spark_partition_id())
-    totals = parts.groupBy("_part").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as shuffle partitions
-    offsets = totals.select("_part", F.coalesce(F.sum("_p").over(before), F.lit(0)).alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"))
+    parts = each.withColumn("_part", _ranges(each))
+    offsets = _before(parts.groupBy("_part").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n")), ["_p", "_n"], descending=True)
     within = Window.partitionBy("_part").orderBy(F.desc("score"))
     run = parts.withColumns({"tp": F.sum("pos").over(within), "fp": F.sum("neg").over(within)})
     return run.join(F.broadcast(offsets), "_part").select("score", "pos", "neg", (F.col("tp") + F.col("_p")).alias("tp"), (F.col("fp") + F.col("_n")).alias("fp"))
@@ -115,10 +126,8 @@ def higher_quantile(df: DataFrame, column: str, q: float) -> DataFrame:
 
 def _cumulative(counts: DataFrame) -> DataFrame:
     """(score, c, until): running sums of c by score, made within ranges and offset by the ranges' totals."""
-    n = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = counts.repartitionByRange(n, "score").withColumn("_part", F.spark_partition_id())
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.groupBy("_part").agg(F.sum("c").alias("_c")).select("_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_c"))
+    parts = counts.withColumn("_part", _ranges(counts))
+    offsets = _before(parts.groupBy("_part").agg(F.sum("c").alias("_c")), ["_c"])
     run = parts.withColumn("until", F.sum("c").over(Window.partitionBy("_part").orderBy("score")))
     return run.join(F.broadcast(offsets), "_part").select("score", "c", (F.col("until") + F.col("_c")).alias("until"))
 

@@ -175,12 +175,12 @@ def u7(spark, d):
 
 _SIG = """,
 sig AS (SELECT 's' || n AS signature_event_id, n AS event_seq, 'c' || (k % 500) AS community_flow_id, CASE WHEN n % 2 = 0 THEN src_ip ELSE dst_ip END AS src_ip, CASE WHEN n % 2 = 0 THEN src_port ELSE dst_port END AS src_port,
-  CASE WHEN n % 2 = 0 THEN dst_ip ELSE src_ip END AS dst_ip, CASE WHEN n % 2 = 0 THEN dst_port ELSE src_port END AS dst_port, protocol, ts_us + (n % 5 - 2) * 1500000 AS ts_us, coalesce(signature_severity, 'informational') AS signature_severity FROM flow WHERE n % 4 = 0),
-fl AS (SELECT event_id, n AS flow_seq, 'c' || (n % 700) AS community_flow_id, src_ip, src_port, dst_ip, dst_port, protocol, ts_us AS start_us, end_us FROM flow WHERE n % 3 = 0)"""
+  CASE WHEN n % 2 = 0 THEN dst_ip ELSE src_ip END AS dst_ip, CASE WHEN n % 2 = 0 THEN dst_port ELSE src_port END AS dst_port, protocol, ts_us + (n % 5 - 2) * 1500000 AS ts_us, coalesce(signature_severity, 'informational') AS signature_severity FROM flow),
+fl AS (SELECT event_id, n AS flow_seq, 'c' || (n % 700) AS community_flow_id, src_ip, src_port, dst_ip, dst_port, protocol, ts_us AS start_us, end_us FROM flow)"""
 
 
 def _signatures(spark, d):
-    f = flows(spark, d).where("n % 4 = 0")
+    f = flows(spark, d)
     even = F.col("n") % 2 == 0
     pick = lambda a, b: F.when(even, F.col(a)).otherwise(F.col(b))
     return f.select(
@@ -190,7 +190,7 @@ def _signatures(spark, d):
 
 
 def _flow_side(spark, d):
-    return flows(spark, d).where("n % 3 = 0").select("event_id", F.col("n").alias("flow_seq"), F.concat(F.lit("c"), F.col("n") % 700).alias("community_flow_id"), "src_ip", "src_port", "dst_ip", "dst_port", "protocol", F.col("ts_us").alias("start_us"), F.unix_micros("timestamp_end").alias("end_us"))
+    return flows(spark, d).select("event_id", F.col("n").alias("flow_seq"), F.concat(F.lit("c"), F.col("n") % 700).alias("community_flow_id"), "src_ip", "src_port", "dst_ip", "dst_port", "protocol", F.col("ts_us").alias("start_us"), F.unix_micros("timestamp_end").alias("end_us"))
 
 
 _J1 = "j1 AS (SELECT signature_event_id, arg_min(f.event_id, flow_seq) AS flow_event_id FROM sig s JOIN fl f USING (community_flow_id) GROUP BY signature_event_id)"
@@ -356,10 +356,11 @@ def a24(spark, d):
     return rounded(metrics.empirical_cdf(flows(spark, d), "iso_s", 33))
 
 
-@query("a25_empirical_percentile", f"WITH {FLOW}, ref AS (SELECT iso_s FROM flow WHERE n % 2 = 0) SELECT event_id, round((SELECT count(*) FROM ref WHERE ref.iso_s <= f.rec_s)::DOUBLE / (SELECT count(*) FROM ref), 9) AS percentile FROM flow f WHERE n % 20 = 1")
+@query("a25_empirical_percentile", f"""WITH {FLOW}, ref AS (SELECT iso_s, sum(c) OVER (ORDER BY iso_s) AS c FROM (SELECT iso_s, count(*) AS c FROM flow WHERE n % 2 = 0 GROUP BY iso_s))
+SELECT event_id, round(coalesce(c, 0)::DOUBLE / (SELECT max(c) FROM ref), 9) AS percentile FROM flow f ASOF LEFT JOIN ref ON f.rec_s >= ref.iso_s""")
 def a25(spark, d):
     f = flows(spark, d)
-    return rounded(metrics.empirical_percentile(f.where("n % 2 = 0").select(F.col("iso_s").alias("x")), f.where("n % 20 = 1").select("event_id", F.col("rec_s").alias("x")), "x", "event_id"))
+    return rounded(metrics.empirical_percentile(f.where("n % 2 = 0").select(F.col("iso_s").alias("x")), f.select("event_id", F.col("rec_s").alias("x")), "x", "event_id"))
 
 
 @query("a26_error_buckets", f"""{_TP}, d AS (SELECT 'protocol' AS dimension, protocol AS category, truth, pred FROM r UNION ALL SELECT 'port', CASE WHEN dst_port IS NULL THEN 'missing' WHEN dst_port < 1024 THEN 'well_known' WHEN dst_port < 49152 THEN 'registered' ELSE 'dynamic' END, truth, pred FROM r)
