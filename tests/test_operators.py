@@ -234,3 +234,47 @@ def test_models_separate_outliers(spark):
     assert far(df.select("id", models.mahalanobis(["a", "b"], mean, cov).alias("d")).collect(), "d", 1)
     assert far(models.local_outlier_factor(df, df.where("id < 1000"), ["a", "b"], "id", k=10).collect(), "lof", 1)
     assert far(models.Autoencoder(["a", "b"], hidden=(3, 1, 3)).fit(df.where("id < 1000"), epochs=3).errors(df).collect(), "reconstruction_error", 1)
+
+
+def test_running_sums_do_not_need_exchange_reuse(spark):
+    """Ranking, quantiles and the distribution over several ranges of scores, with and without exchange reuse, against plain Python."""
+    from wiretide.operators import metrics
+
+    rng = random.Random(4)
+    data = [(i, round(rng.gauss(0, 1), 2), rng.random() < 0.3) for i in range(6000)]
+    frame = spark.createDataFrame(data, "id long, score double, truth boolean").repartition(7)
+    ordered = sorted(s for _, s, _ in data)
+    pos, neg = [s for _, s, t in data if t], [s for _, s, t in data if not t]
+    auc = sum((a > b) + (a == b) / 2 for a in pos for b in neg[:400]) / (len(pos) * 400)
+    for reuse in ("true", "false"):
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
+        try:
+            run = metrics._cumulative(frame.groupBy("score").agg(F.count("*").alias("c"))).collect()
+            assert max(r["until"] for r in run) == 6000 and all(r["until"] == sum(x <= r["score"] for x in ordered) for r in run[:40])
+            assert metrics.higher_quantile(frame, "score", 0.97).first()["value"] == ordered[-(-5999 * 97 // 100)]
+            assert abs(metrics.ranking_scores(frame, "score", "truth").first()["roc_auc"] - auc) < 0.03
+            t = {r["score"]: (r["tp"], r["fp"]) for r in metrics.by_threshold(frame, "score", "truth").collect()}
+            assert all(t[s] == (sum(x >= s for x in pos), sum(x >= s for x in neg)) for s in list(t)[:40])
+        finally:
+            spark.conf.set("spark.sql.exchange.reuse", "true")
+
+
+def test_incident_detail_and_ingest_results(spark):
+    from wiretide.operators import incidents
+    from wiretide.sources import sinks
+
+    members = spark.createDataFrame(
+        [("i", f"a{n}", n, "s", "d", ["R"], "scan", "low", float(n), False, "known_attack", "c1" if n else None) for n in range(3)] + [("j", "a9", 9, "s", "d", ["R"], "scan", "low", 1.0, False, "known_attack", "c2")],
+        "incident_id string, alert_id string, ts_us long, src_ip string, dst_ip string, reason_codes array<string>, attack_stage string, severity string, risk double, acknowledged boolean, verdict string, community_flow_id string",
+    )
+    told = spark.createDataFrame([("c1", "s1", "high", 5), ("c1", "s1", "high", 5), ("c2", "s2", "low", 6), (None, "s3", "low", 7)], "community_flow_id string, signature_event_id string, signature_severity string, ts_us long")
+    notes = spark.createDataFrame([("i", 1, 4, "seen"), ("j", 2, 4, "other")], "incident_id string, note_id long, ts_us long, text string")
+    head, timeline = incidents.incident_detail(members, told, notes, "i")
+    assert [(r["alert_count"], r["signatures"], r["notes"]) for r in head.collect()] == [(3, 1, 1)]
+    assert [(r["kind"], r["ref"]) for r in timeline.collect()] == [("alert", "a0"), ("alert", "a1"), ("alert", "a2"), ("note", "1"), ("signature", "s1")]
+    assert incidents.incident_detail(members, told, notes, "none")[1].count() == 0
+    batch = spark.createDataFrame([("d1", 1, "known_attack"), ("d1", 2, "benign"), ("d2", 3, "benign"), ("d3", 4, "benign")], "detection_id string, arrival long, verdict string")
+    got = {r["detection_id"]: (r["alert_id"], r["is_new"]) for r in sinks.ingest_result(batch, spark.createDataFrame([("d3", "known_attack")], "detection_id string, verdict string")).collect()}
+    assert got == {"d1": ("alert-d1", True), "d2": (None, True), "d3": ("alert-d3", False)}
+    candidates = sinks.export_rows(batch.withColumn("verdict", F.lit("=1+1")), ("verdict", "detection_id"))
+    assert {r["verdict"] for r in candidates.collect()} == {"'=1+1"}

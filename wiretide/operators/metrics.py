@@ -58,8 +58,16 @@ def _ranges(counts: DataFrame) -> Column:
     use of the column deals rows alike, whether or not an exchange is reused."""
     n = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bounds = counts.select(F.col("score").cast("double")).approxQuantile("score", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
-    at = F.array(*map(F.lit, sorted(set(bounds)))).cast("array<double>")
-    return F.size(F.filter(at, lambda b: b < F.col("score")))
+    bounds = sorted(set(bounds))
+
+    def below(low: int, high: int) -> Column:
+        """How many bounds are below the score, known to be from low to high: halved until one number is left; null is in the first range."""
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(F.coalesce(F.col("score") <= bounds[middle], F.lit(True)), below(low, middle)).otherwise(below(middle + 1, high))
+
+    return below(0, len(bounds))
 
 
 def _before(totals: DataFrame, names: list[str], descending: bool = False) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wiretide.functions.scalars import normalize_label
 from wiretide.operators import datasets as ds, eve, features, fusion, incidents, models, ops, packets as pk, validate
-from wiretide.plans.basics import rounded
+from wiretide.plans.basics import anonymized, rounded
 from wiretide.plans.flowview import FLOW, SCORED, flows, read, scored
 from wiretide.sources import readers, sinks
 from wiretide.streaming import jobs
@@ -207,9 +207,9 @@ def m33(spark, d):
     return out.select("candidate_id", F.array_join("covered", ",").alias("covered"), F.array_contains("blockers", "synthetic_training_bundle").alias("synthetic"), (F.size("blockers") == 0).alias("clear"))
 
 
-@query("s9_export_flows", f"WITH {FLOW} SELECT event_id, src_port, protocol FROM flow")
+@query("s9_export_flows", f"WITH {FLOW} SELECT event_id, {anonymized('src_ip', b'salt')} AS src_ip, {anonymized('dst_ip', b'salt')} AS dst_ip, src_port, protocol FROM flow")
 def s9(spark, d):
-    return sinks.export_rows(flows(spark, d), salt=b"salt").select("event_id", "src_port", "protocol")
+    return sinks.export_rows(flows(spark, d), salt=b"salt").select("event_id", "src_ip", "dst_ip", "src_port", "protocol")
 
 
 @query("s6_dead_letters", f"WITH {_EVE} SELECT error AS error_code, count(*) AS n FROM k WHERE error IS NOT NULL GROUP BY 1")

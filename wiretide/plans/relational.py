@@ -136,7 +136,12 @@ def a9(spark, d):
     return incidents.explanation_context(_members(spark, d)).withColumn("mean_duration_ms", F.round("mean_duration_ms", 6))
 
 
-@query("x12_render_explanation")
+@query("x12_render_explanation", f"""WITH {SCORED}, r AS (SELECT *, upper(array_to_string(reason_codes, ' ')) AS r FROM scored)
+SELECT event_id, 'Verdict: ' || replace(verdict, '_', ' ') || ' (risk ' || printf('%.1f', floor(final_risk_score * 10 + 0.5) / 10) || ' of 100).'
+  || CASE WHEN len(reason_codes) > 0 THEN ' Evidence: ' || array_to_string(reason_codes, ', ') || '.' ELSE ' No evidence stands out.' END || CASE WHEN signature_severity IS NOT NULL THEN ' Signatures: ' || signature_severity || '.' ELSE '' END
+  || ' Looks like ' || CASE WHEN r LIKE '%SCAN%' OR r LIKE '%PORT%' OR r LIKE '%FANOUT%' THEN 'scanning: one host tries many services' WHEN r LIKE '%BRUTE%' OR r LIKE '%AUTH%' OR r LIKE '%LOGIN%' THEN 'authentication: repeated tries to log in'
+    WHEN r LIKE '%EXFIL%' OR r LIKE '%EGRESS%' OR r LIKE '%BYTES%' THEN 'egress: unusually much data leaves the network' WHEN verdict = 'known_attack' THEN 'a match of a signature or of a learnt family' ELSE 'unusual traffic of no known family' END
+  || '. Next: check who owns the hosts and what they did before and after. Scores are statistics and may reflect harmless change; this text starts no action.' AS text FROM r""")
 def x12(spark, d):
     s = scored(spark, d)
     names = F.array_compact(F.array("signature_severity"))
@@ -174,7 +179,7 @@ def u7(spark, d):
 # Joins --------------------------------------------------------------------------------------------
 
 _SIG = """,
-sig AS (SELECT 's' || n AS signature_event_id, n AS event_seq, 'c' || (k % 500) AS community_flow_id, CASE WHEN n % 2 = 0 THEN src_ip ELSE dst_ip END AS src_ip, CASE WHEN n % 2 = 0 THEN src_port ELSE dst_port END AS src_port,
+sig AS (SELECT 's' || n AS signature_event_id, n AS event_seq, CASE WHEN n % 3 = 0 THEN 'x' || n ELSE 'c' || (k % 500) END AS community_flow_id, CASE WHEN n % 2 = 0 THEN src_ip ELSE dst_ip END AS src_ip, CASE WHEN n % 2 = 0 THEN src_port ELSE dst_port END AS src_port,
   CASE WHEN n % 2 = 0 THEN dst_ip ELSE src_ip END AS dst_ip, CASE WHEN n % 2 = 0 THEN dst_port ELSE src_port END AS dst_port, protocol, ts_us + (n % 5 - 2) * 1500000 AS ts_us, coalesce(signature_severity, 'informational') AS signature_severity FROM flow),
 fl AS (SELECT event_id, n AS flow_seq, 'c' || (n % 700) AS community_flow_id, src_ip, src_port, dst_ip, dst_port, protocol, ts_us AS start_us, end_us FROM flow)"""
 
@@ -184,7 +189,7 @@ def _signatures(spark, d):
     even = F.col("n") % 2 == 0
     pick = lambda a, b: F.when(even, F.col(a)).otherwise(F.col(b))
     return f.select(
-        F.concat(F.lit("s"), "n").alias("signature_event_id"), F.col("n").alias("event_seq"), F.concat(F.lit("c"), F.col("k") % 500).alias("community_flow_id"), pick("src_ip", "dst_ip").alias("src_ip"), pick("src_port", "dst_port").alias("src_port"),
+        F.concat(F.lit("s"), "n").alias("signature_event_id"), F.col("n").alias("event_seq"), F.when(F.col("n") % 3 == 0, F.concat(F.lit("x"), "n")).otherwise(F.concat(F.lit("c"), F.col("k") % 500)).alias("community_flow_id"), pick("src_ip", "dst_ip").alias("src_ip"), pick("src_port", "dst_port").alias("src_port"),
         pick("dst_ip", "src_ip").alias("dst_ip"), pick("dst_port", "src_port").alias("dst_port"), "protocol", (F.col("ts_us") + (F.col("n") % 5 - 2) * 1_500_000).alias("ts_us"), F.coalesce("signature_severity", F.lit("informational")).alias("signature_severity"),
     )
 

@@ -23,6 +23,37 @@ def export_rows(df: DataFrame, fields: tuple[str, ...] = FLOW_FIELDS, salt: byte
     return df.select(*[csv_safe(address(c), kinds[c]).alias(c) for c in fields if c in kinds])
 
 
+# What an alert export holds.
+ALERT_FIELDS = ("alert_id", "timestamp_start", "src_ip", "dst_ip", "protocol", "severity", "verdict", "risk", "reason_codes", "acknowledged")
+
+
+def export_alerts(view: DataFrame, salt: bytes | None = None) -> DataFrame:
+    """Alerts joined with their detection and flow (queries.alerts_view) as safe cells, the reasons as a JSON list."""
+    return export_rows(view.withColumn("reason_codes", F.to_json("reason_codes")), ALERT_FIELDS, salt)
+
+
+def export_candidates(feedback: DataFrame, alerts: DataFrame, detections: DataFrame, flows: DataFrame) -> DataFrame:
+    """Retraining candidates as safe cells, a column a feature."""
+    from wiretide.operators.queries import retraining_candidates
+
+    rows = retraining_candidates(feedback, alerts, detections, flows)
+    return export_rows(rows, tuple(rows.columns))
+
+
+def upsert_sensors(stored: DataFrame, batch: DataFrame) -> DataFrame:
+    """(sensor_id, first_us, last_us, flows) of stored sensors and those of a batch of flows (sensor_id, ts_us): old batches change nothing that is later."""
+    seen = batch.groupBy("sensor_id").agg(F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"), F.count("*").alias("flows"))
+    return stored.select("sensor_id", "first_us", "last_us", "flows").unionByName(seen).groupBy("sensor_id").agg(F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"), F.sum("flows").alias("flows"))
+
+
+def ingest_result(batch: DataFrame, stored: DataFrame, key: str = "detection_id", order: str = "arrival") -> DataFrame:
+    """(detection_id, alert_id, is_new) for every detection of a batch, against the stored ones: first write wins, a repeat in the batch is no news."""
+    fresh = first_writes(batch, stored, key, order).select(key, F.lit(True).alias("is_new"))
+    once = batch.groupBy(key).agg(F.min_by("verdict", order).alias("verdict")).join(stored.select(key, F.col("verdict").alias("_stored")), key, "left")
+    verdict = F.coalesce("_stored", "verdict")
+    return once.join(fresh, key, "left").select(key, F.when(verdict != "benign", F.concat(F.lit("alert-"), key)).alias("alert_id"), F.coalesce("is_new", F.lit(False)).alias("is_new"))
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).option("quoteAll", False).mode("errorifexists").csv(path)
 
@@ -71,6 +102,8 @@ def ingest(batch: DataFrame, folder: str, batch_id: str) -> DataFrame:
     new = spark.read.schema(batch.schema).parquet(out)
     alerts = new.where("verdict <> 'benign'").select("detection_id", F.concat(F.lit("alert-"), "detection_id").alias("alert_id"), "severity", "final_risk_score")
     alerts.write.mode("overwrite").parquet(f"{folder}/alerts/batch={batch_id}")
+    if {"sensor_id", "ts_us"} <= set(new.columns):  # what the batch saw of each sensor; upsert_sensors() adds the batches up
+        new.groupBy("sensor_id").agg(F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"), F.count("*").alias("flows")).write.mode("overwrite").parquet(f"{folder}/sensors/batch={batch_id}")
     every = spark.read.schema(alerts.schema).parquet(f"{folder}/alerts").select("detection_id", "alert_id")
     fresh = new.select("detection_id", F.lit(True).alias("is_new"))
     return batch.select("detection_id").distinct().join(fresh, "detection_id", "left").join(every, "detection_id", "left").select("detection_id", "alert_id", F.coalesce("is_new", F.lit(False)).alias("is_new"))
