@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm import cases
-from tests.llm.test_operators import brute_counts, brute_fingerprint, split
+from tests.llm.test_operators import brute_counts, split
 from wiretide.llm import bpe
 from wiretide.llm.common import store
 
@@ -17,6 +17,11 @@ DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
 
+def five_words(t):
+    w = split((t or "").lower())
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
 def test_pipeline_against_brute_force(spark):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").collect()]
     items = [r["text"] for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
@@ -36,11 +41,11 @@ def test_pipeline_against_brute_force(spark):
                         gone.update(range(i, i + h))
                     seen.add(k)
         lined.append((d, "\n".join(x for i, x in enumerate(lines) if i not in gone)))
-    fps = [brute_fingerprint(t) for _, t in lined]
-    label = list(range(len(fps)))
-    for i in range(len(fps)):
+    sets = [five_words(t) for _, t in lined]
+    label = list(range(len(sets)))
+    for i in range(len(sets)):
         for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 4 and label[i] != label[j]:
+            if label[i] != label[j] and (n := len(sets[i] & sets[j])) >= 0.8 * (len(sets[i]) + len(sets[j]) - n) - 1e-9:
                 low, high = sorted((label[i], label[j]))
                 label = [low if x == high else x for x in label]
     near = [lined[i] for i in sorted(set(label))]
