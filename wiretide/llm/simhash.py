@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, functions as F
 from wiretide.llm.common import as_bytes, cut, partitions, row_key, session_of
 from wiretide.llm.components import connected_components
 
-#: Fingerprints in a block of the comparison grid, at most: 8 MB.
-BLOCK = 1_000_000
+#: Fingerprints in a block of the comparison grid, at most: 8 MB; and those below which a block isn't split, as each block more
+#: makes another forest of candidates of every large group.
+BLOCK, SMALL = 1_000_000, 8_192
 #: Fingerprints in a tile: the tile product fits the processor's cache.
 TILE = 256
 #: Similar documents: the words of a shingle, the least Jaccard similarity of their shingle sets, and the bits by which fingerprints
@@ -117,7 +118,7 @@ def _dealt(fps: DataFrame, radius: int) -> DataFrame:
     ones = F.bit_count("fp").cast("int")
     sizes = {r["ones"]: r["count"] for r in fps.groupBy(ones.alias("ones")).count().collect()}
     total = sum(sizes.values())
-    most = max(TILE, min(BLOCK, total // max(4, int((3 * partitions(spark)) ** 0.5)) + 1))
+    most = max(SMALL, min(BLOCK, total // max(4, int((3 * partitions(spark)) ** 0.5)) + 1))
     first, parts, low, high = [0] * 65, [1] * 65, [], []
     filled = most
     for p in range(65):
