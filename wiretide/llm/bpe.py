@@ -300,16 +300,7 @@ def _portions(texts: Iterable[str], most: int = 1_000_000) -> Iterator[list[str]
         yield portion
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids array<int>, offsets array<int>): the ids of every whole text by the vocabulary file at path (of the driver),
-    and the byte at which each id's piece starts in the text, by which any span can be decoded on its own.
-
-    A null or empty text has no ids. Repeated rows and null ids come out as they go in; other columns are not read. Special
-    tokens are ordinary text. Bytes that aren't UTF-8 count as U+FFFD. A text of any length is encoded whole.
-    """
-    codec_of = _vocabulary(session_of(docs), path)
-    kind = docs.schema[id_col].dataType.simpleString()
-
+def _encoding(codec_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of()
         for batch in batches:
@@ -328,14 +319,10 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 )
                 at += len(ids)
 
-    return docs.select(F.col(id_col).alias("doc_id"), as_bytes(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>, offsets array<int>")
+    return run
 
 
-def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(doc_id, ids, decoded binary): the bytes that the ids stand for. Null ids count as none; an id that the vocabulary lacks is an error."""
-    codec_of = _vocabulary(session_of(encoded), path)
-    kind = encoded.schema[id_col].dataType.simpleString()
-
+def _decoding(codec_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of()
         for batch in batches:
@@ -346,12 +333,44 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
                 data, ends = codec.decode_all(lists.flatten().to_numpy(zero_copy_only=False), sizes)
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array([data[a:b] for a, b in zip(ends, ends[1:])], pa.binary())], names=["doc_id", "ids", "decoded"])
 
-    return encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded binary")
+    return run
+
+
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids array<int>, offsets array<int>): the ids of every whole text by the vocabulary file at path (of the driver),
+    and the byte at which each id's piece starts in the text, by which any span can be decoded on its own.
+
+    A null or empty text has no ids. Repeated rows and null ids come out as they go in; other columns are not read. Special
+    tokens are ordinary text. Bytes that aren't UTF-8 count as U+FFFD. A text of any length is encoded whole.
+    """
+    codec_of = _vocabulary(session_of(docs), path)
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("doc_id"), as_bytes(text_col).alias("text")).mapInArrow(_encoding(codec_of), f"doc_id {kind}, ids array<int>, offsets array<int>")
+
+
+def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """(doc_id, ids, decoded binary): the bytes that the ids stand for. Null ids count as none; an id that the vocabulary lacks is an error."""
+    codec_of = _vocabulary(session_of(encoded), path)
+    kind = encoded.schema[id_col].dataType.simpleString()
+    return encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(_decoding(codec_of), f"doc_id {kind}, ids array<int>, decoded binary")
+
+
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids, decoded binary): what decode() makes of the ids that encode() gives, row by row. One worker of a task does
+    both, so that there is one codec, not two, and the ids cross to the JVM once."""
+    codec_of = _vocabulary(session_of(docs), path)
+    kind = docs.schema[id_col].dataType.simpleString()
+    encoding, decoding = _encoding(codec_of), _decoding(codec_of)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return decoding(b.select(["doc_id", "ids"]) for b in encoding(batches))
+
+    return docs.select(F.col(id_col).alias("doc_id"), as_bytes(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded binary")
 
 
-def digests(encoded: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of what encode() returns, the last by decoding it."""
-    return decode(encoded, path).select(
+def digests(decoded: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of what decode() and round_trip() return."""
+    return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
@@ -368,5 +387,4 @@ def vocabulary_path() -> str:
 def op5_byte_bpe(spark, sf_dir: str) -> DataFrame:
     from wiretide.llm.common import table
 
-    path = vocabulary_path()
-    return digests(encode(table(spark, sf_dir, "documents"), path), path)
+    return digests(round_trip(table(spark, sf_dir, "documents"), vocabulary_path()))
