@@ -34,8 +34,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded_sha256): the token ids of every text, and the digest of the bytes that they decode to. A null text is empty; every row is answered."""
-    path = bpe.vocabulary_path()
-    back = bpe.decode(bpe.encode(docs, path), path)
+    back = bpe.round_trip(docs, bpe.vocabulary_path())
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
