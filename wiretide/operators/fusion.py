@@ -93,30 +93,44 @@ def open_set_score(anomaly: Column, probabilities: Column) -> Column:
     return anomaly * uncertainty(probabilities)
 
 
+def out_of_range(*signals: Column) -> Column:
+    """Whether a signal is null or outside of 0..1."""
+    return ~F.coalesce(F.forall(F.array(*signals), lambda v: v.between(0, 1)), F.lit(False))
+
+
+def risk_of(known: Column, unusual: Column, signature: Column, context: Column, disagreement: Column, t) -> Column:
+    """The risk by a configuration, whose fields may be columns."""
+    score = 100 * (t.known_weight * known + t.anomaly_weight * unusual + t.signature_weight * signature + t.context_weight * context) + 8 * disagreement
+    return rounded(F.least(score, F.lit(100.0)), 2)
+
+
+def verdict_of(risk: Column, known: Column, confidence: Column, unusual: Column, signature: Column, t) -> Column:
+    """The verdict by a configuration, whose fields may be columns."""
+    return ladder([
+        ((signature >= 0.5) | (known >= t.known_threshold) & (confidence >= 0.58), F.lit("known_attack")),
+        ((unusual >= t.anomaly_threshold) & (known < t.known_threshold), F.lit("suspicious_unknown")),
+        ((risk <= t.benign_max_risk) & (unusual < t.anomaly_threshold), F.lit("benign")),
+    ], F.lit("needs_review"))
+
+
 def fuse_risk(df: DataFrame, known: str, confidence: str, anomaly: str, reconstruction: str, signature: str, context: str, disagreement: str, config: FusionConfig = FusionConfig()) -> DataFrame:
     """df with final_risk_score, reason_codes, verdict, severity, explanation and error_code (set where a signal lies outside of 0..1).
 
     The columns are those of the seven signals. Risk is rounded half up to two digits.
     """
     k, conf, a, r, s, x, d = (F.col(c).cast("double") for c in (known, confidence, anomaly, reconstruction, signature, context, disagreement))
-    bad = ~F.coalesce(F.forall(F.array(k, conf, a, r, s, x, d), lambda v: v.between(0, 1)), F.lit(False))
+    bad = out_of_range(k, conf, a, r, s, x, d)
     unusual = F.greatest(a, r)
-    score = 100 * (config.known_weight * k + config.anomaly_weight * unusual + config.signature_weight * s + config.context_weight * x) + 8 * d
     t = config
     marks = {
         "SURICATA_SIGNATURE_MATCH": s >= 0.5, "HIGH_KNOWN_ATTACK_PROBABILITY": k >= t.known_threshold, "ISOLATION_OUTLIER": a >= t.anomaly_threshold,
         "HIGH_RECONSTRUCTION_ERROR": r >= t.anomaly_threshold, "LOW_CLASSIFIER_CONFIDENCE": conf < 0.58, "UNUSUAL_DESTINATION_FANOUT": x >= 0.65, "MODEL_DISAGREEMENT": d >= 0.5,
     }
     risk = F.col("final_risk_score")
-    verdict = ladder([
-        ((s >= 0.5) | (k >= t.known_threshold) & (conf >= 0.58), F.lit("known_attack")),
-        ((unusual >= t.anomaly_threshold) & (k < t.known_threshold), F.lit("suspicious_unknown")),
-        ((risk <= t.benign_max_risk) & (unusual < t.anomaly_threshold), F.lit("benign")),
-    ], F.lit("needs_review"))
     scored = df.withColumns({
-        "error_code": F.when(bad, F.lit("signal_range")), "final_risk_score": F.when(~bad, rounded(F.least(score, F.lit(100.0)), 2)),
+        "error_code": F.when(bad, F.lit("signal_range")), "final_risk_score": F.when(~bad, risk_of(k, unusual, s, x, d, t)),
         "reason_codes": F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in marks.items()])),
-    }).withColumns({"verdict": F.when(bad, F.lit("processing_error")).otherwise(verdict), "severity": severity_from_risk(risk, t.benign_max_risk, t.review_max_risk, t.high_risk, t.critical_risk)})
+    }).withColumns({"verdict": F.when(bad, F.lit("processing_error")).otherwise(verdict_of(risk, k, conf, unusual, s, t)), "severity": severity_from_risk(risk, t.benign_max_risk, t.review_max_risk, t.high_risk, t.critical_risk)})
     v = F.col("verdict")
     said = ladder([(v == "benign", F.lit(EXPLAIN_BENIGN)), (v == "known_attack", F.concat(F.lit(EXPLAIN_KNOWN), F.array_join("reason_codes", ", "))), (v == "suspicious_unknown", F.lit(EXPLAIN_UNKNOWN))], F.lit(EXPLAIN_REVIEW))
     return scored.withColumn("explanation", said)

@@ -289,11 +289,24 @@ def m14(spark, d):
     return f.select("event_id", F.round(models.platt(f, "known_p", "y", "fold"), 6).alias("calibrated"))
 
 
-@query("m24_select_fusion")
+_VERDICTS = ("benign", "known_attack", "suspicious_unknown", "needs_review")
+
+
+@query("m24_select_fusion", f"""WITH {SCORED}, g AS (SELECT 0 AS candidate, 0.43 AS kw, 0.72 AS kt, 0.70 AS an, 30.0 AS bm
+  UNION ALL SELECT row_number() OVER (ORDER BY kw, kt, an, bm), kw, kt, an, bm FROM (SELECT unnest([0.38, 0.43, 0.48]) AS kw), (SELECT unnest([0.68, 0.72, 0.76]) AS kt), (SELECT unnest([0.66, 0.70, 0.74]) AS an), (SELECT unnest([26.0, 30.0, 34.0]) AS bm)),
+c AS (SELECT candidate, kw::DOUBLE AS kw, (0.70 - kw)::DOUBLE AS aw, kt::DOUBLE AS kt, an::DOUBLE AS an, bm::DOUBLE AS bm FROM g),
+r AS (SELECT c.*, known_p, confidence, anomaly_score, signature_score, CASE label WHEN 'benign' THEN 'benign' WHEN 'botnet' THEN 'suspicious_unknown' ELSE 'known_attack' END AS y,
+  floor(least(100 * (kw * known_p + aw * anomaly_score + 0.20::DOUBLE * signature_score + 0.10::DOUBLE * contextual_score) + 8 * disagreement, 100) * 100 + 0.5) / 100 AS risk FROM score1 CROSS JOIN c),
+v AS (SELECT candidate, kw, kt, an, bm, y, CASE WHEN signature_score >= 0.5 OR (known_p >= kt AND confidence >= 0.58) THEN 'known_attack' WHEN anomaly_score >= an AND known_p < kt THEN 'suspicious_unknown'
+  WHEN risk <= bm AND anomaly_score < an THEN 'benign' ELSE 'needs_review' END AS p FROM r),
+f AS (SELECT candidate, kw, kt, an, bm, count(*) AS n, {", ".join(f"count(*) FILTER (y = '{v}') AS n{i}, coalesce(2.0::DOUBLE * count(*) FILTER (y = '{v}' AND p = '{v}') / nullif(count(*) FILTER (y = '{v}') + count(*) FILTER (p = '{v}'), 0), 0) AS f{i}" for i, v in enumerate(_VERDICTS))} FROM v GROUP BY ALL),
+s AS (SELECT *, (f0 + f1 + f2 + f3) / 4 AS m, (f0 * n0 + f1 * n1 + f2 * n2 + f3 * n3) / n AS w FROM f)
+SELECT candidate, kw AS known_weight, kt AS known_threshold, an AS anomaly_threshold, bm AS benign_max_risk, round(m, 9) AS macro_f1, round(w, 9) AS weighted_f1,
+  row_number() OVER (ORDER BY m DESC, w DESC, abs(kw - 0.43::DOUBLE), abs(kt - 0.72::DOUBLE), abs(an - 0.70::DOUBLE), abs(bm - 30), candidate) AS place FROM s""")
 def m24(spark, d):
-    s = scored(spark, d).withColumn("y", F.col("label") != "benign")
-    grid = [fusion.FusionConfig(known_threshold=k, anomaly_threshold=a) for k in (0.6, 0.72, 0.8) for a in (0.6, 0.7, 0.8)]
-    return models.select_fusion(s.drop("error_code", "final_risk_score", "reason_codes", "verdict", "severity", "explanation"), grid, "y", {"known": "known_p", "confidence": "confidence", "anomaly": "iso_s", "reconstruction": "rec_s", "signature": "signature_score", "context": "contextual_score", "disagreement": "disagreement"})
+    y = F.when(F.col("label") == "benign", "benign").when(F.col("label") == "botnet", "suspicious_unknown").otherwise("known_attack")
+    out = models.select_fusion(scored(spark, d).withColumn("y", y), models.fusion_grid(), "y", {"known": "known_p", "confidence": "confidence", "anomaly": "iso_s", "reconstruction": "rec_s", "signature": "signature_score", "context": "contextual_score", "disagreement": "disagreement"})
+    return rounded(out)
 
 
 @query("m25_operating_curve", f"""WITH {FLOW}, b AS (SELECT iso_s, row_number() OVER (ORDER BY iso_s) AS i, count(*) OVER () AS n FROM flow WHERE label = 'benign'), t AS (SELECT q AS budget, (SELECT min(iso_s) FROM b WHERE i >= ceil((n - 1) * (1 - q)) + 1) AS threshold FROM (SELECT unnest([0.005, 0.01, 0.03, 0.05])::DOUBLE AS q))
