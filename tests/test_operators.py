@@ -71,6 +71,21 @@ def test_drift_against_a_loop(spark):
     values = [rng.random() * (0.3 if (i // 40) % 2 else 1) for i in range(600)]
     got = drift.drift_events(spark.createDataFrame(list(enumerate(values)), "i int, value double").withColumn("s", F.lit("a")), ["s"], "i", threshold=0.2, window=8)
     assert sorted(r["i"] for r in got.collect()) == loop_drift(values, 8, 0.2)
+    many = spark.createDataFrame([(i, v, s) for s in ("a", None) for i, v in enumerate(values)], "i int, value double, s string")
+    blocks = drift.drift_events(many, ["s"], "i", threshold=0.2, window=8, block=20)
+    assert sorted(r["i"] for r in blocks.collect()) == sorted(2 * loop_drift(values, 8, 0.2))
+
+
+def test_flow_rate_by_block(spark):
+    """Blocks of any size give the same rates, over pauses, bursts and times that run back."""
+    rng = random.Random(5)
+    at, rows = 0, []
+    for i in range(700):
+        at += rng.choice((0, 100_000, 2_000_000, 70_000_000 if i % 90 == 0 else 1, -5_000_000 if i % 110 == 0 else 5))
+        rows.append((i, at, "a" if i % 3 else None))
+    df = spark.createDataFrame(rows, "arrival int, ts_us long, model_version string")
+    rates = [{r["arrival"]: r["flow_rate"] for r in drift.rolling_flow_rate(df, most=12, block=b).collect()} for b in (10_000, 50, 12)]
+    assert len(rates[0]) == 700 and rates[0] == rates[1] == rates[2]
 
 
 def loop_temporal(rows, window, short, skew, most):

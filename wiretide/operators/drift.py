@@ -2,70 +2,110 @@
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wiretide.functions.scalars import uuid5
+from wiretide.operators.metrics import _ranges
+
+#: Rows of a key that one task takes together.
+BLOCK = 100_000
 
 # Signals and the shift that counts as drift.
 THRESHOLDS = {"anomaly_score": 0.20, "known_class_confidence": 0.20, "flow_rate": 0.15, "feature_duration": 0.15, "feature_bytes_total": 0.15, "feature_packet_length_mean": 0.15, "alert_rate": 0.25}
 
 
-def drift_events(signals: DataFrame, by: list[str], order: str, value: str = "value", threshold: Column | float = 0.20, window: int = 64) -> DataFrame:
+def _same(keys: list[str], prefix: str) -> Column:
+    """Whether the columns equal those with the prefix, null being equal to null."""
+    return functools.reduce(operator.and_, [F.col(k).eqNullSafe(F.col(prefix + k)) for k in keys])
+
+
+def blocked(rows: DataFrame, by: list[str], order: str, halo: int, most: int = BLOCK) -> DataFrame:
+    """rows with _n, their number from 1 within the columns by; _block, the run of `most` of them that they are in; and _own.
+
+    Each block also holds the halo, the last so many rows before it, with _own false: a window that looks back no further can
+    be taken by block, so that a key with all the rows is many tasks. order is a number without ties within a key. Rows are
+    numbered within ranges of the order, offset by a count a key and range.
+    """
+    most = max(most, halo)
+    ranged = rows.withColumn("_range", _ranges(rows, order))
+    sizes = ranged.groupBy(*by, "_range").agg(F.count("*").alias("_size"))
+    before = F.sum("_size").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select(*[F.col(k).alias(f"_of_{k}") for k in [*by, "_range"]], F.coalesce(before, F.lit(0)).alias("_offset"))
+    numbered = ranged.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "_range").orderBy(order))).join(offsets, _same([*by, "_range"], "_of_"))
+    mine = F.floor((F.col("_n") - 1) / most)
+    in_halo = (F.col("_n") - 1) % most >= most - halo
+    placed = numbered.withColumn("_n", F.col("_n") + F.col("_offset")).withColumn("_block", F.explode(F.when(in_halo, F.array(mine, mine + 1)).otherwise(F.array(mine))))
+    return placed.withColumn("_own", F.col("_block") == mine).drop("_range", "_offset", *[f"_of_{k}" for k in [*by, "_range"]])
+
+
+def drift_events(signals: DataFrame, by: list[str], order: str, value: str = "value", threshold: Column | float = 0.20, window: int = 64, block: int = BLOCK) -> DataFrame:
     """The rows at which drift begins, with reference_mean, recent_mean and magnitude: the means of the window rows before the
     last window rows and of the last window rows differ by the threshold or more, and no drift is on. It is over once they
     differ by less than 0.6 of it. Rows before the windows are full decide nothing.
 
-    Partitioned by the given columns; the state is the last decision before a row, so no loop is needed.
+    The state is the last decision before a row, so no loop is needed. Keys are taken in blocks; a block's first rows get the
+    decision of the blocks before it by a join of the few rows at which drift may begin.
     """
-    w = Window.partitionBy(*by).orderBy(order)
+    w = Window.partitionBy(*by, "_block").orderBy("_n")
     limit = threshold if isinstance(threshold, Column) else F.lit(threshold)
-    means = signals.withColumns({
-        "_n": F.row_number().over(w), "reference_mean": F.avg(value).over(w.rowsBetween(-2 * window + 1, -window)), "recent_mean": F.avg(value).over(w.rowsBetween(-window + 1, 0)),
-    }).withColumn("magnitude", F.abs(F.col("recent_mean") - F.col("reference_mean")))
+    means = blocked(signals, by, order, 2 * window - 1, block).withColumns({
+        "reference_mean": F.avg(value).over(w.rowsBetween(-2 * window + 1, -window)), "recent_mean": F.avg(value).over(w.rowsBetween(-window + 1, 0)),
+    }).where("_own").withColumn("magnitude", F.abs(F.col("recent_mean") - F.col("reference_mean")))
     full = F.col("_n") >= 2 * window
-    turn = F.when(full & (F.col("magnitude") >= limit), F.lit(1)).when(full & (F.col("magnitude") < limit * 0.6), F.lit(0))
+    turned = means.withColumn("_turn", F.when(full & (F.col("magnitude") >= limit), F.lit(1)).when(full & (F.col("magnitude") < limit * 0.6), F.lit(0)))
     state = F.last("_turn", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return means.withColumn("_turn", turn).withColumn("_before", F.coalesce(state, F.lit(0))).where("_turn = 1 and _before = 0").drop("_n", "_turn", "_before")
-
-
-def rolling_flow_rate(rows: DataFrame, order: str = "arrival", ts_us: str = "ts_us", by: tuple[str, ...] = ("model_version",), most: int = 256) -> DataFrame:
-    """rows with flow_rate in 0..1: of the last 60 s and at most the last 256 rows, counted anew when time runs back."""
-    w = Window.partitionBy(*by).orderBy(order)
-    parts = rows.withColumn("_part", F.sum(F.when(F.col(ts_us) < F.lag(ts_us).over(w), 1).otherwise(0)).over(w))
-    p = Window.partitionBy(*by, "_part").orderBy(order)
-    at = parts.withColumns({"_i": F.row_number().over(p), "_cap": F.lag(ts_us, most - 1).over(p)})
+    begins = turned.withColumn("_before", state).where("_turn = 1 and coalesce(_before, 0) = 0")
+    ends = turned.where("_turn is not null").groupBy(*by, "_block").agg(F.max_by("_turn", "_n").alias("_last"))
+    carried = ends.select(*[F.col(k).alias(f"_of_{k}") for k in [*by, "_block"]], F.lag("_last").over(Window.partitionBy(*by).orderBy("_block")).alias("_carried"))  # a row a block
+    found = begins.join(carried, _same([*by, "_block"], "_of_")).where("coalesce(_before, _carried, 0) = 0")
+    return found.drop("_n", "_block", "_own", "_turn", "_before", "_carried", *[f"_of_{k}" for k in [*by, "_block"]])
+
+
+def _rated(at: DataFrame, ts_us: str, by: list[str], most: int) -> DataFrame:
+    """blocked() rows with flow_rate; the halo must have `most` rows."""
+    w = Window.partitionBy(*by, "_block").orderBy("_n")
+    parts = at.withColumn("_part", F.sum(F.when(F.col(ts_us) < F.lag(ts_us).over(w), 1).otherwise(0)).over(w))
+    p = Window.partitionBy(*by, "_block", "_part").orderBy("_n")
+    placed = parts.withColumns({"_i": F.row_number().over(p), "_cap": F.lag(ts_us, most - 1).over(p)})
     # within a part time doesn't fall, so the rows of the last minute up to this one are counted by subtracting those before it
-    r = Window.partitionBy(*by, "_part").orderBy(ts_us).rangeBetween(-60_000_000, 0)
-    framed = at.withColumns({"_first": F.min("_i").over(r), "_start": F.min(ts_us).over(r)})
+    r = Window.partitionBy(*by, "_block", "_part").orderBy(ts_us).rangeBetween(-60_000_000, 0)
+    framed = placed.withColumns({"_first": F.min("_i").over(r), "_start": F.min(ts_us).over(r)})
     n = F.least(F.col("_i") - F.col("_first") + 1, F.lit(most))
     start = F.when(F.col("_i") - F.col("_first") + 1 > most, F.col("_cap")).otherwise(F.col("_start"))
     rate = F.when(n < 2, n.cast("double")).otherwise((n - 1) / F.greatest((F.col(ts_us) - start) / 1e6, F.lit(0.001)))
     return framed.withColumn("flow_rate", F.log1p(F.least(rate, F.lit(10_000.0))) / math.log1p(10_000.0)).drop("_part", "_i", "_cap", "_first", "_start")
 
 
-def runtime_signals(detections: DataFrame, order: str = "arrival", by: tuple[str, ...] = ("model_version",), window: int = 64) -> DataFrame:
+def rolling_flow_rate(rows: DataFrame, order: str = "arrival", ts_us: str = "ts_us", by: tuple[str, ...] = ("model_version",), most: int = 256, block: int = BLOCK) -> DataFrame:
+    """rows with flow_rate in 0..1: of the last 60 s and at most the last 256 rows, counted anew when time runs back."""
+    return _rated(blocked(rows, [*by], order, most, block), ts_us, [*by], most).where("_own").drop("_n", "_block", "_own")
+
+
+def runtime_signals(detections: DataFrame, order: str = "arrival", by: tuple[str, ...] = ("model_version",), window: int = 64, block: int = BLOCK) -> DataFrame:
     """(by, order, detection_id, signal, value): the seven drift signals of each detection, repeated ids once.
 
     detections has detection_id, ts_us, anomaly_score, confidence, verdict, duration_ms, bytes_forward, bytes_reverse and
     packet_length_mean.
     """
     once = detections.withColumn("_rn", F.row_number().over(Window.partitionBy("detection_id").orderBy(order))).where("_rn = 1").drop("_rn")
-    w = Window.partitionBy(*by).orderBy(order)
-    wide = rolling_flow_rate(once, order, by=by).select(
+    w = Window.partitionBy(*by, "_block").orderBy("_n")
+    wide = _rated(blocked(once, [*by], order, max(256, window), block), "ts_us", [*by], 256).select(
         *by, order, "detection_id", F.col("anomaly_score").cast("double"), F.col("confidence").cast("double").alias("known_class_confidence"), "flow_rate",
         (F.log1p("duration_ms") / math.log1p(86_400_000)).alias("feature_duration"), (F.log1p(F.col("bytes_forward") + F.col("bytes_reverse")) / math.log1p(2e15)).alias("feature_bytes_total"),
-        (F.col("packet_length_mean") / 65_535).alias("feature_packet_length_mean"), F.avg((F.col("verdict") != "benign").cast("double")).over(w.rowsBetween(-window + 1, 0)).alias("alert_rate"),
-    )
+        (F.col("packet_length_mean") / 65_535).alias("feature_packet_length_mean"), F.avg((F.col("verdict") != "benign").cast("double")).over(w.rowsBetween(-window + 1, 0)).alias("alert_rate"), "_own",
+    ).where("_own").drop("_own")
     return wide.unpivot([*by, order, "detection_id"], list(THRESHOLDS), "signal", "value")
 
 
-def runtime_drift(detections: DataFrame, order: str = "arrival", by: tuple[str, ...] = ("model_version",), window: int = 64) -> DataFrame:
+def runtime_drift(detections: DataFrame, order: str = "arrival", by: tuple[str, ...] = ("model_version",), window: int = 64, block: int = BLOCK) -> DataFrame:
     """Drift events of the seven signals, with deterministic ids."""
-    signals = runtime_signals(detections, order, by, window)
+    signals = runtime_signals(detections, order, by, window, block)
     limit = F.create_map(*[F.lit(x) for kv in THRESHOLDS.items() for x in kv])[F.col("signal")]
-    found = drift_events(signals, [*by, "signal"], order, threshold=limit, window=window)
+    found = drift_events(signals, [*by, "signal"], order, threshold=limit, window=window, block=block)
     return found.withColumn("event_id", uuid5(F.concat(F.lit("wiretide-drift:"), F.col("detection_id"), F.lit(":"), F.col("signal"), F.lit(":"), F.format_string("%.12f", "magnitude"))))
 
 

@@ -53,11 +53,11 @@ def multiclass_brier(df: DataFrame, probabilities: Column, one_hot: Column) -> D
     return df.agg(F.avg(F.aggregate(F.zip_with(probabilities, one_hot, lambda p, y: (p - y) * (p - y)), F.lit(0.0), lambda a, x: a + x)).alias("brier"))
 
 
-def _ranges(counts: DataFrame) -> Column:
+def _ranges(counts: DataFrame, score: str = "score") -> Column:
     """The range of score that a row is in, from 0: bounds are fixed once, as many at most as shuffle partitions, so that every
     use of the column deals rows alike, whether or not an exchange is reused."""
     n = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = counts.select(F.col("score").cast("double")).approxQuantile("score", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
+    bounds = counts.select(F.col(score).cast("double").alias("score")).approxQuantile("score", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
     bounds = sorted(set(bounds))
 
     def below(low: int, high: int) -> Column:
@@ -65,7 +65,7 @@ def _ranges(counts: DataFrame) -> Column:
         if low == high:
             return F.lit(low)
         middle = (low + high) // 2
-        return F.when(F.coalesce(F.col("score") <= bounds[middle], F.lit(True)), below(low, middle)).otherwise(below(middle + 1, high))
+        return F.when(F.coalesce(F.col(score).cast("double") <= bounds[middle], F.lit(True)), below(low, middle)).otherwise(below(middle + 1, high))
 
     return below(0, len(bounds))
 
