@@ -55,8 +55,8 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def join_spread(big: DataFrame, small: DataFrame, on: list[str], n: str, counts: DataFrame | None = None) -> DataFrame:
-    """big joined with small, whose rows are unique in on and say in n how many rows of big they meet.
+def join_spread(big: DataFrame, small: DataFrame, on: list[str], n: str, counts: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """big joined with small, whose rows are unique in on and say in n how many rows of big they meet; how is inner or left.
 
     A key that meets more rows than an even share of a partition is salted: its row of small goes to as many places as it has
     such shares, and its rows of big are dealt over them. There are fewer such keys than partitions, so their list is
@@ -69,7 +69,7 @@ def join_spread(big: DataFrame, small: DataFrame, on: list[str], n: str, counts:
     place = F.pmod(F.xxhash64(*[c for c in big.columns if c not in on]), F.coalesce("_places", F.lit(1))).cast("int")
     dealt = big.join(hot, on, "left").withColumn("_place", place).drop("_places")
     copies = small.join(hot, on, "left").withColumn("_place", F.explode(F.sequence(F.lit(0), F.coalesce("_places", F.lit(1)) - 1))).drop("_places")
-    return dealt.join(copies, [*on, "_place"]).drop("_place")
+    return dealt.join(copies, [*on, "_place"], how).drop("_place")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
