@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wiretide.llm import boilerplate, bpe, chat, convrepair, decontam, langid, linededup, quality, secrets, simhash, substring
+from wiretide.llm import boilerplate, bpe, chat, convrepair, decontam, langid, linededup, personal, phrases, quality, secrets, simhash, substring
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_line_dedup": linededup.op8_line_dedup,
     "op9_html_extraction": boilerplate.op9_html_extraction,
     "op10_language_id": langid.op10_language_id,
+    "op11_personal_data": personal.op11_personal_data,
+    "op12_phrase_collocations": phrases.op12_phrase_collocations,
     "op13_conversation_repair": convrepair.op13_conversation_repair,
 }
 
@@ -24,5 +26,6 @@ ORACLE: dict[str, str] = {
     "op4_chat_formatting": chat.ORACLE_OP4,
     "op7_benchmark_decontamination": decontam.ORACLE_OP7,
     "op8_line_dedup": linededup.ORACLE_OP8,
+    "op12_phrase_collocations": phrases.ORACLE_OP12,
     "op13_conversation_repair": convrepair.ORACLE_OP13,
 }
