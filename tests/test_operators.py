@@ -139,6 +139,37 @@ def test_temporal_against_a_loop(spark, most):
         assert got[e] == pytest.approx(want[e], abs=1e-9), e
 
 
+@pytest.mark.parametrize(("window", "short", "skew", "most"), [(60, 10, 5, 2048), (60, 10, 5, 7), (30, 30, 30, 5), (20, 5, 40, 3), (60, 10, 0, 50), (400, 100, 50, 60)])
+def test_frame_against_a_loop(window, short, skew, most):
+    rows = temporal_rows(1500, seed=most)
+    want = loop_temporal(rows, window * 10**6, short * 10**6, skew * 10**6, most)
+    frames, marks, seen = {}, {}, set()
+    for i, (event, key, ts, ip, port, proto, ms) in enumerate(rows):
+        if event in seen:
+            continue
+        seen.add(event)
+        marks[key] = max(ts, marks.get(key, ts))
+        frame = frames.setdefault(key, temporal.Frame(window * 10**6, short * 10**6, skew * 10**6, most))
+        if i % 97 == 0:  # goes on from what another one remembers
+            other = frame
+            frame = frames[key] = temporal.Frame(window * 10**6, short * 10**6, skew * 10**6, most)
+            frame.load(other.rows[other.low :], marks[key] if not other.rows else max(r[0] for r in other.rows))
+        assert frame.observe((ts, i, ip, port, proto, ms <= 1000), marks[key]) == pytest.approx(want[event], abs=1e-9), i
+
+
+def test_one_source_is_many_blocks(spark):
+    """A source with all the rows, over block borders: blocks of one window, and of one that holds all."""
+    rows = [(f"e{i}", ("s", "10.0.0.1"), ts, *rest) for i, (_, _, ts, *rest) in enumerate(temporal_rows(900))]
+    want = loop_temporal(rows, 60_000_000, 10_000_000, 5_000_000, 2048)
+    frame = temporal_frame(spark, rows)
+    for block in (1, 10**6):
+        out = temporal.temporal_features(frame, keep=("arrival",), block=block)
+        got = {r["event_id"]: [r[f] for f in temporal.FEATURES] for r in out.collect()}
+        assert set(got) == set(want) and all(got[e] == pytest.approx(want[e], abs=1e-9) for e in want)
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    assert temporal.temporal_features(frame.where("false")).count() == 0
+
+
 def test_portable_features_vector(spark):
     df = spark.createDataFrame([(1, 10.0, 1, 1, 10, 10, "TCP", 443), (2, 10.0, 1, 1, 10, 10, "TCP", None)], "i int, duration_ms double, packets_forward long, packets_reverse long, bytes_forward long, bytes_reverse long, protocol string, dst_port int")
     a, b = features.portable_features(df, "i").orderBy("i").collect()
@@ -180,6 +211,86 @@ def test_incident_fold_vector(spark):
     assert incidents.assign_incidents(later).select("incident_id").distinct().count() == 2
 
 
+def plain_fold(alerts):
+    """(alert, first alert of its incident, reasons, title), looking through all open incidents for each alert."""
+    open_, made, out = [], 0, []
+    rank = incidents.SEVERITIES.index
+    for alert, ts, src, dst, sigs, codes, stage, severity, risk in sorted(alerts, key=lambda a: (a[1], a[0])):
+        open_ = [x for x in open_ if x["at"] >= ts - incidents.GAP_US]
+        best, why = None, []
+        for inc in sorted(open_, key=lambda x: (-x["at"], -x["n"])):
+            found = ["same source host"] * (src in inc["src"]) + ["shared destination"] * (dst in inc["dst"]) + ["common signature"] * bool(inc["sig"] & set(sigs)) + ["common reason"] * bool(inc["why"] & set(codes))
+            found += [f"similar attack stage ({stage})"] * (stage not in incidents.GENERIC_STAGES and stage in inc["stage"])
+            s, r = inc["sev"], inc["risk"]
+            found += ["repeated escalation"] * (len(r) == 2 and (r[0] < r[1] < risk or s[0] < s[1] < rank(severity)))
+            if len(found) > len(why):
+                best, why = inc, found
+        if best is None:
+            best, made, why = {"id": alert, "n": made, "src": set(), "dst": set(), "sig": set(), "why": set(), "stage": set(), "sev": [], "risk": [], "title": f"Activity from {src}"}, made + 1, ["initial alert"]
+            open_.append(best)
+        else:
+            why = ["time proximity", *why]
+            best["title"] = best["title"] if src in best["src"] else "Correlated network activity"
+        best["at"] = ts
+        for k, v in (("src", {src}), ("dst", {dst}), ("sig", sigs), ("why", codes), ("stage", {stage})):
+            best[k] |= set(v)
+        best["sev"], best["risk"] = [*best["sev"][-1:], rank(severity)], [*best["risk"][-1:], risk]
+        out.append((alert, best["id"], why, best["title"]))
+    return out
+
+
+def fold_data(n, hosts, seed, flat=False, steps=(0, 1, 60, 200, 700)):
+    rng, ts, out = random.Random(seed), T0, []
+    for i in range(n):
+        ts += rng.choice(steps) * 1_000_000
+        h = rng.randrange(hosts)
+        out.append((f"a{i:05}", ts, f"10.0.{h}.{rng.randrange(3)}", f"192.0.{h}.{rng.randrange(3)}", [f"g{h}"] * rng.randrange(2), [f"R{h}"] if rng.random() < 0.3 else [], rng.choice(["needs_review", f"stage{h}"]),
+                    "low" if flat else rng.choice(incidents.SEVERITIES), 5.0 if flat else float(rng.randrange(20))))
+    return out
+
+
+@pytest.mark.parametrize(("hosts", "flat", "large"), [(2, False, 10**9), (30, False, 10**9), (30, False, 1), (30, True, 1), (1000, True, 20)])
+def test_incident_members_against_a_scan(spark, hosts, flat, large):
+    rows = fold_data(400, hosts, hosts, flat)
+    got = incidents.assign_incidents(spark.createDataFrame(rows, FOLD), large=large).collect()
+    want = {a: (first, why, title) for a, first, why, title in plain_fold(rows)}
+    ids = {r["alert_id"]: r["incident_id"] for r in got}
+    assert {r["alert_id"]: (ids[want[r["alert_id"]][0]], list(r["reasons"]), r["title"]) for r in got} == {a: (ids[first], why, title) for a, (first, why, title) in want.items()}
+    assert len({ids[f] for f, *_ in want.values()}) == len({f for f, *_ in want.values()})
+
+
+def test_large_sessions_fall_into_components(spark):
+    rows = fold_data(300, 40, 5, True, steps=(1,))  # one session
+    frame = spark.createDataFrame(rows, FOLD)
+    dated = incidents.sessions(frame)
+    parts = {r["alert_id"]: r["_part"] for r in incidents._parts(dated, ["session"], 1).collect()}
+    links = {}
+    label = {r[0]: r[0] for r in rows}
+    for alert, _, src, dst, sigs, codes, stage, *_ in rows:  # all within the gap
+        for link in [src, dst, *sigs, *codes] + [stage] * (stage != "needs_review"):
+            other = links.setdefault(link, alert)
+            low, high = sorted((label[other], label[alert]))
+            label = {k: low if v == high else v for k, v in label.items()}
+    assert parts == label and len(set(parts.values())) > 10
+    rising = [(*r[:8], float(i)) for i, r in enumerate(rows)]  # an escalation may link any two
+    assert {r["_part"] for r in incidents._parts(incidents.sessions(spark.createDataFrame(rising, FOLD)), ["session"], 1).collect()} == {""}
+
+
+def test_context_is_rebuilt_from_members(spark):
+    """Going on from the rebuilt context assigns the next alert as the fold does, by the same reasons."""
+    rows = fold_data(60, 3, 9, steps=(1, 60))
+    frame = spark.createDataFrame(rows, FOLD)
+    members = frame.join(incidents.assign_incidents(frame.where("alert_id < 'a00059'")).select("alert_id", "incident_id"), "alert_id")
+    context = incidents.incident_context(members).where(F.col("updated_us") >= rows[-1][1] - incidents.GAP_US)
+    old = F.struct(*[F.col(c) for c in ("source_hosts", "destination_hosts", "signature_ids", "reason_codes", "attack_stages", "severities", "risks")])
+    new = frame.where("alert_id = 'a00059'").select(F.struct(F.col("src_ip").alias("source_host"), F.col("dst_ip").alias("destination_host"), "signature_ids", "reason_codes", "attack_stage", "severity", "risk").alias("alert"))
+    judged = context.select("updated_us", "incident_id", old.alias("incident")).crossJoin(new).withColumn("why", incidents.grouping_reasons())
+    told = judged.where(incidents.should_group(F.col("why"))).orderBy(F.size("why").desc(), F.desc("updated_us")).first()
+    want = {a: (first, why) for a, first, why, _ in plain_fold(rows)}["a00059"]
+    assert sorted(told["why"]) == sorted(want[1])
+    assert told["incident_id"] == members.where(F.col("alert_id") == want[0]).first()["incident_id"]
+
+
 def test_validation(spark):
     now = dt.datetime(2026, 1, 1)
     good = ("e", "s", now, now, "10.0.0.1", "10.0.0.2", 1, 2, "TCP", 1.0, 1, 1, 1, 1, 5.0, 9.0, 4)

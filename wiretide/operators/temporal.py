@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import bisect
+import math
+from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F
+
+from wiretide.operators.drift import _same
 from wiretide.operators.features import protocol_group
+from wiretide.operators.metrics import _ranges
 
 FEATURES = (
     "source_flows_10s_log1p", "source_flows_60s_log1p", "unique_destinations_10s_log1p", "unique_destinations_60s_log1p", "unique_destination_ports_10s_log1p", "unique_destination_ports_60s_log1p",
@@ -13,61 +21,195 @@ FEATURES = (
 )
 
 
-def _mean(xs: Column) -> Column:
-    return F.aggregate(xs, F.lit(0.0), lambda a, v: a + v) / F.greatest(F.size(xs), F.lit(1))
+class Frame:
+    """What a source's rows of the last window tell, kept up as rows come in order of arrival: O(log n) a row, whatever the window holds.
+
+    Rows lie in order of time, the short window at their end. Destinations, ports and protocols are counted, so what is distinct
+    is the size of a counter; entropy follows from a running sum of c ln c, gaps from the first and last time and a running sum
+    of squares. Times are whole microseconds, so these sums are exact.
+    """
+
+    def __init__(self, window: int, short: int, skew: int, most: int) -> None:
+        self.window, self.short, self.skew, self.most = window, short, skew, most
+        self.rows: list[tuple] = []  # (time, arrival, ip, port, protocol, brief)
+        self.low = self.near = 0  # where the window and the short window begin in rows; what is before is gone
+        self.ips, self.ports, self.protocols, self.near_ips, self.near_ports = (Counter() for _ in range(5))
+        self.briefs = self.squares = 0
+        self.clog = 0.0
+        self.new: list[tuple] = []
+        self.old: list[tuple] = []
+
+    def _count(self, row: tuple, by: int) -> None:
+        _, _, ip, port, protocol, brief = row
+        c = self.ips[ip]
+        self.clog += _clog(c + by) - _clog(c)
+        for counter, value in ((self.ips, ip), (self.ports, port), (self.protocols, protocol)):
+            self._add(counter, value, by)
+        self.briefs += by * brief
+
+    @staticmethod
+    def _add(counter: Counter, value, by: int) -> None:
+        counter[value] += by
+        if not counter[value]:
+            del counter[value]
+
+    def _count_near(self, row: tuple, by: int) -> None:
+        self._add(self.near_ips, row[2], by)
+        self._add(self.near_ports, row[3], by)
+
+    def _drop_first(self) -> None:
+        row = self.rows[self.low]
+        if self.near == self.low:
+            self._count_near(row, -1)
+            self.near += 1
+        self._count(row, -1)
+        self.low += 1
+        if self.low < len(self.rows):
+            self.squares -= (self.rows[self.low][0] - row[0]) ** 2
+        self.old.append(row)
+        if self.low > 64 and 2 * self.low > len(self.rows):
+            del self.rows[: self.low]
+            self.near -= self.low
+            self.low = 0
+
+    def _move(self, wm: int) -> None:
+        while self.low < len(self.rows) and self.rows[self.low][0] < wm - self.window:
+            self._drop_first()
+        while self.near < len(self.rows) and self.rows[self.near][0] < wm - self.short:
+            self._count_near(self.rows[self.near], -1)
+            self.near += 1
+
+    def load(self, rows: list[tuple], wm: int) -> None:
+        """Takes up where another frame left: rows are those that it remembered, wm its watermark."""
+        for row in sorted(rows):
+            if self.rows:
+                self.squares += (row[0] - self.rows[-1][0]) ** 2
+            self.rows.append(row)
+            self._count(row, 1)
+            if row[0] >= wm - self.short:
+                self._count_near(row, 1)
+            else:
+                self.near += 1
+
+    def put(self, row: tuple, wm: int) -> None:
+        """Remembers a row, unless it is more than the skew behind the watermark, which never falls."""
+        self._move(wm)
+        if row[0] < wm - min(self.skew, self.window):
+            return
+        at = bisect.bisect(self.rows, row[:2], lo=self.low, key=lambda r: r[:2])
+        before = self.rows[at - 1][0] if at > self.low else None
+        after = self.rows[at][0] if at < len(self.rows) else None
+        if before is not None and after is not None:
+            self.squares -= (after - before) ** 2
+        self.squares += (row[0] - before) ** 2 if before is not None else 0
+        self.squares += (after - row[0]) ** 2 if after is not None else 0
+        self.rows.insert(at, row)
+        self.new.append(row)
+        self._count(row, 1)
+        if row[0] >= wm - self.short:
+            self._count_near(row, 1)
+        else:
+            self.near += 1
+        if len(self.rows) - self.low > self.most:
+            self._drop_first()
 
+    def observe(self, row: tuple, wm: int) -> list[float]:
+        """The 16 features of a row that arrives, which is then remembered."""
+        self._move(wm)
+        p = len(self.rows) - self.low
+        same_ip, same_port, same_protocol = self.ips[row[2]], self.ports[row[3]], self.protocols[row[4]]
+        self.put(row, wm)
+        n = len(self.rows) - self.low
+        gaps = n - 1
+        span = self.rows[-1][0] - self.rows[self.low][0] if gaps > 0 else 0
+        mean = span / gaps / 1000 if gaps > 0 else 0.0
+        std = math.sqrt(gaps * self.squares - span * span) / gaps / 1000 if gaps > 1 else 0.0
+        k = len(self.ips)
+        entropy = max(0.0, math.log(n) - self.clog / n) / math.log(k) if k > 1 else 0.0
+        return [
+            math.log1p(len(self.rows) - self.near), math.log1p(n), math.log1p(len(self.near_ips)), math.log1p(k), math.log1p(len(self.near_ports)), math.log1p(len(self.ports)),
+            float(p > 0 and not same_ip), 1 - same_port / p if p else 0.0, 1 - same_protocol / p if p else 0.0, entropy,
+            math.log1p(mean), math.log1p(std), std / max(mean + std, 1e-9), self.briefs / n if n else 0.0, float(p == 0), float(row[0] < wm),
+        ]
 
-def temporal_features(flows: DataFrame, window_s: float = 60.0, short_s: float = 10.0, skew_s: float = 5.0, most: int = 2048, keep: tuple[str, ...] = ()) -> DataFrame:
+    def changes(self) -> tuple[list[tuple], list[tuple]]:
+        """The rows remembered and forgotten since this was last asked."""
+        new, old = self.new, self.old
+        self.new, self.old = [], []
+        gone = {r[:2] for r in old}
+        kept = {r[:2] for r in new}
+        return [r for r in new if r[:2] not in gone], [r for r in old if r[:2] not in kept]
+
+
+def _clog(c: int) -> float:
+    return c * math.log(c) if c > 1 else 0.0
+
+
+def with_watermark(flows: DataFrame, by: list[str], order: str, ts: str = "ts_us") -> DataFrame:
+    """flows with _wm, the largest time of a key up to the row in the order, which has no ties. The running maximum is taken within
+    ranges of the order, and of the ranges' largest times before, so that a key with all rows is many tasks."""
+    ranged = flows.withColumn("_range", _ranges(flows, order))
+    within = Window.partitionBy(*by, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    tops = ranged.groupBy(*by, "_range").agg(F.max(ts).alias("_top"))
+    before = F.max("_top").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))  # a row a range
+    tops = tops.select(*[F.col(k).alias(f"_of_{k}") for k in [*by, "_range"]], before.alias("_before"))
+    marked = ranged.withColumn("_within", F.max(ts).over(within)).join(tops, _same([*by, "_range"], "_of_"))
+    return marked.withColumn("_wm", F.greatest("_within", "_before")).drop("_range", "_within", "_before", *[f"_of_{k}" for k in [*by, "_range"]])
+
+
+def observed(flows: DataFrame) -> DataFrame:
+    """The columns that a Frame takes of a row, with those of flows."""
+    return flows.withColumns({"_port": F.coalesce("dst_port", F.lit(-1)), "_protocol": protocol_group(F.col("protocol")), "_brief": F.coalesce(F.col("duration_ms") <= 1000, F.lit(False))})
+
+
+def temporal_features(flows: DataFrame, window_s: float = 60.0, short_s: float = 10.0, skew_s: float = 5.0, most: int = 2048, keep: tuple[str, ...] = (), block: int = 10) -> DataFrame:
     """(event_id, the columns to keep, the 16 temporal features) of each flow, in order of arrival per sensor and source.
 
     flows has event_id, sensor_id, src_ip, dst_ip, dst_port, protocol, duration_ms, ts_us (microseconds) and arrival (an order
-    without ties). Repeated event ids count once, the first to arrive. The watermark of a key is the running maximum of its
-    times; a row before it is late, and one more than the skew before it is told so but isn't remembered. As watermarks never
-    fall, all that a row can see lies in a range frame over them, filtered by arrival; at most the last `most` remembered rows
-    of a source are seen. A null port is one value of its own.
+    without ties, a number). Repeated event ids count once, the first to arrive. The watermark of a key is the running maximum of
+    its times; a row before it is late, and one more than the skew before it is told so but isn't remembered; of a source at most
+    the last `most` rows by time are. A null port is one value of its own, a null duration isn't short.
 
-    One shuffle by key. A frame holds the rows of one key within the window, not the key's whole history; a source that is hot
-    for hours costs time in one task but no memory beyond the cap.
+    As a watermark never falls, a key falls apart into blocks of `block` windows of its watermark, each with the rows of the
+    window before it as a halo. Blocks are dealt by hash, sorted and folded as a stream by a Frame, so a source with all the rows
+    is many tasks, none of which holds more than a frame and a batch; each row costs O(log most).
     """
+    key = ["sensor_id", "src_ip"]
     first = Window.partitionBy("event_id").orderBy("arrival")
-    once = flows.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")
-    key = Window.partitionBy("sensor_id", "src_ip").orderBy("arrival")
+    kept = [c for c in dict.fromkeys(keep) if c != "event_id"]
+    need = list(dict.fromkeys(["event_id", *key, "dst_ip", "dst_port", "protocol", "duration_ms", "ts_us", "arrival", *kept]))
+    once = flows.select(*need).withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")
     window, short, skew = (int(x * 1e6) for x in (window_s, short_s, skew_s))
-    marked = once.withColumn("_wm", F.max("ts_us").over(key.rowsBetween(Window.unboundedPreceding, 0)))
-    record = F.struct(F.col("ts_us").alias("ts"), F.col("arrival").alias("seq"), F.col("dst_ip").alias("ip"), F.coalesce("dst_port", F.lit(-1)).alias("port"), protocol_group(F.col("protocol")).alias("proto"), (F.col("duration_ms") <= 1000).alias("brief"))
-    remembered = F.when(F.col("ts_us") >= F.col("_wm") - skew, record)
-    frame = Window.partitionBy("sensor_id", "src_ip").orderBy("_wm").rangeBetween(-(window + skew), 0)
-    seen = marked.withColumns({"_me": record, "_all": F.collect_list(remembered).over(frame)})
-    at = seen.select(
-        "event_id", *keep, "_me", (F.col("ts_us") < F.col("_wm")).alias("_late"), "_wm",
-        F.array_sort(F.filter("_all", lambda r: r["seq"] <= F.col("_me.seq"))).alias("_cut"),
-    )
-    last = lambda rows: F.when(F.size(rows) > most, F.slice(rows, F.size(rows) - (most - 1), F.lit(most))).otherwise(rows)
-    recent = lambda rows: F.filter(rows, lambda r: r["ts"] >= F.col("_wm") - window)
-    before = at.withColumn("_was", F.filter("_cut", lambda r: r["seq"] < F.col("_me.seq")))
-    sets = before.select("event_id", *keep, "_me", "_late", "_wm", recent(last(F.col("_cut"))).alias("_active"), recent(last(F.col("_was"))).alias("_prior"))
-    sets = sets.withColumn("_short", F.filter("_active", lambda r: r["ts"] >= F.col("_wm") - short))
-    distinct = lambda c, f: F.size(F.array_distinct(F.transform(c, lambda r: r[f])))
-    n, p = F.size("_active"), F.size("_prior")
-    shared = lambda f: F.size(F.filter("_prior", lambda r: r[f] == F.col("_me")[f]))
-    gaps = sets.withColumns({
-        "_gaps": F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: (F.get("_active", i)["ts"] - F.get("_active", i - 1)["ts"]) / 1000.0)).otherwise(F.array().cast("array<double>")),
-        "_ips": F.transform("_active", lambda r: r["ip"]),
-    }).withColumns({"_mean": _mean(F.col("_gaps")), "_kinds": F.array_distinct("_ips")})
-    spread = gaps.withColumn("_std", F.when(F.size("_gaps") > 1, F.sqrt(_mean(F.transform("_gaps", lambda g: (g - F.col("_mean")) * (g - F.col("_mean")))))).otherwise(0.0))
-    shares = F.transform("_kinds", lambda k: F.size(F.filter("_ips", lambda i: i == k)) / n)
-    entropy = -F.aggregate(shares, F.lit(0.0), lambda a, s: a + s * F.log(s)) / F.log(F.greatest(F.size("_kinds"), F.lit(2)).cast("double"))
-    return spread.select(
-        "event_id", *keep,
-        F.log1p(F.size("_short")).alias(FEATURES[0]), F.log1p(n).alias(FEATURES[1]), F.log1p(distinct("_short", "ip")).alias(FEATURES[2]), F.log1p(F.size("_kinds")).alias(FEATURES[3]),
-        F.log1p(distinct("_short", "port")).alias(FEATURES[4]), F.log1p(distinct("_active", "port")).alias(FEATURES[5]),
-        ((p > 0) & (shared("ip") == 0)).cast("double").alias(FEATURES[6]),
-        F.when(p > 0, 1 - shared("port") / p).otherwise(0.0).alias(FEATURES[7]), F.when(p > 0, 1 - shared("proto") / p).otherwise(0.0).alias(FEATURES[8]),
-        F.when((n > 1) & (F.size("_kinds") > 1), entropy).otherwise(0.0).alias(FEATURES[9]),
-        F.log1p("_mean").alias(FEATURES[10]), F.log1p("_std").alias(FEATURES[11]), (F.col("_std") / F.greatest(F.col("_mean") + F.col("_std"), F.lit(1e-9))).alias(FEATURES[12]),
-        F.when(n > 0, F.size(F.filter("_active", lambda r: r["brief"])) / n).otherwise(0.0).alias(FEATURES[13]),
-        (p == 0).cast("double").alias(FEATURES[14]), F.col("_late").cast("double").alias(FEATURES[15]),
-    )
+    length = block * window
+    mine = F.floor(F.col("_wm") / length)
+    marked = observed(with_watermark(once, key, "arrival"))
+    halo = F.col("_wm") >= (mine + 1) * length - window
+    placed = marked.withColumn("_block", F.explode(F.when(halo, F.array(mine, mine + 1)).otherwise(F.array(mine)))).withColumn("_own", F.col("_block") == mine)
+    rows = placed.select(*[F.col(k).alias(f"_k_{k}") for k in key], "_block", "_own", "_wm", "ts_us", F.col("arrival").alias("_arrival"), F.col("dst_ip").alias("_ip"), "_port", "_protocol", "_brief", F.col("event_id").alias("_event"), *[F.col(c).alias(f"_keep_{c}") for c in kept])
+    sorted_rows = rows.repartition("_k_sensor_id", "_k_src_ip", "_block").sortWithinPartitions("_k_sensor_id", "_k_src_ip", "_block", "_arrival")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, frame = None, None
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(12)]
+            out = []
+            for sensor, source, part, own, wm, ts, arrival, ip, port, protocol, brief, _ in zip(*columns):
+                if (sensor, source, part) != last:
+                    last, frame = (sensor, source, part), Frame(window, short, skew, most)
+                row = (ts, arrival, ip, port, protocol, brief)
+                if own:
+                    out.append(frame.observe(row, wm))
+                else:
+                    frame.put(row, wm)
+                frame.new.clear()
+                frame.old.clear()
+            mask = batch.column(3)
+            told = [batch.column(i).filter(mask) for i in range(11, batch.num_columns)]
+            made = [pa.array(c, pa.float64()) for c in zip(*out)] if out else [pa.array([], pa.float64())] * len(FEATURES)
+            yield pa.RecordBatch.from_arrays([*told, *made], names=["event_id", *kept, *FEATURES])
+
+    kinds = dict(once.dtypes)
+    return sorted_rows.mapInArrow(fold, ", ".join([f"event_id {kinds['event_id']}", *[f"`{c}` {kinds[c]}" for c in kept], *[f"{f} double" for f in FEATURES]]))
 
 
 def schema_b(flows: DataFrame, **sizes) -> DataFrame:
