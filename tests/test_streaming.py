@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tests.test_operators import FOLD, T0, fold_rows, loop_drift, temporal_frame, temporal_rows
 from wiretide.operators import incidents, temporal
-from wiretide.sources import readers, sinks
+from wiretide.sources import bus, readers, sinks, store
 from wiretide.streaming import jobs
 
 
@@ -81,7 +81,7 @@ def test_detection_stream_is_idempotent_and_quarantines(spark, tmp_path, compile
     dead = {r["error_code"]: r for r in tables["dead_letters"].collect()}
     assert set(dead) == {"dst_port", "malformed"} and dead["dst_port"]["expected_fields_present"] == ["flow"] and dead["dst_port"]["unexpected_field_count"] == 1
     again = jobs.detect(spark.createDataFrame([(envelope(4),), (envelope(5),)], "value string")).drop("value", "error_code")
-    out = sinks.ingest(again, str(tmp_path / "out"), "x").collect()
+    out = store.ingest(again.withColumn("ts_us", F.unix_micros("timestamp_end")), str(tmp_path / "out"), "x").collect()
     assert sorted(r["is_new"] for r in out) == [False, True] and all(r["alert_id"] for r in out)
 
 
@@ -104,3 +104,70 @@ def test_sources(spark, tmp_path):
     assert readers.read_ops_logs(lines).first()["published"] == 3
     sinks.write_csv(sinks.export_rows(spark.createDataFrame([("=x", "10.0.0.1", 5)], "event_id string, src_ip string, secret int"), salt=b"k"), str(tmp_path / "out"))
     assert "secret" not in (text := "".join(f.read_text() for f in (tmp_path / "out").glob("*.csv"))) and "'=x" in text and "10.0.0.1" not in text
+
+
+def scored_rows(spark, rows):
+    return spark.createDataFrame(rows, "detection_id string, event_id string, arrival long, verdict string, severity string, final_risk_score double, sensor_id string, ts_us long, signature_severity string")
+
+
+def test_store(spark, tmp_path):
+    """First write wins over batches; what isn't committed isn't seen; a batch again gives the same; few segments are read; compaction changes no answer."""
+    at = str(tmp_path / "s")
+    row = lambda i, verdict="needs_review", arrival=0, sig=None: (f"d{i}", f"e{i % 40}", arrival, verdict, "low", 1.0, f"s{i % 3}", 1000 + i, sig)
+    one = scored_rows(spark, [row(i, "benign" if i % 2 else "needs_review", sig="high" if i % 5 == 0 else None) for i in range(50)] + [row(0, "benign", 5)])
+    first = {r["detection_id"]: tuple(r[1:]) for r in store.ingest(one, at, "1").collect()}
+    assert first == {f"d{i}": (None if i % 2 else f"alert-d{i}", True) for i in range(50)}
+    schema = one.schema
+    assert store.read(spark, at, "flows", schema).count() == 40 and store.read(spark, at, "signatures", store.SIGNATURE).count() == 8
+    store.put_new(scored_rows(spark, [row(60)]), at, "detections", "detection_id", "arrival", "lost")  # never committed
+    two = scored_rows(spark, [row(0, "benign"), row(1, "needs_review"), row(60), row(61, "benign"), (None, "e", 0, "benign", "low", 1.0, "s", 5, None)])
+    want = {"d0": ("alert-d0", False), "d1": (None, False), "d60": ("alert-d60", True), "d61": (None, True), None: (None, False)}
+    for _ in range(2):
+        assert {r["detection_id"]: tuple(r[1:]) for r in store.ingest(two, at, "2").collect()} == want
+    assert store.read(spark, at, "detections", schema).count() == 52 and store.read(spark, at, "alerts", store.ALERT).count() == 26
+    assert len(store.segments(spark.createDataFrame([("d3",), ("none",)], "detection_id string"), at, "detections", "detection_id", "x", store.BUCKETS)) <= 2
+    tables = {"detections": ("detection_id", schema), "alerts": ("detection_id", store.ALERT), "flows": ("event_id", store.read(spark, at, "flows", schema).drop("batch").schema), "sensors": (None, store.SENSOR)}
+    before = sorted(map(str, store.sensors(spark, at).collect()))
+    store.compact(spark, at, tables, ["1", "2"], "c1")
+    assert [r[0] for r in store.committed(spark, at).collect()] == ["c1"] and sorted(map(str, store.sensors(spark, at).collect())) == before
+    three = scored_rows(spark, [row(0, "benign"), row(61), row(70)])
+    assert {r["detection_id"]: tuple(r[1:]) for r in store.ingest(three, at, "3").collect()} == {"d0": ("alert-d0", False), "d61": (None, False), "d70": ("alert-d70", True)}
+
+
+def test_topic(spark, tmp_path):
+    """Batches of bounded size in order; a publication is whole and once."""
+    topic, out = str(tmp_path / "t"), str(tmp_path / "o")
+    bus.publish(spark.createDataFrame([(f"a{i}",) for i in range(5)], "value string").coalesce(1), topic, "p1")
+    bus.publish(spark.createDataFrame([(f"a{i}",) for i in range(5)], "value string").coalesce(1), topic, "p1")  # again
+    bus.publish(spark.createDataFrame([(f"b{i}\n",) for i in range(4)], "value string").repartition(3), topic)
+    assert sorted(r[0] for r in bus.read_topic(spark, topic).collect()) == [f"a{i}" for i in range(5)] + [f"b{i}\n" for i in range(4)]
+    (tmp_path / "t" / "data" / "lost.jsonl").write_text('"x"\n')  # of a task whose batch was never committed
+    sizes = []
+
+    def see(batch, _):
+        sizes.append(batch.count())
+        if sizes[-1]:
+            bus.publish(batch, out, f"see-{_}")
+
+    q = bus.read_topic_stream(spark, topic, rows=4).writeStream.foreachBatch(see).option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(n for n in sizes if n) == [1, 4, 4] and bus.read_topic(spark, out).count() == 9
+    bus.publish(spark.createDataFrame([("c",)], "value string"), topic)
+    q = bus.read_topic_stream(spark, topic, rows=4).writeStream.foreachBatch(see).option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r[0] for r in bus.read_topic(spark, out).collect())[-1] == "c" and bus.read_topic(spark, out).count() == 10
+    with pytest.raises(Exception, match="payload_too_large"):
+        bus.publish(spark.createDataFrame([("y" * 70_000,)], "value string"), topic)
+    assert bus.read_topic(spark, topic).count() == 10
+
+
+def test_detections_are_published(spark, tmp_path, compiled):
+    topic, out = str(tmp_path / "in"), str(tmp_path / "out")
+    bus.publish(spark.createDataFrame([(envelope(1),), (envelope(2, 70_000),), ("{broken",), (envelope(3),)], "value string"), topic)
+    q = jobs.start_publication(bus.read_topic_stream(spark, topic), out, str(tmp_path / "c"), processingTime="0 seconds")
+    q.processAllAvailable()
+    q.stop()
+    told = [json.loads(r[0]) for r in bus.read_topic(spark, out).collect()]
+    assert {t["flow"]["event_id"] for t in told} == {"e1", "e3"} and all(set(t) == {"flow", "signature", "detection"} and t["detection"]["verdict"] == "known_attack" and t["signature"] is None for t in told)

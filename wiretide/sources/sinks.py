@@ -1,9 +1,8 @@
-"""Sinks: CSV exports, dead letters, idempotent ingest."""
+"""Sinks: CSV exports, dead letters, outcomes of an ingest."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wiretide.functions.scalars import anonymize_ip, csv_safe
 
@@ -76,34 +75,3 @@ def first_writes(batch: DataFrame, stored: DataFrame, key: str, order: str) -> D
     w = Window.partitionBy(key).orderBy(order)
     once = batch.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
     return once.join(stored.select(key).distinct(), key, "left_anti")
-
-
-def _stored(spark: SparkSession, path: str, schema) -> DataFrame:
-    """A table that may not exist yet."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-
-
-def ingest(batch: DataFrame, folder: str, batch_id: str) -> DataFrame:
-    """Writes a batch of scored flows (detection_id, arrival, verdict, severity, final_risk_score ...) to tables below folder.
-    Returns (detection_id, alert_id, is_new) for every detection of the batch; alert_id is null for benign flows.
-
-    First write wins: repeated and stored detections change nothing. Every step writes a folder of its own for the batch and
-    the next reads that, so a batch that is run again after a loss ends the same.
-    """
-    spark = batch.sparkSession
-    out = f"{folder}/detections/batch={batch_id}"
-    known = _stored(spark, f"{folder}/detections", T.StructType([batch.schema["detection_id"], T.StructField("batch", T.StringType())])).where(F.col("batch") != batch_id)
-    first_writes(batch, known, "detection_id", "arrival").write.mode("overwrite").parquet(out)
-    new = spark.read.schema(batch.schema).parquet(out)
-    alerts = new.where("verdict <> 'benign'").select("detection_id", F.concat(F.lit("alert-"), "detection_id").alias("alert_id"), "severity", "final_risk_score")
-    alerts.write.mode("overwrite").parquet(f"{folder}/alerts/batch={batch_id}")
-    if {"sensor_id", "ts_us"} <= set(new.columns):  # what the batch saw of each sensor; upsert_sensors() adds the batches up
-        new.groupBy("sensor_id").agg(F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"), F.count("*").alias("flows")).write.mode("overwrite").parquet(f"{folder}/sensors/batch={batch_id}")
-    every = spark.read.schema(alerts.schema).parquet(f"{folder}/alerts").select("detection_id", "alert_id")
-    fresh = new.select("detection_id", F.lit(True).alias("is_new"))
-    return batch.select("detection_id").distinct().join(fresh, "detection_id", "left").join(every, "detection_id", "left").select("detection_id", "alert_id", F.coalesce("is_new", F.lit(False)).alias("is_new"))
