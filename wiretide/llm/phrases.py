@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -19,7 +21,6 @@ COVERED, TOP = 80, 2000
 #: Bits of each of the two filters of frequent phrases that go to the workers: 16 MB, whatever the input. False positives,
 #: 2 in 100 at 20 million phrases, cost rows that the join after it drops; a full filter only stops sparing them.
 BITS = 1 << 27
-_TOKENS = str.maketrans({"\t": " ", **{c: " \n " for c in ".,;:!?\n\x0b\x0c\r"}})
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -48,10 +49,10 @@ def _holds(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (at(one) & at(two)).astype(bool)
 
 
-def _grams(lang: str, texts: list[str], lengths: range, every: np.ndarray | None, recent: np.ndarray | None) -> Iterator[tuple[int, list[str], np.ndarray]]:
-    """(length, phrases, counts) of the texts: all words, and of longer phrases those both of whose parts, one word shorter,
+def _grams(lang: str, texts: list[str], lengths: range, every: np.ndarray | None, recent: np.ndarray | None) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+    """(length, phrases, counts) of the texts, in which a space parts words and a line end is the word that parts pieces: all words, and of longer phrases those both of whose parts, one word shorter,
     are in the filter of all frequent phrases, and one in that of those found within the last cycle."""
-    tokens = np.array(" \n ".join(texts).translate(_TOKENS).split(" "), dtype=object)
+    tokens = np.array(" \n ".join(texts).split(" "), dtype=object)
     tokens = tokens[tokens != ""]
     codes, words = pd.factorize(tokens)
     stop = np.flatnonzero(words == "\n")
@@ -61,11 +62,12 @@ def _grams(lang: str, texts: list[str], lengths: range, every: np.ndarray | None
     if 1 in lengths:
         n = np.bincount(codes[at], minlength=len(words))
         some = np.flatnonzero(n)
-        yield 0, [""], np.array([at.sum()])
-        yield 1, list(words[some]), n[some]
+        yield 0, pa.array([""]), np.array([at.sum()])
+        yield 1, pa.array(words[some], pa.string()), n[some]
     if every is None or lengths[-1] < 2:
         return
     hashes = _word_hashes(lang, list(words))
+    spelled = pa.array(words, pa.string())
     ids, ih = codes, hashes  # phrase at each position, and hash of each phrase
     for k in range(2, lengths[-1] + 1):
         known, new = _holds(every, ih), _holds(recent, ih)
@@ -84,7 +86,8 @@ def _grams(lang: str, texts: list[str], lengths: range, every: np.ndarray | None
             some = np.flatnonzero(n)
             first = np.zeros(len(pairs), np.int64)
             first[found[::-1]] = where[::-1]
-            yield k, [" ".join(words[codes[i : i + k]]) for i in first[some]], n[some]
+            first = first[some]
+            yield k, pc.binary_join_element_wise(*[spelled.take(pa.array(codes[first + j])) for j in range(k)], " "), n[some]
         at = both
         ids = np.zeros(len(at), np.int64)
         ids[where] = found
@@ -107,7 +110,7 @@ def _counted(shard: DataFrame, lengths: range, filters, size: int) -> DataFrame:
                 groups.setdefault(lang, []).append(text)
             for lang, mine in groups.items():
                 for k, phrases, n in _grams(lang, mine, lengths, every, recent):
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(np.full(len(phrases), k, np.int32)), pa.array(phrases, pa.string()), pa.array(n.astype(np.int64))], names=["lang", "k", "phrase", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(np.full(len(phrases), k, np.int32)), phrases, pa.array(n.astype(np.int64))], names=["lang", "k", "phrase", "n"])
 
     return shard.mapInArrow(run, "lang string, k int, phrase string, n long").groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
 
@@ -153,45 +156,56 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     are not read.
 
     Counts are added up in a batch, then in a task, before they are shuffled; a filter of fixed size spares the workers most of
-    the phrases that can't be frequent, and a join by text drops the rest. The state is a table, written once a scan.
+    the phrases that can't be frequent, and a join by text drops the rest. What a scan counts is written once. A phrase is
+    carried from scan to scan only once a shard has its share of `least`, as some shard must; its earlier counts are then looked
+    up in the tables of the scans before.
     """
     spark = docs.sparkSession
     top = folder(spark)
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    text = F.translate(text_col, upper, lower)
+    text = F.regexp_replace(F.translate(text_col, upper + "\t", lower + " "), r"[.,;:!?\x0A-\x0D]", " \n ")
     told = docs.where(F.col(text_col).isNotNull()).select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), text.alias("text"))
     told.withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(shards)).cast("int")).write.partitionBy("shard").parquet(f"{top}/shards")
     corpus = spark.read.schema("lang string, text string, shard int").parquet(f"{top}/shards")
 
-    state, last, step = None, shards - 1, 0
+    share = -(-least // shards)  # of a phrase that occurs least times in a cycle, some shard of it has so many
+    key = ["lang", "k", "phrase"]
+    hot, logs, last, step = None, {}, shards - 1, 0
     while step <= last:
-        filters = None
-        if step:
-            found = _filters(state.where(F.col("reach").isNotNull() & F.col("k").between(1, longest - 1)), step - shards, bits)
-            filters = spark.sparkContext.broadcast(found)
+        filters, frequent = None, None
+        if hot is not None:
+            frequent = hot.where(F.col("reach").isNotNull() & F.col("k").between(1, longest - 1)).select("lang", "phrase", "reach")
+            filters = spark.sparkContext.broadcast(_filters(frequent, step - shards, bits))
         lengths = range(1 if step < shards else 2, min(longest, step + 1) + 1)
         counted = _counted(corpus.where(F.col("shard") == step % shards).select("lang", "text"), lengths, filters, bits)
-        if state is None:
-            now = counted.withColumn("start", F.lit(0)).withColumn("reach", F.lit(None).cast("int"))
+        if frequent is None:
+            counted = counted.withColumn("start", F.lit(0))
         else:
-            parts = state.where("reach is not null and k >= 1").select("lang", "phrase", "reach")
-            part = lambda name: parts.select("lang", F.col("phrase").alias(name), F.col("reach").alias(f"{name}_reach"))  # noqa: B023, E731
-            longer = counted.where("k >= 2").withColumn("head", F.expr("substring_index(phrase, ' ', k - 1)")).withColumn("tail", F.expr("substring_index(phrase, ' ', 1 - k)"))
-            longer = longer.join(part("head"), ["lang", "head"]).join(part("tail"), ["lang", "tail"]).withColumn("start", 1 + F.greatest("head_reach", "tail_reach"))
-            longer = longer.where((F.col("start") <= step) & (F.col("start") > step - shards)).select("lang", "k", "phrase", "n", "start", F.lit(None).cast("int").alias("reach"))
-            short = counted.where("k < 2").select("lang", "k", "phrase", "n", F.lit(0).alias("start"), F.lit(None).cast("int").alias("reach"))
-            now = state.unionByName(longer).unionByName(short)
-        total = now.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"), F.min("start").alias("start"), F.min("reach").alias("reach"))
+            part = lambda name: frequent.select("lang", F.col("phrase").alias(name), F.col("reach").alias(f"{name}_reach"))  # noqa: B023, E731
+            split = counted.withColumn("head", F.expr("case when k >= 2 then substring_index(phrase, ' ', k - 1) end")).withColumn("tail", F.expr("case when k >= 2 then substring_index(phrase, ' ', 1 - k) end"))
+            met = split.join(part("head"), ["lang", "head"], "left").join(part("tail"), ["lang", "tail"], "left")
+            start = F.when(F.col("k") < 2, 0).when(F.col("head_reach").isNotNull() & F.col("tail_reach").isNotNull(), 1 + F.greatest("head_reach", "tail_reach"))
+            counted = met.select(*key, "n", start.alias("start")).where((F.col("start") <= step) & (F.col("start") > step - shards))
+        logs[step] = store(counted)
+        logs.pop(step - shards, None)
+        risen = logs[step].where((F.col("n") >= share) | (F.col("k") == 0)).select(*key)
+        if hot is not None:
+            risen = risen.join(hot.select(*key), key, "left_anti")
+        past = functools.reduce(DataFrame.unionByName, [log.where(F.col("start") <= at) for at, log in logs.items()])
+        rows = past.join(risen, key, "left_semi").select(*key, "n", "start", F.lit(None).cast("int").alias("reach"))
+        if hot is not None:
+            more = logs[step].join(hot.select(*key), key, "left_semi").select(*key, "n", "start", F.lit(None).cast("int").alias("reach"))
+            rows = hot.unionByName(more).unionByName(rows)
+        total = rows.groupBy(*key).agg(F.sum("n").alias("n"), F.min("start").alias("start"), F.min("reach").alias("reach"))
         total = total.withColumn("reach", F.coalesce("reach", F.when((F.col("n") >= least) & (F.col("k") > 0), F.lit(step))))
-        total = total.where((F.col("k") == 0) | F.col("reach").isNotNull() | (F.col("start") > step - shards + 1))
-        state = store(total)
-        reached = state.where(F.col("k") < longest).agg(F.max("reach")).first()[0]
+        hot = store(total.where((F.col("k") == 0) | F.col("reach").isNotNull() | (F.col("start") > step - shards + 1)))
+        reached = hot.where(F.col("k") < longest).agg(F.max("reach")).first()[0]
         if reached is not None:
             last = max(shards - 1, reached + shards)
         if filters is not None:
             filters.unpersist()
         step += 1
-    return state.where("k = 0 or reach is not null").select("lang", "k", "phrase", "n")
+    return hot.where("k = 0 or reach is not null").select(*key, "n")
 
 
 def collocations(counts: DataFrame, top: int = TOP, covered: int = COVERED) -> DataFrame:
