@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wiretide.functions.scalars import ladder
+from wiretide.operators.quantiles import exact_quantiles
 from wiretide.operators.validate import REGISTRY_LIMITS
 
 REGISTRY = tuple(REGISTRY_LIMITS)
@@ -85,14 +86,14 @@ def signature_score(severity: Column) -> Column:
 
 
 def robust_fit(df: DataFrame, columns: list[str], binary: tuple[str, ...] = ()) -> dict[str, tuple[float, float, float, float]]:
-    """low, high, median and scale of each column, from one aggregate: 0.5% and 99.5% bounds, median and interquartile range
-    (1 if below 1e-9) of the clipped values. A column of binary whose values are all 0 or 1 passes unchanged. Five numbers a
-    column come to the driver."""
-    at = [0.005, 0.25, 0.5, 0.75, 0.995]
-    row = df.agg(*[F.percentile(F.col(c).cast("double"), F.array(*map(F.lit, at))).alias(c) for c in columns], *[F.min(F.col(c).isin(0, 1)).alias(f"_{c}") for c in binary]).first()
+    """low, high, median and scale of each column, by exact quantiles: 0.5% and 99.5% bounds, median and interquartile range
+    (1 if below 1e-9) of the clipped values. A column of binary whose values are all 0 or 1 passes unchanged. No task holds a
+    column's values; five numbers a column are kept."""
+    row = exact_quantiles(df, columns, [0.005, 0.25, 0.5, 0.75, 0.995])
+    flags = df.agg(*[F.min(F.col(c).isin(0, 1)).alias(c) for c in binary]).first() if binary else {}
     out = {}
     for c in columns:
-        if c in binary and row[f"_{c}"]:
+        if c in binary and flags[c]:
             out[c] = (float("-inf"), float("inf"), 0.0, 1.0)
             continue
         low, q1, median, q3, high = row[c]
