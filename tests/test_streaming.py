@@ -85,11 +85,18 @@ def test_detection_stream_is_idempotent_and_quarantines(spark, tmp_path, compile
     assert sorted(r["is_new"] for r in out) == [False, True] and all(r["alert_id"] for r in out)
 
 
-def test_alert_feed_tells_changes_only(spark, tmp_path):
+def test_alert_feed_tells_the_newest_of_all(spark, tmp_path):
+    """Old alerts are no news; a changed one is; a restart goes on from what was told."""
     told = []
-    df = spark.createDataFrame([(f"a{i}", i) for i in range(6)], "alert_id string, ts_us long")
-    jobs.alert_feed(streamed(spark, df, tmp_path / "in", 2, "ts_us"), str(tmp_path / "c"), told.append, n=2).awaitTermination(180)
-    assert [len(t) for t in told] == [2, 2]
+    rows = [("a", 5, "x"), ("b", 6, "x"), ("old", 1, "x"), ("older", 0, "x"), ("b", 6, "y"), ("c", 9, "x")]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "alert_id string, ts_us long, state string, i long")
+    jobs.alert_feed(streamed(spark, df.where("i < 4"), tmp_path / "in", 2, "i").drop("i"), str(tmp_path / "c"), told.append, n=2).awaitTermination(180)
+    assert told == [[("b", 6, "x"), ("a", 5, "x")]]
+    for i in (4, 5):
+        df.where(F.col("i") == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    again = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).drop("i")
+    jobs.alert_feed(again, str(tmp_path / "c"), told.append, n=2).awaitTermination(180)
+    assert told[1:] == [[("b", 6, "y"), ("a", 5, "x")], [("c", 9, "x"), ("b", 6, "y")]]
 
 
 def test_sources(spark, tmp_path):

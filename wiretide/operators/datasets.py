@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from wiretide.scratch import checkpoints
 from wiretide.functions.scalars import normalize_label
 from wiretide.operators.features import REGISTRY
 from wiretide.operators.validate import REGISTRY_LIMITS, finite
@@ -194,18 +195,24 @@ def capped_sample(df: DataFrame, id_col: str, n: int, by: str | None = None, see
 def time_split(df: DataFrame, ts: str, id_col: str, test_share: float = 0.2) -> DataFrame:
     """df with split: the first 1 - test_share of rows by time and id train.
 
-    The cut is found from counts of distinct times, and only the rows of the time at the cut are ranked.
+    The cut is found from counts of distinct times. Of the rows of the time at the cut the ids are sorted by ranges and counted
+    by range; the range that holds the last one that trains is ranked, and its id is the bound. No other row is ranked.
     """
     from wiretide.operators.metrics import _cumulative
 
+    spark = df.sparkSession
+    checkpoints(spark)
     counts = df.groupBy(F.col(ts).alias("score")).agg(F.count("*").alias("c"))
     total = counts.agg(F.floor(F.sum("c") * (1 - test_share)).alias("_cut"))
-    at = _cumulative(counts).crossJoin(F.broadcast(total)).where("until >= _cut").agg(F.min("score").alias("_t"), F.min_by(F.col("_cut") - (F.col("until") - F.col("c")), "score").alias("_left"))
-    joined = df.crossJoin(F.broadcast(at))
-    w = Window.partitionBy(F.when(F.col(ts) == F.col("_t"), 0).otherwise(F.xxhash64(id_col))).orderBy(id_col)
-    rank = F.row_number().over(w)
-    train = (F.col(ts) < F.col("_t")) | ((F.col(ts) == F.col("_t")) & (rank <= F.col("_left")))
-    return joined.withColumn("split", F.when(train, "train").otherwise("test")).drop("_t", "_left")
+    at = _cumulative(counts).crossJoin(F.broadcast(total)).where("until >= _cut").agg(F.min("score").alias("_t"), F.min_by(F.col("_cut") - (F.col("until") - F.col("c")), "score").alias("_left")).checkpoint()
+    ties = df.join(F.broadcast(at), F.col(ts) == F.col("_t")).select(F.col(id_col).alias("_id"), "_left")
+    dealt = ties.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "_id").withColumn("_range", F.spark_partition_id()).checkpoint()
+    upto = F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
+    starts = dealt.groupBy("_range", "_left").agg(F.count("*").alias("_size")).withColumn("_before", upto).where((F.col("_before") < F.col("_left")) & (F.col("_left") <= F.col("_before") + F.col("_size")))
+    ranked = dealt.join(F.broadcast(starts.select("_range", "_before")), "_range").withColumn("_rank", F.col("_before") + F.row_number().over(Window.partitionBy("_range").orderBy("_id")))
+    bound = ranked.where("_rank = _left").agg(F.max("_id").alias("_bound"))
+    train = (F.col(ts) < F.col("_t")) | ((F.col(ts) == F.col("_t")) & F.coalesce(F.col(id_col) <= F.col("_bound"), F.lit(False)))
+    return df.crossJoin(F.broadcast(at)).crossJoin(F.broadcast(bound)).withColumn("split", F.when(train, "train").otherwise("test")).drop("_t", "_left", "_bound")
 
 
 def group_split(df: DataFrame, group: str, test_share: float = 0.2, seed: int = 0) -> DataFrame:

@@ -23,15 +23,16 @@ def _same(keys: list[str], prefix: str) -> Column:
     return functools.reduce(operator.and_, [F.col(k).eqNullSafe(F.col(prefix + k)) for k in keys])
 
 
-def blocked(rows: DataFrame, by: list[str], order: str, halo: int, most: int = BLOCK) -> DataFrame:
+def blocked(rows: DataFrame, by: list[str], order: str, halo: int, most: int = BLOCK, sample: DataFrame | None = None) -> DataFrame:
     """rows with _n, their number from 1 within the columns by; _block, the run of `most` of them that they are in; and _own.
 
     Each block also holds the halo, the last so many rows before it, with _own false: a window that looks back no further can
     be taken by block, so that a key with all the rows is many tasks. order is a number without ties within a key. Rows are
-    numbered within ranges of the order, offset by a count a key and range.
+    numbered within ranges of the order, offset by a count a key and range. Bounds are taken from the sample, if one is given that
+    is cheaper to read than the rows.
     """
     most = max(most, halo)
-    ranged = rows.withColumn("_range", _ranges(rows, order))
+    ranged = rows.withColumn("_range", _ranges(rows if sample is None else sample, order))
     sizes = ranged.groupBy(*by, "_range").agg(F.count("*").alias("_size"))
     before = F.sum("_size").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select(*[F.col(k).alias(f"_of_{k}") for k in [*by, "_range"]], F.coalesce(before, F.lit(0)).alias("_offset"))
@@ -47,22 +48,25 @@ def drift_events(signals: DataFrame, by: list[str], order: str, value: str = "va
     last window rows and of the last window rows differ by the threshold or more, and no drift is on. It is over once they
     differ by less than 0.6 of it. Rows before the windows are full decide nothing.
 
-    The state is the last decision before a row, so no loop is needed. Keys are taken in blocks; a block's first rows get the
-    decision of the blocks before it by a join of the few rows at which drift may begin.
+    The state is the last decision before a row, so no loop is needed. Keys are taken in blocks, each of which gives the rows at
+    which its decision changes; these few rows of a key are then put in line.
     """
+    return _begins(blocked(signals, by, order, 2 * window - 1, block), by, value, threshold, window)
+
+
+def _begins(at: DataFrame, by: list[str], value: str, threshold: Column | float, window: int) -> DataFrame:
+    """drift_events() of rows that are in blocks, with a halo of 2 x window - 1 rows or more."""
     w = Window.partitionBy(*by, "_block").orderBy("_n")
     limit = threshold if isinstance(threshold, Column) else F.lit(threshold)
-    means = blocked(signals, by, order, 2 * window - 1, block).withColumns({
+    means = at.withColumns({
         "reference_mean": F.avg(value).over(w.rowsBetween(-2 * window + 1, -window)), "recent_mean": F.avg(value).over(w.rowsBetween(-window + 1, 0)),
     }).where("_own").withColumn("magnitude", F.abs(F.col("recent_mean") - F.col("reference_mean")))
     full = F.col("_n") >= 2 * window
     turned = means.withColumn("_turn", F.when(full & (F.col("magnitude") >= limit), F.lit(1)).when(full & (F.col("magnitude") < limit * 0.6), F.lit(0)))
     state = F.last("_turn", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    begins = turned.withColumn("_before", state).where("_turn = 1 and coalesce(_before, 0) = 0")
-    ends = turned.where("_turn is not null").groupBy(*by, "_block").agg(F.max_by("_turn", "_n").alias("_last"))
-    carried = ends.select(*[F.col(k).alias(f"_of_{k}") for k in [*by, "_block"]], F.lag("_last").over(Window.partitionBy(*by).orderBy("_block")).alias("_carried"))  # a row a block
-    found = begins.join(carried, _same([*by, "_block"], "_of_")).where("coalesce(_before, _carried, 0) = 0")
-    return found.drop("_n", "_block", "_own", "_turn", "_before", "_carried", *[f"_of_{k}" for k in [*by, "_block"]])
+    changes = turned.withColumn("_before", state).where("_turn is not null and (_before is null or _before <> _turn)")
+    line = Window.partitionBy(*by).orderBy("_n")  # a row a change
+    return changes.withColumn("_before", F.coalesce(F.lag("_turn").over(line), F.lit(0))).where("_turn = 1 and _before = 0").drop("_n", "_block", "_own", "_turn", "_before")
 
 
 def _rated(at: DataFrame, ts_us: str, by: list[str], most: int) -> DataFrame:
@@ -85,27 +89,34 @@ def rolling_flow_rate(rows: DataFrame, order: str = "arrival", ts_us: str = "ts_
     return _rated(blocked(rows, [*by], order, most, block), ts_us, [*by], most).where("_own").drop("_n", "_block", "_own")
 
 
+def _signals(detections: DataFrame, order: str, by: list[str], window: int, block: int, halo: int) -> DataFrame:
+    """The seven signals of each detection, as rows in blocks whose last `halo` halo rows have right values too."""
+    once = detections.withColumn("_rn", F.row_number().over(Window.partitionBy("detection_id").orderBy(order))).where("_rn = 1").drop("_rn")
+    w = Window.partitionBy(*by, "_block").orderBy("_n")
+    placed = blocked(once, by, order, max(256, window) + halo, block, sample=detections)
+    wide = _rated(placed, "ts_us", by, 256).select(
+        *by, order, "detection_id", F.col("anomaly_score").cast("double"), F.col("confidence").cast("double").alias("known_class_confidence"), "flow_rate",
+        (F.log1p("duration_ms") / math.log1p(86_400_000)).alias("feature_duration"), (F.log1p(F.col("bytes_forward") + F.col("bytes_reverse")) / math.log1p(2e15)).alias("feature_bytes_total"),
+        (F.col("packet_length_mean") / 65_535).alias("feature_packet_length_mean"), F.avg((F.col("verdict") != "benign").cast("double")).over(w.rowsBetween(-window + 1, 0)).alias("alert_rate"), "_own", "_n", "_block",
+    )
+    return wide.unpivot([*by, order, "detection_id", "_own", "_n", "_block"], list(THRESHOLDS), "signal", "value")
+
+
 def runtime_signals(detections: DataFrame, order: str = "arrival", by: tuple[str, ...] = ("model_version",), window: int = 64, block: int = BLOCK) -> DataFrame:
     """(by, order, detection_id, signal, value): the seven drift signals of each detection, repeated ids once.
 
     detections has detection_id, ts_us, anomaly_score, confidence, verdict, duration_ms, bytes_forward, bytes_reverse and
     packet_length_mean.
     """
-    once = detections.withColumn("_rn", F.row_number().over(Window.partitionBy("detection_id").orderBy(order))).where("_rn = 1").drop("_rn")
-    w = Window.partitionBy(*by, "_block").orderBy("_n")
-    wide = _rated(blocked(once, [*by], order, max(256, window), block), "ts_us", [*by], 256).select(
-        *by, order, "detection_id", F.col("anomaly_score").cast("double"), F.col("confidence").cast("double").alias("known_class_confidence"), "flow_rate",
-        (F.log1p("duration_ms") / math.log1p(86_400_000)).alias("feature_duration"), (F.log1p(F.col("bytes_forward") + F.col("bytes_reverse")) / math.log1p(2e15)).alias("feature_bytes_total"),
-        (F.col("packet_length_mean") / 65_535).alias("feature_packet_length_mean"), F.avg((F.col("verdict") != "benign").cast("double")).over(w.rowsBetween(-window + 1, 0)).alias("alert_rate"), "_own",
-    ).where("_own").drop("_own")
-    return wide.unpivot([*by, order, "detection_id"], list(THRESHOLDS), "signal", "value")
+    return _signals(detections, order, [*by], window, block, 0).where("_own").drop("_own", "_n", "_block")
 
 
 def runtime_drift(detections: DataFrame, order: str = "arrival", by: tuple[str, ...] = ("model_version",), window: int = 64, block: int = BLOCK) -> DataFrame:
-    """Drift events of the seven signals, with deterministic ids."""
-    signals = runtime_signals(detections, order, by, window, block)
+    """Drift events of the seven signals, with deterministic ids. Detections are numbered and put in blocks once, before they become
+    seven rows each."""
+    signals = _signals(detections, order, [*by], window, block, 2 * window - 1)
     limit = F.create_map(*[F.lit(x) for kv in THRESHOLDS.items() for x in kv])[F.col("signal")]
-    found = drift_events(signals, [*by, "signal"], order, threshold=limit, window=window, block=block)
+    found = _begins(signals, [*by, "signal"], "value", limit, window)
     return found.withColumn("event_id", uuid5(F.concat(F.lit("wiretide-drift:"), F.col("detection_id"), F.lit(":"), F.col("signal"), F.lit(":"), F.format_string("%.12f", "magnitude"))))
 
 

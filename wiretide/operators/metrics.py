@@ -190,7 +190,10 @@ def run_summary(df: DataFrame, name: str, values: list[str]) -> DataFrame:
 
 
 def queue_growth(samples: DataFrame, elapsed: str, depth: str) -> DataFrame:
-    """One row: the least-squares slope over the second half of the samples; 0 for fewer than four."""
-    w, n = Window.orderBy(elapsed), F.count("*").over(Window.partitionBy())
-    late = samples.withColumns({"_i": F.row_number().over(w), "_n": n}).where((F.col("_n") >= 4) & (F.col("_i") > F.floor(F.col("_n") / 2)))
+    """One row: the least-squares slope over the second half of the samples; 0 for fewer than four. Samples are numbered in ranges
+    of the time, which has no ties."""
+    from wiretide.operators.drift import blocked
+
+    placed = blocked(samples.select(F.lit(0).alias("_all"), elapsed, depth), ["_all"], elapsed, 0)
+    late = placed.crossJoin(F.broadcast(samples.agg(F.count("*").alias("_of")))).where((F.col("_of") >= 4) & (F.col("_n") > F.floor(F.col("_of") / 2)))
     return late.agg(F.coalesce(F.regr_slope(depth, elapsed), F.lit(0.0)).alias("slope"))

@@ -138,9 +138,14 @@ def top_features(spark: SparkSession, names: list[str], coefficients: list[float
 
 
 def rising_edges(samples: DataFrame, used: Column, capacity: Column, threshold: float, order: str) -> DataFrame:
-    """samples with utilization, full and edge: whether it is full now and wasn't in the row before."""
+    """samples with utilization, full and edge: whether it is full now and wasn't in the row before. Samples are taken in blocks of
+    the order, a number without ties, each with the row before it."""
     from pyspark.sql import Window
 
+    from wiretide.operators.drift import blocked
+
     limit = min(max(threshold, 0.1), 1.0)
     flagged = samples.withColumn("utilization", used / F.greatest(capacity, F.lit(1))).withColumn("full", F.col("utilization") >= limit)
-    return flagged.withColumn("edge", F.col("full") & ~F.coalesce(F.lag("full").over(Window.orderBy(order)), F.lit(False)))
+    placed = blocked(flagged.withColumn("_all", F.lit(0)), ["_all"], order, 1)
+    before = F.lag("full").over(Window.partitionBy("_block").orderBy("_n"))
+    return placed.withColumn("edge", F.col("full") & ~F.coalesce(before, F.lit(False))).where("_own").drop("_all", "_n", "_block", "_own")
