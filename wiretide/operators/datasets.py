@@ -142,6 +142,34 @@ def duplicate_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.groupBy(*columns).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"))
 
 
+def quality_report(df: DataFrame, features: list[str], limits: dict[str, tuple[float, float]] | None = None, label: str = "label", group: str = "group") -> DataFrame:
+    """The report on a development dataset as one frame (section, item, value): rows, classes, rows of each class and group, repeated rows,
+    vectors with more than one label, and of each feature what is distinct, missing, infinite or out of range; and as section blocking
+    what must be nothing for the set to be used: no rows, one class, constant features, missing or infinite values, conflicts."""
+    item = lambda section, name, value, rows: rows.select(F.lit(section).alias("section"), name.alias("item"), value.cast("long").alias("value"))
+    profile = quality_profile(df, features, limits, label)
+    each = profile.unpivot(["feature"], [F.col("distinct").cast("long").alias("distinct"), F.col("missing").cast("long").alias("missing"), F.col("infinite").cast("long").alias("infinite"), F.col("out_of_range").cast("long").alias("out_of_range")], "measure", "n")
+    count = lambda c: df.groupBy(c).agg(F.count("*").alias("n"))
+    vectors = df.groupBy(*features).agg(F.count("*").alias("n"), F.count_distinct(label).alias("labels"))
+    repeated = vectors.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"), F.count_if(F.col("labels") > 1).alias("conflicting_vectors"))
+    totals = df.agg(F.count("*").alias("rows"), F.count_distinct(label).alias("classes"))
+    bad = profile.agg(F.count_if(F.col("constant")).alias("constant_features"), F.coalesce(F.sum("missing"), F.lit(0)).alias("missing_values"), F.coalesce(F.sum("infinite"), F.lit(0)).alias("infinite_values"))
+    one = totals.crossJoin(F.broadcast(repeated)).crossJoin(F.broadcast(bad))  # a row each
+    blocking = one.selectExpr(
+        "stack(6, 'no_rows', cast(rows = 0 as bigint), 'one_class', cast(classes < 2 as bigint), 'constant_features', constant_features, 'missing_values', missing_values, "
+        "'infinite_values', infinite_values, 'conflicting_vectors', conflicting_vectors) as (item, value)"
+    ).where("value > 0")
+    told = one.unpivot([], ["rows", "classes", "duplicate_rows", "conflicting_vectors"], "item", "value")
+    parts = [
+        item("rows", F.col("item"), F.col("value"), told), item("label", F.col(label).cast("string"), F.col("n"), count(label)), item("group", F.col(group).cast("string"), F.col("n"), count(group)),
+        item("feature", F.concat("feature", F.lit("."), "measure"), F.col("n"), each), item("blocking", F.col("item"), F.col("value"), blocking),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def identifier_like(name: str) -> bool:
     n = squash(name)
     return n in {"id", "recordid", "uid", "originh", "responh", "idorigh", "idresph"} or any(t in n for t in ("srcip", "sourceip", "dstip", "destinationip", "flowid", "sessionid"))

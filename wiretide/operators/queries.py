@@ -87,6 +87,21 @@ def top_values(df: DataFrame, column: str, n: int = 5) -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(n)
 
 
+def overview(alerts: DataFrame, flows: DataFrame, hosts: int = 5, newest: int = 24) -> DataFrame:
+    """(tile, key, value): the tiles of the overview in one frame: severities, verdicts and protocols by count, bins of risk, flow rate,
+    busiest destinations, and the newest alerts by time. Keys are text, values numbers."""
+    tile = lambda name, df, key, value: df.select(F.lit(name).alias("tile"), F.col(key).cast("string").alias("key"), F.col(value).cast("double").alias("value"))
+    parts = [
+        tile("severity", counts_of(alerts, "severity", ("low", "medium", "high", "critical")), "severity", "n"), tile("verdict", counts_of(alerts, "verdict"), "verdict", "n"),
+        tile("protocol", counts_of(flows, "protocol"), "protocol", "n"), tile("risk", risk_histogram(alerts), "bin", "n"), tile("flow_rate", observed_flow_rate(flows).withColumn("key", F.lit("per_second")), "key", "rate"),
+        tile("top_hosts", top_values(flows, "dst_ip", hosts), "dst_ip", "n"), tile("timeline", recent_ascending(alerts, "ts_us", "alert_id", newest), "alert_id", "ts_us"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def status_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """(table, n), counted in one job."""
     parts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table"), "n") for name, df in tables.items()]
