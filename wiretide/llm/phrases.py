@@ -156,9 +156,9 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     are not read.
 
     Counts are added up in a batch, then in a task, before they are shuffled; a filter of fixed size spares the workers most of
-    the phrases that can't be frequent, and a join by text drops the rest. What a scan counts is written once. A phrase is
-    carried from scan to scan only once a shard has its share of `least`, as some shard must; its earlier counts are then looked
-    up in the tables of the scans before.
+    the phrases that can't be frequent, and a join by text drops the rest. What a scan counts is written once, by the scan in
+    which counting began. A phrase is carried from scan to scan only once a shard has its share of `least`, as some shard must;
+    what was counted of it before is added when its cycle ends, so each of these tables is read once more.
     """
     spark = docs.sparkSession
     top = folder(spark)
@@ -170,7 +170,7 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
 
     share = -(-least // shards)  # of a phrase that occurs least times in a cycle, some shard of it has so many
     key = ["lang", "k", "phrase"]
-    hot, logs, last, step = None, {}, shards - 1, 0
+    hot, last, step = None, shards - 1, 0
     while step <= last:
         filters, frequent = None, None
         if hot is not None:
@@ -186,19 +186,24 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
             met = split.join(part("head"), ["lang", "head"], "left").join(part("tail"), ["lang", "tail"], "left")
             start = F.when(F.col("k") < 2, 0).when(F.col("head_reach").isNotNull() & F.col("tail_reach").isNotNull(), 1 + F.greatest("head_reach", "tail_reach"))
             counted = met.select(*key, "n", start.alias("start")).where((F.col("start") <= step) & (F.col("start") > step - shards))
-        logs[step] = store(counted)
-        logs.pop(step - shards, None)
-        risen = logs[step].where((F.col("n") >= share) | (F.col("k") == 0)).select(*key)
+        counted.write.partitionBy("start").parquet(f"{top}/scan/{step}")
+        log = spark.read.schema("lang string, k int, phrase string, n long, start int").parquet(f"{top}/scan/{step}")
+        seen = [F.lit(step).alias("since"), F.lit(None).cast("int").alias("reach")]
+        risen = log.where((F.col("n") >= share) | (F.col("k") == 0)).select(*key, "n", "start", *seen)
+        rows = risen
         if hot is not None:
-            risen = risen.join(hot.select(*key), key, "left_anti")
-        past = functools.reduce(DataFrame.unionByName, [log.where(F.col("start") <= at) for at, log in logs.items()])
-        rows = past.join(risen, key, "left_semi").select(*key, "n", "start", F.lit(None).cast("int").alias("reach"))
-        if hot is not None:
-            more = logs[step].join(hot.select(*key), key, "left_semi").select(*key, "n", "start", F.lit(None).cast("int").alias("reach"))
-            rows = hot.unionByName(more).unionByName(rows)
-        total = rows.groupBy(*key).agg(F.sum("n").alias("n"), F.min("start").alias("start"), F.min("reach").alias("reach"))
-        total = total.withColumn("reach", F.coalesce("reach", F.when((F.col("n") >= least) & (F.col("k") > 0), F.lit(step))))
-        hot = store(total.where((F.col("k") == 0) | F.col("reach").isNotNull() | (F.col("start") > step - shards + 1)))
+            more = log.join(hot.select(*key), key, "left_semi").select(*key, "n", "start", *seen)
+            rows = hot.unionByName(more).unionByName(risen.join(hot.select(*key), key, "left_anti"))
+        total = rows.groupBy(*key).agg(F.sum("n").alias("n"), F.min("start").alias("start"), F.min("since").alias("since"), F.min("reach").alias("reach"))
+        whole = lambda df: df.withColumn("reach", F.coalesce("reach", F.when((F.col("n") >= least) & (F.col("k") > 0), F.lit(step))))  # noqa: B023, E731
+        hot = store(whole(total))
+        ended = step - shards + 1  # phrases that began then have had their cycle; add what was counted before they were carried
+        if ended >= 0:
+            late = hot.where((F.col("start") == ended) & (F.col("since") > ended)).select(*key, "since")
+            past = [spark.read.schema("lang string, k int, phrase string, n long, start int").parquet(f"{top}/scan/{at}").where(F.col("start") == ended).select(*key, F.col("n").alias("before"), F.lit(at).alias("at")) for at in range(ended, step)]
+            found = functools.reduce(DataFrame.unionByName, past).join(late, key).where(F.col("at") < F.col("since")).groupBy(*key).agg(F.sum("before").alias("before"))
+            added = hot.join(found, key, "left").withColumn("n", F.col("n") + F.coalesce("before", F.lit(0))).drop("before")
+            hot = store(whole(added).where((F.col("k") == 0) | F.col("reach").isNotNull() | (F.col("start") > ended)))
         reached = hot.where(F.col("k") < longest).agg(F.max("reach")).first()[0]
         if reached is not None:
             last = max(shards - 1, reached + shards)
