@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from tests.test_operators import FOLD, T0, fold_rows, loop_drift, temporal_frame, temporal_rows
 from wiretide.operators import incidents, temporal
 from wiretide.sources import bus, readers, sinks, store
-from wiretide.streaming import jobs
+from wiretide.streaming import jobs, metrics
 
 
 def streamed(spark, df, folder, parts, by):
@@ -178,3 +179,58 @@ def test_detections_are_published(spark, tmp_path, compiled):
     q.stop()
     told = [json.loads(r[0]) for r in bus.read_topic(spark, out).collect()]
     assert {t["flow"]["event_id"] for t in told} == {"e1", "e3"} and all(set(t) == {"flow", "signature", "detection"} and t["detection"]["verdict"] == "known_attack" and t["signature"] is None for t in told)
+
+
+def test_runtime_metrics(spark, tmp_path, compiled):
+    recorder = metrics.Recorder()
+    spark.streams.addListener(recorder)
+    try:
+        source = tmp_path / "in"
+        source.mkdir()
+        (source / "a.txt").write_text("\n".join([envelope(1), envelope(2), envelope(3, 70_000), "{broken"]))
+        found = metrics.observed(jobs.detect(readers.read_flow_stream(spark, str(source))))
+        for _ in range(2):
+            q = found.writeStream.format("noop").queryName("watched").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+            q.awaitTermination(180)
+            (source / "b.txt").write_text(envelope(4))
+        for _ in range(100):
+            if sum(r[3] == "rows" and r[4] == "all" for r in recorder.rows) >= 2:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(recorder)
+    told = {(r["metric"], r["label"]): r["value"] for r in metrics.totals(recorder.table(spark).where("query = 'watched'")).collect()}
+    assert told["rows", "all"] == told["input_rows", "all"] == 5 and told["rows", "sound"] == 3 and told["error", "dst_port"] == told["error", "malformed"] == 1
+    assert told["verdict", "known_attack"] == 3 and told["risk", "largest"] > 0 and told["lag_ms", "event_time"] > 0 and ("duration_ms", "triggerExecution") in told
+
+
+def test_files_in_row_order(spark, tmp_path):
+    """Positions follow the rows of a file over its splits; a dataset with one bad row has no temporal features."""
+    names = ["src_ip", "dst_ip", "dst_port", "protocol", "duration_ms", "ts_us", "packets_forward", "packets_reverse", "bytes_forward", "bytes_reverse"]
+    for f in range(2):
+        rows = [f"10.0.{f}.{i % 3},10.1.0.{i % 5},{80 + i % 2},TCP,{i % 7}.0,{T0 + i * 1_000_000},1,1,10,10" for i in range(400)]
+        (tmp_path / f"f{f}.csv").write_text("\n".join([",".join(names), *rows]) + "\n")
+    kinds = "src_ip string, dst_ip string, dst_port int, protocol string, duration_ms double, ts_us long, packets_forward long, packets_reverse long, bytes_forward long, bytes_reverse long"
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        rows = readers.with_positions(spark.read.schema(kinds).option("header", True).csv(str(tmp_path)))
+        got = rows.select("source_file", "position", "ts_us").collect()
+        assert rows.rdd.getNumPartitions() > 2
+        assert sorted((r[0], r[1]) for r in got) == [(f"f{f}.csv", i) for f in range(2) for i in range(400)]
+        assert all(r["ts_us"] == T0 + r["position"] * 1_000_000 for r in got)
+        out = temporal.schema_b_of_files(rows)
+        want = temporal.temporal_features(rows.withColumns({"event_id": F.concat_ws(":", "source_file", "position"), "sensor_id": F.col("source_file"), "arrival": F.col("ts_us")}))
+        assert len(out.columns) == 41 and out.count() == 800
+        assert {tuple(r) for r in out.select(*want.columns).collect()} == {tuple(r) for r in want.collect()}
+        bad = rows.withColumn("dst_ip", F.when((F.col("position") == 7) & (F.col("source_file") == "f0.csv"), "fe80::1").otherwise(F.col("dst_ip")))
+        assert temporal.schema_b_of_files(bad).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_files_against_a_manifest(spark, tmp_path):
+    for name in "abc":
+        (tmp_path / name).write_text(name * 10)
+    found = readers.file_provenance(spark, str(tmp_path))
+    manifest = found.where("path <> 'c'").withColumn("sha256", F.when(F.col("path") == "b", "00").otherwise(F.upper("sha256"))).unionByName(spark.createDataFrame([("d", 1, "ff")], "path string, length long, sha256 string"))
+    assert {r["path"]: r["status"] for r in readers.verify_files(found, manifest).collect()} == {"a": "ok", "b": "changed", "c": "unexpected", "d": "missing"}

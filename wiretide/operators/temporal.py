@@ -14,6 +14,7 @@ from wiretide.operators.drift import _same
 from wiretide.operators.features import protocol_group
 from wiretide.operators.metrics import _ranges
 
+IPV4 = r"^(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.|$)){4}$"
 FEATURES = (
     "source_flows_10s_log1p", "source_flows_60s_log1p", "unique_destinations_10s_log1p", "unique_destinations_60s_log1p", "unique_destination_ports_10s_log1p", "unique_destination_ports_60s_log1p",
     "destination_novelty_60s", "service_port_rarity_60s", "protocol_rarity_60s", "destination_fanout_entropy_60s", "connection_interval_mean_log1p_ms_60s", "connection_interval_std_log1p_ms_60s",
@@ -213,12 +214,24 @@ def temporal_features(flows: DataFrame, window_s: float = 60.0, short_s: float =
 
 
 def schema_b(flows: DataFrame, **sizes) -> DataFrame:
-    """The 40 features: portable and temporal, by event."""
-    from wiretide.operators.features import portable_features
+    """(event_id, the 40 features): portable and temporal. The portable ones go along with the rows, so nothing is joined."""
+    from wiretide.operators.features import portable_columns
 
-    return portable_features(flows, "event_id").join(temporal_features(flows, **sizes), "event_id")
+    portable = portable_columns()
+    wide = flows.withColumns(portable)
+    return temporal_features(wide, keep=tuple(portable), **sizes)
 
 
 def schema_b_available(flows: DataFrame) -> DataFrame:
-    """(group columns kept by the caller) whether every row has both addresses and a time; one row."""
-    return flows.agg((F.count_if(F.col("src_ip").isNull() | F.col("dst_ip").isNull() | F.col("ts_us").isNull()) == 0).alias("available"))
+    """One row: whether every row has a time and two addresses of one version."""
+    version = lambda c: F.when(F.col(c).rlike(IPV4), 4).when(F.col(c).contains(":"), 6)
+    fine = F.col("ts_us").isNotNull() & F.coalesce(version("src_ip") == version("dst_ip"), F.lit(False))
+    return flows.agg((F.count_if(~fine) == 0).alias("available"))
+
+
+def schema_b_of_files(rows: DataFrame, **sizes) -> DataFrame:
+    """schema_b() of a dataset's rows in their order in each file (readers.with_positions: source_file, position), each file a sensor of its
+    own; event ids are `file:position`. Without rows if any row of the dataset lacks a time or valid endpoints."""
+    named = rows.withColumns({"event_id": F.concat_ws(":", "source_file", "position"), "sensor_id": F.col("source_file"), "arrival": F.col("position")})
+    told = named.crossJoin(F.broadcast(schema_b_available(rows))).where("available").drop("available")  # one row
+    return schema_b(told, **sizes)

@@ -90,6 +90,26 @@ def w4(spark, d):
     return drift.runtime_drift(_detections(spark, d), window=16).select("model_version", "signal", "detection_id", "event_id", F.round("magnitude", 6).alias("magnitude"))
 
 
+_RATE = f"""o AS (SELECT sensor_id, event_id, {_SEQ} AS seq, ts_us FROM flow),
+b0 AS (SELECT *, CASE WHEN ts_us < lag(ts_us) OVER (PARTITION BY sensor_id ORDER BY seq) THEN 1 ELSE 0 END AS back FROM o),
+g0 AS (SELECT *, sum(back) OVER (PARTITION BY sensor_id ORDER BY seq) AS part FROM b0),
+i0 AS (SELECT *, row_number() OVER (PARTITION BY sensor_id, part ORDER BY seq) AS i FROM g0),
+j0 AS (SELECT a.event_id, a.ts_us, count(*) AS n, min(r.ts_us) AS low FROM i0 a JOIN i0 r ON a.sensor_id = r.sensor_id AND a.part = r.part AND r.i <= a.i AND r.i > a.i - 256 AND r.ts_us >= a.ts_us - 60000000 GROUP BY a.event_id, a.ts_us),
+rate AS (SELECT event_id, ln(1 + least(CASE WHEN n < 2 THEN n::DOUBLE ELSE (n - 1) / greatest((ts_us - low) / 1e6, 0.001) END, 10000)) / ln(10001) AS flow_rate FROM j0)"""
+
+
+@query("w4_drift_begins", f"""WITH {SCORED}, {_RATE},
+v AS (SELECT sensor_id, event_id, {_SEQ} AS seq, anomaly_score, confidence, flow_rate, ln(1 + duration_ms) / ln(86400001) AS fd, ln(1 + bytes_forward + bytes_reverse) / ln(2e15 + 1) AS fb, packet_length_mean / 65535 AS fp,
+  avg((verdict <> 'benign')::INT::DOUBLE) OVER (PARTITION BY sensor_id ORDER BY {_SEQ} ROWS BETWEEN 15 PRECEDING AND CURRENT ROW) AS ar FROM scored JOIN rate USING (event_id)),
+u AS ({" UNION ALL ".join(f"SELECT sensor_id, event_id, seq, '{name}' AS signal, {value}::DOUBLE AS value, {drift.THRESHOLDS[name]}::DOUBLE AS most FROM v" for name, value in {"anomaly_score": "anomaly_score", "known_class_confidence": "confidence", "flow_rate": "flow_rate", "feature_duration": "fd", "feature_bytes_total": "fb", "feature_packet_length_mean": "fp", "alert_rate": "ar"}.items())}),
+m AS (SELECT *, row_number() OVER w AS i, avg(value) OVER (w ROWS BETWEEN 31 PRECEDING AND 16 PRECEDING) AS a, avg(value) OVER (w ROWS BETWEEN 15 PRECEDING AND CURRENT ROW) AS b FROM u WINDOW w AS (PARTITION BY sensor_id, signal ORDER BY seq)),
+t AS (SELECT *, CASE WHEN i >= 32 AND abs(b - a) >= most THEN 1 WHEN i >= 32 AND abs(b - a) < most * 0.6 THEN 0 END AS turn FROM m),
+x AS (SELECT *, coalesce(last_value(turn IGNORE NULLS) OVER (PARTITION BY sensor_id, signal ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t)
+SELECT sensor_id AS model_version, signal, event_id AS detection_id, round(abs(b - a), 6) AS magnitude FROM x WHERE turn = 1 AND before = 0""")
+def w4b(spark, d):
+    return rounded(drift.runtime_drift(_detections(spark, d), window=16).select("model_version", "signal", "detection_id", "magnitude"), 6)
+
+
 @query("w4_alert_rate", f"WITH {SCORED} SELECT event_id, round(avg((verdict <> 'benign')::INT) OVER (PARTITION BY sensor_id ORDER BY {_SEQ} ROWS BETWEEN 63 PRECEDING AND CURRENT ROW), 6) AS value FROM scored")
 def w4a(spark, d):
     return rounded(drift.runtime_signals(_detections(spark, d)).where("signal = 'alert_rate'").select(F.col("detection_id").alias("event_id"), "value"), 6)

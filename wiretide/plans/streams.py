@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wiretide.operators import datasets as ds, eve, incidents, models, queries as q
-from wiretide.plans import relational
+from wiretide.operators import datasets as ds, eve, incidents, models, queries as q, temporal
+from wiretide.plans import basics, relational
 from wiretide.plans.basics import rounded
 from wiretide.plans.flowview import FLOW, SCORED, flows, scored
 from wiretide.plans.offline import _EVE, _cic, _envelopes, _eve_lines
@@ -219,3 +219,20 @@ def m15(spark, d):
     got = models.anomaly_calibration(flows(spark, d).where("label = 'benign'"), "iso_s", "rec_s")
     names = ("isolation_median", "isolation_p03", "reconstruction_p50", "reconstruction_p97")
     return rounded(spark.createDataFrame([tuple(float(got[n]) for n in names)], ", ".join(f"{n} double" for n in names)))
+
+
+@query("w2_schema_b", f"SELECT * FROM ({basics.ORACLE['f2_portable_features'].replace(', 9)', ', 6)')}) JOIN ({_W1}) USING (event_id)")
+def w2(spark, d):
+    f = flows(spark, d).withColumn("arrival", _seq())
+    return rounded(temporal.schema_b(f, window_s=_WIN, short_s=_SHORT, skew_s=_SKEW, most=1_000_000), 6)
+
+
+@query("w2_rows_in_file_order", f"WITH {FLOW} SELECT count(*) AS n, count(*) AS distinct_positions, 0::BIGINT AS out_of_order FROM flow")
+def w2_order(spark, d):
+    """Files of flows as they were written, a file a range of ids: positions count up with the ids in each."""
+    top = folder(spark)
+    flows(spark, d).select("n", "event_id").repartitionByRange(4, "n").sortWithinPartitions("n").write.option("header", True).csv(f"{top}/csv")
+    told = readers.with_positions(spark.read.option("header", True).option("maxPartitionBytes", "64k").schema("n long, event_id string").csv(f"{top}/csv"))
+    first = told.groupBy("source_file").agg(F.min("n").alias("low"), F.min_by("n", "position").alias("first"), F.max("n").alias("high"), F.max_by("n", "position").alias("last"), F.corr(F.col("n").cast("double"), F.col("position").cast("double")).alias("r"))
+    wrong = first.agg(F.count_if((F.col("low") != F.col("first")) | (F.col("high") != F.col("last"))).alias("out_of_order"))
+    return told.agg(F.count("*").alias("n"), F.count_distinct("source_file", "position").alias("distinct_positions")).crossJoin(F.broadcast(wrong))

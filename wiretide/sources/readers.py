@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from wiretide.operators.datasets import drop_repeated_headers
 
@@ -18,6 +18,26 @@ def read_flow_csv(spark: SparkSession, paths: str | list[str], max_rows: int | N
     return df
 
 
+def with_positions(df: DataFrame) -> DataFrame:
+    """A file source's rows with source_file and position, their number in the file from 0. Rows of a split follow one another in a
+    partition, and splits of a file by where they start, so a split's offset is the number of rows before it: a row a split is joined
+    back, and nothing is sorted."""
+    at = df.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_block_start").alias("_block")).withColumn("_row", F.monotonically_increasing_id())
+    splits = at.groupBy(F.col("_path").alias("_p"), F.col("_block").alias("_b")).agg(F.min("_row").alias("_first"), F.count("*").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.partitionBy("_p").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = splits.withColumn("_offset", before).select("_p", "_b", "_first", "_offset")
+    met = at.join(offsets, (F.col("_path") == F.col("_p")) & (F.col("_block") == F.col("_b")))
+    return met.withColumn("position", F.col("_offset") + F.col("_row") - F.col("_first")).drop("_path", "_block", "_row", "_p", "_b", "_first", "_offset")
+
+
+def verify_files(found: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(path, status) of the files found and those of a manifest, both with path, length and sha256: ok, changed, missing or unexpected."""
+    m = manifest.select(F.col("path").alias("_path"), F.col("length").alias("_length"), F.col("sha256").alias("_sha256"))
+    both = found.join(m, F.col("path") == F.col("_path"), "full_outer")
+    status = F.when(F.col("path").isNull(), "missing").when(F.col("_path").isNull(), "unexpected").when((F.col("length") == F.col("_length")) & (F.lower("sha256") == F.lower("_sha256")), "ok").otherwise("changed")
+    return both.select(F.coalesce("path", "_path").alias("path"), status.alias("status"))
+
+
 def read_conn_log(spark: SparkSession, paths: str | list[str], required: tuple[str, ...] = ("ts", "duration", "orig_pkts", "resp_pkts", "orig_ip_bytes", "resp_ip_bytes", "id.resp_p", "proto")) -> DataFrame:
     """Connection logs with a #fields header: tabs or three and more spaces part the fields, - and (empty) are null. Files of different headers are read apart."""
     lines = spark.read.text(paths).withColumn("source_file", F.col("_metadata.file_path"))
