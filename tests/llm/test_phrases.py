@@ -70,14 +70,14 @@ def test_late_phrases_are_counted_whole(spark):
     """Phrases that become frequent in the last shard, and those whose counting starts in mid-cycle, have all their occurrences."""
     docs = [(f"{i}q {i % 5}r one two three four. {i}", "en") for i in range(ph.LEAST)] + [("seldom met words here", "en")] * (ph.LEAST - 1)
     f = counts(docs)[0]
-    got = ph.frequent_phrases(spark.createDataFrame(docs, "text string, lang string")).where("k >= 1").collect()
+    got = ph.frequent_phrases(spark.createDataFrame(docs, "text string, lang string"), shards=3).where("k >= 1").collect()
     assert {(r["lang"], r["phrase"]): r["n"] for r in got} == {key: n for key, n in f.items() if n >= ph.LEAST}
 
 
 def test_filter_without_room(spark):
     """A full filter lets all through: rows are the same."""
     docs = corpus(2)
-    got = ph.frequent_phrases(spark.createDataFrame(docs, "text string, lang string"), least=12, bits=64).where("k >= 1").collect()
+    got = ph.frequent_phrases(spark.createDataFrame(docs, "text string, lang string"), least=12, shards=2, bits=64).where("k >= 1").collect()
     assert {(r["lang"], r["phrase"]): r["n"] for r in got} == {key: n for key, n in counts(docs)[0].items() if n >= 12}
 
 
@@ -91,5 +91,5 @@ def test_exact_beyond_64_bits(spark):
 def test_odd_rows(spark):
     assert ph.collocations(ph.frequent_phrases(empty(spark))).collect() == []
     docs = [(t, lang) for _, t, lang, *_ in rows()] + [(rows()[5][1], None), (None, None)]
-    got = ph.collocations(ph.frequent_phrases(frame(spark), least=20), top=50).collect()
+    got = ph.collocations(ph.frequent_phrases(frame(spark), least=20, shards=2), top=50).collect()
     assert sorted(tuple(r) for r in got) == plain(docs, 20, 50)

@@ -18,9 +18,11 @@ from wiretide.llm.common import folder, partitions, store, table
 SHARDS, LEAST, LONGEST = 4, 30, 4
 #: A phrase goes if a longer one that holds it has this percentage of its occurrences; phrases told of a language.
 COVERED, TOP = 80, 2000
-#: Bits of each of the two filters of frequent phrases that go to the workers: 16 MB, whatever the input. False positives,
-#: 2 in 100 at 20 million phrases, cost rows that the join after it drops; a full filter only stops sparing them.
-BITS = 1 << 27
+#: Bits of each of the two filters of frequent phrases that go to the workers: 4 MB, whatever the input. False positives,
+#: 2 in 100 at 2.5 million phrases, cost rows that the join after it drops; a full filter only stops sparing them.
+BITS = 1 << 25
+#: Phrases, of some 50 bytes, that are broadcast; more are joined by a shuffle.
+BROADCAST = 1_000_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -141,6 +143,11 @@ def _filters(frequent: DataFrame, since: int, size: int):
     return [(at[which == w], bits[which == w].astype(np.int64).view(np.uint64)) for w in (0, 1)]
 
 
+def _small(phrases: DataFrame, known: int) -> DataFrame:
+    """Marked for a broadcast if there are few: of a part of a table of `known` rows, which are counted only if the table has many."""
+    return F.broadcast(phrases) if known <= BROADCAST or phrases.limit(BROADCAST + 1).count() <= BROADCAST else phrases
+
+
 def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
     """(lang, k, phrase, n): the phrases of 1 to longest words that occur at least least times in a language, with all their
     occurrences; the row of k = 0 has the number of its words.
@@ -170,7 +177,7 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
 
     share = -(-least // shards)  # of a phrase that occurs least times in a cycle, some shard of it has so many
     key = ["lang", "k", "phrase"]
-    hot, last, step = None, shards - 1, 0
+    hot, size, last, step = None, 0, shards - 1, 0
     while step <= last:
         filters, frequent = None, None
         if hot is not None:
@@ -181,7 +188,7 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
         if frequent is None:
             counted = counted.withColumn("start", F.lit(0))
         else:
-            part = lambda name: frequent.select("lang", F.col("phrase").alias(name), F.col("reach").alias(f"{name}_reach"))  # noqa: B023, E731
+            part = lambda name: _small(frequent.select("lang", F.col("phrase").alias(name), F.col("reach").alias(f"{name}_reach")), size)  # noqa: B023, E731
             split = counted.withColumn("head", F.expr("case when k >= 2 then substring_index(phrase, ' ', k - 1) end")).withColumn("tail", F.expr("case when k >= 2 then substring_index(phrase, ' ', 1 - k) end"))
             met = split.join(part("head"), ["lang", "head"], "left").join(part("tail"), ["lang", "tail"], "left")
             start = F.when(F.col("k") < 2, 0).when(F.col("head_reach").isNotNull() & F.col("tail_reach").isNotNull(), 1 + F.greatest("head_reach", "tail_reach"))
@@ -192,19 +199,19 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
         risen = log.where((F.col("n") >= share) | (F.col("k") == 0)).select(*key, "n", "start", *seen)
         rows = risen
         if hot is not None:
-            more = log.join(hot.select(*key), key, "left_semi").select(*key, "n", "start", *seen)
-            rows = hot.unionByName(more).unionByName(risen.join(hot.select(*key), key, "left_anti"))
+            more = log.join(_small(hot.select(*key), size), key, "left_semi").select(*key, "n", "start", *seen)
+            rows = hot.unionByName(more).unionByName(risen.join(_small(hot.select(*key), size), key, "left_anti"))
         total = rows.groupBy(*key).agg(F.sum("n").alias("n"), F.min("start").alias("start"), F.min("since").alias("since"), F.min("reach").alias("reach"))
         whole = lambda df: df.withColumn("reach", F.coalesce("reach", F.when((F.col("n") >= least) & (F.col("k") > 0), F.lit(step))))  # noqa: B023, E731
         hot = store(whole(total))
         ended = step - shards + 1  # phrases that began then have had their cycle; add what was counted before they were carried
         if ended >= 0:
-            late = hot.where((F.col("start") == ended) & (F.col("since") > ended)).select(*key, "since")
+            late = _small(hot.where((F.col("start") == ended) & (F.col("since") > ended)).select(*key, "since"), hot.count())
             past = [spark.read.schema("lang string, k int, phrase string, n long, start int").parquet(f"{top}/scan/{at}").where(F.col("start") == ended).select(*key, F.col("n").alias("before"), F.lit(at).alias("at")) for at in range(ended, step)]
             found = functools.reduce(DataFrame.unionByName, past).join(late, key).where(F.col("at") < F.col("since")).groupBy(*key).agg(F.sum("before").alias("before"))
             added = hot.join(found, key, "left").withColumn("n", F.col("n") + F.coalesce("before", F.lit(0))).drop("before")
             hot = store(whole(added).where((F.col("k") == 0) | F.col("reach").isNotNull() | (F.col("start") > ended)))
-        reached = hot.where(F.col("k") < longest).agg(F.max("reach")).first()[0]
+        reached, size = hot.agg(F.max(F.when(F.col("k") < longest, F.col("reach"))), F.count("*")).first()
         if reached is not None:
             last = max(shards - 1, reached + shards)
         if filters is not None:
