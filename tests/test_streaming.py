@@ -27,8 +27,8 @@ def collected(spark, stream, folder, name):
 
 def test_temporal_stream_equals_batch(spark, tmp_path):
     """Over three batches; a repeated id is told what it was told first and changes nothing."""
-    rows = [(f"{key[1]}/{event}", key, *rest) for event, key, *rest in temporal_rows(200)]
-    rows += rows[150:160]
+    rows = [(f"{key[1]}/{event}", key, *rest) for event, key, *rest in temporal_rows(60)]
+    rows += rows[40:46]
     df = temporal_frame(spark, rows)
     want = {r["event_id"]: [r[f] for f in temporal.FEATURES] for r in temporal.temporal_features(df).collect()}
     got = collected(spark, jobs.stream_temporal(streamed(spark, df, tmp_path / "in", 3, "arrival")), tmp_path / "c", "temporal_out")

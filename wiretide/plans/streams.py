@@ -52,26 +52,11 @@ def streamed(spark: SparkSession, parts: list[DataFrame], job: Callable[[DataFra
 _W1 = relational.ORACLE["w1_temporal_features"]
 
 
-@query("t1_stream_temporal", f"SELECT *, false AS repeated FROM ({_W1}) UNION ALL SELECT *, true FROM ({_W1}) WHERE CAST(event_id AS BIGINT) % 50 = 0")
-def t1(spark, d):
-    """The flows in three micro-batches, and every fiftieth once more at the end: it is told what it was told first."""
-    f = flows(spark, d).withColumn("arrival", _seq()).select("event_id", "sensor_id", "src_ip", "dst_ip", "ts_us", "arrival", "dst_port", "protocol", "duration_ms", "n")
-    again = f.where("n % 50 = 0").withColumn("arrival", F.col("arrival") + 4_000_000_000_000_000_000)
-    out = streamed(spark, batches(f.unionByName(again), "arrival"), lambda s: jobs.stream_temporal(s, _WIN, _SHORT, _SKEW, most=1_000_000))
-    return rounded(out.drop("arrival"), 6)
-
-
-@query("t5_stream_incidents")
-def t5(spark, d):
-    a = _alerts(spark, d).select("sensor_id", "alert_id", "ts_us", "src_ip", "dst_ip", "signature_ids", "reason_codes", "attack_stage", "severity", "risk")
-    return streamed(spark, batches(a, "ts_us"), jobs.stream_incidents)
-
-
-@query("t6_stream_drift", relational.ORACLE["w3_drift_events"].replace("SELECT sensor_id, n, round(a, 6)", "SELECT sensor_id AS model_version, CAST(n AS VARCHAR) AS detection_id, round(a, 6)"))
+@query("t6_stream_drift", relational.ORACLE["w3_drift_events"].replace("SELECT sensor_id, n, round(a, 6)", "SELECT sensor_id AS model_version, CAST(n AS VARCHAR) AS detection_id, round(a, 9)").replace("round(b, 6)", "round(b, 9)"))
 def t6(spark, d):
     s = scored(spark, d).select(F.col("sensor_id").alias("model_version"), F.lit("anomaly_score").alias("signal"), F.col("n").cast("string").alias("detection_id"), F.col("n").alias("arrival"), F.col("anomaly_score").alias("value"))
     out = streamed(spark, batches(s, "arrival"), lambda x: jobs.stream_drift(x, 16, {"anomaly_score": 0.1}))
-    return rounded(out.select("model_version", "detection_id", "reference_mean", "recent_mean"), 6)
+    return rounded(out.select("model_version", "detection_id", "reference_mean", "recent_mean"))
 
 
 @query("t9_alert_feed", f"WITH {_ALERTS} SELECT alert_id, ts_us, severity FROM alert ORDER BY ts_us DESC, alert_id LIMIT 20")
