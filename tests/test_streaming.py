@@ -19,9 +19,9 @@ def streamed(spark, df, folder, parts, by):
 
 
 def collected(spark, stream, folder, name):
-    q = stream.writeStream.format("memory").queryName(name).option("checkpointLocation", str(folder)).trigger(availableNow=True).start()
-    q.awaitTermination(180)
-    assert q.exception() is None
+    with jobs.ending(spark):
+        q = stream.writeStream.format("memory").queryName(name).option("checkpointLocation", str(folder)).trigger(availableNow=True).start()
+    assert q.awaitTermination(180) and q.exception() is None
     return spark.table(name).collect()
 
 
@@ -40,7 +40,6 @@ def test_temporal_stream_equals_batch(spark, tmp_path):
         seen.add(r["event_id"])
 
 
-@pytest.mark.skip(reason="open: does not end within 100 s since the incident fold was rewritten; cause not found yet")
 def test_incident_stream_equals_batch(spark, tmp_path):
     rows = fold_rows() + [(f"b{i}", T0 + 700_000_000 + i * 1_000_000, *r[2:]) for i, r in enumerate(fold_rows())]
     df = spark.createDataFrame([(*r, "s", i) for i, r in enumerate(rows)], FOLD + ", sensor_id string, i long")

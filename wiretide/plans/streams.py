@@ -44,7 +44,8 @@ def streamed(spark: SparkSession, parts: list[DataFrame], job: Callable[[DataFra
     for part in parts:
         part.write.mode("append").parquet(f"{top}/in")
         stream = spark.readStream.schema(part.schema).option("maxFilesPerTrigger", 1_000_000).parquet(f"{top}/in")
-        run = job(stream).writeStream.format("parquet").option("path", f"{top}/out").option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start()
+        with jobs.ending(spark):
+            run = job(stream).writeStream.format("parquet").option("path", f"{top}/out").option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start()
         run.awaitTermination()
     return spark.read.parquet(f"{top}/out")
 
