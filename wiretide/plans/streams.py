@@ -53,6 +53,19 @@ def streamed(spark: SparkSession, parts: list[DataFrame], job: Callable[[DataFra
 _W1 = relational.ORACLE["w1_temporal_features"]
 
 
+@query("t1_stream_temporal", _W1)
+def t1(spark, d):
+    """The temporal features of flows that came in three batches, in order of arrival, each answered as it came."""
+    out = streamed(spark, batches(relational._sequenced(spark, d), "arrival"), lambda x: jobs.stream_temporal(x, _WIN, _SHORT, _SKEW, idle_s=1e6))
+    return rounded(out.select("event_id", *temporal.FEATURES), 6)
+
+
+@query("t5_stream_incidents")
+def t5(spark, d):
+    """The incidents of alerts that came in three batches, in order of time. The fold has no SQL; a test holds the stream against the batch."""
+    return streamed(spark, batches(_alerts(spark, d), "ts_us"), jobs.stream_incidents)
+
+
 @query("t6_stream_drift", relational.ORACLE["w3_drift_events"].replace("SELECT sensor_id, n, round(a, 6)", "SELECT sensor_id AS model_version, CAST(n AS VARCHAR) AS detection_id, round(a, 9)").replace("round(b, 6)", "round(b, 9)"))
 def t6(spark, d):
     s = scored(spark, d).select(F.col("sensor_id").alias("model_version"), F.lit("anomaly_score").alias("signal"), F.col("n").cast("string").alias("detection_id"), F.col("n").alias("arrival"), F.col("anomaly_score").alias("value"))
