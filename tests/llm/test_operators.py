@@ -8,6 +8,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -150,6 +151,35 @@ def test_word_hashes_do_not_depend_on_grouping(monkeypatch):
     assert len(set(zip(words, whole.tolist()))) == len(set(words)) == len(set(whole.tolist()))
 
 
+def thue_morse(n):
+    """Two words of 2 ** n letters that collide under every polynomial hash modulo 2 ** 64, from ten or so on."""
+    one = "a"
+    for _ in range(n):
+        one += one.translate(str.maketrans("ab", "ba"))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_break_polynomial_hashes_stay_apart(spark):
+    for n in (3, 5, 6, 7, 10, 12):
+        hashes, _ = wordhash.word_hashes([w.encode() for w in thue_morse(n)])
+        assert len(set(hashes.tolist())) == 2
+    one, two = thue_morse(11)
+    rest = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, f"{rest} {one}"), (2, f"{rest} {two}"), (3, f"{rest} {one}")], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in substring.repeats(docs).collect()} == {1: 0, 2: 0, 3: 13}
+
+
+def test_substring_windows_of_equal_hash_are_told_apart_by_their_check():
+    hashes, checks = np.array([5, 7, 7, 7, 9], np.uint64), np.array([1, 2, 4, 8, 1], np.uint32)
+    at, there = substring._find(hashes, checks, np.array([7, 7, 9, 9, 5, 6], np.uint64), np.array([8, 3, 1, 2, 1, 1], np.uint32))
+    assert at[0] == 3 and there.tolist() == [True, False, True, False, True, False]
+    part = lambda chunk, ids: (chunk, 0, substring._planes(hashes), checks.tobytes(), np.array(ids, np.int64).tobytes())
+    other = (2, 0, substring._planes(hashes[:2]), np.array([1, 3], np.uint32).tobytes(), np.array([60, 61], np.int64).tobytes())
+    rows = pa.Table.from_pylist([dict(zip(("chunk", "bucket", "hashes", "checks", "ids"), r)) for r in (part(1, [10, 11, 12, 13, 14]), other)])
+    told = [b.to_pylist()[0] for b in substring._least(rows)]
+    assert [t["chunk"] for t in told] == [2] and np.frombuffer(told[0]["ids"], np.int64).tolist() == [10]
+
+
 # Quality ------------------------------------------------------------------------------------------
 
 

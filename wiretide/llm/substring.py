@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from wiretide.llm.common import as_bytes, partitions, session_of
-from wiretide.llm.wordhash import ngrams, starts_within, word_hashes
+from wiretide.llm.wordhash import CHECK_STEP, ngrams, starts_within, word_hashes
 
 #: Words of a repeat at least.
 WINDOW = 13
@@ -19,7 +19,7 @@ CHUNK = 6_000_000
 #: Bytes of text for each bucket of hashes, about 2 million words; and buckets at most.
 BUCKET, BUCKETS = 12_000_000, 1 << 18
 _ANCHORS = "role int, chunk long, bucket int, hashes binary"
-_WINDOWS = "chunk long, bucket int, hashes binary, ids binary"
+_WINDOWS = "chunk long, bucket int, hashes binary, checks binary, ids binary"
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -56,6 +56,10 @@ class _Chunk:
         at = np.flatnonzero(starts_within(self.words, n))
         return ngrams(self.hashes, n)[at], at, np.searchsorted(self.words, at, side="right") - 1
 
+    def checks(self, at: np.ndarray) -> np.ndarray:
+        """32 bits of a second hash of the windows at some places: windows are equal if both hashes are."""
+        return ngrams(self.hashes, self.window, CHECK_STEP)[at].astype(np.uint32)
+
 
 def _ask(chunk: _Chunk) -> tuple[np.ndarray, np.ndarray]:
     """The distinct hashes of all rolling blocks, the probes, and of the non-overlapping blocks, the index."""
@@ -68,6 +72,23 @@ def _short(hashes: np.ndarray) -> np.ndarray:
     return np.unique(hashes.astype(np.uint32))
 
 
+def _fresh(hashes: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """Marks the first of each run of equal windows, in order of hash and check."""
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (checks[1:] != checks[:-1])
+    return new
+
+
+def _find(hashes: np.ndarray, checks: np.ndarray, of: np.ndarray, of_check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where in windows ordered by hash each of others is, and whether it is there. Where hashes collide, the check decides."""
+    at = np.minimum(np.searchsorted(hashes, of), len(hashes) - 1)
+    while True:
+        collides = (hashes[at] == of) & (checks[at] != of_check) & (at + 1 < len(hashes))
+        if not collides.any():
+            return at, (hashes[at] == of) & (checks[at] == of_check)
+        at[collides] += 1
+
+
 def _candidates(chunk: _Chunk, hits: dict[int, np.ndarray], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, place and document of the windows around blocks that another document has too: those that the buckets report, and
     those that two documents of the chunk share."""
@@ -92,20 +113,19 @@ def _candidates(chunk: _Chunk, hits: dict[int, np.ndarray], buckets: int) -> tup
     return windows[keep], place[keep], of[keep]
 
 
-def _result(chunk: _Chunk, least: dict[int, tuple[np.ndarray, np.ndarray]], buckets: int) -> pa.RecordBatch:
+def _result(chunk: _Chunk, least: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], buckets: int) -> pa.RecordBatch:
     """Removes what windows cover that start in a document of smaller id: in this chunk, or by the ids that the buckets report."""
     windows, place, of = chunk.grams(chunk.window)
-    order = np.lexsort((chunk.ids[of], windows))
-    run = windows[order]
-    new = np.ones(len(run), bool)
-    new[1:] = run[1:] != run[:-1]
+    checks = chunk.checks(place)
+    order = np.lexsort((chunk.ids[of], checks, windows))
+    new = _fresh(windows[order], checks[order])
     first = chunk.ids[of[order]][new]
-    keys = run[new]
+    keys, checks = windows[order][new], checks[order][new]
     for bucket, part in _by_bucket(keys, buckets):
         if bucket in least:
-            hashes, ids = least[bucket]
-            found = np.minimum(np.searchsorted(hashes, keys[part]), len(hashes) - 1)
-            first[part] = np.where(hashes[found] == keys[part], np.minimum(ids[found], first[part]), first[part])
+            hashes, told, ids = least[bucket]
+            found, there = _find(hashes, told, keys[part], checks[part])
+            first[part] = np.where(there, np.minimum(ids[found], first[part]), first[part])
     gone = np.zeros(int(chunk.words[-1]) + 1, np.int32)
     hit = place[order][first[np.cumsum(new) - 1] < chunk.ids[of[order]]]
     np.add.at(gone, hit, 1)
@@ -146,22 +166,26 @@ def _shared(rows: pa.Table) -> Iterator[pa.RecordBatch]:
 
 def _least(rows: pa.Table) -> Iterator[pa.RecordBatch]:
     """Of one bucket: the least document of each window, told to each chunk that has the window only later."""
-    parts = [(c, _unplanes(h, np.uint64), np.frombuffer(i, np.int64)) for c, h, i in zip(*(rows[k].to_pylist() for k in ("chunk", "hashes", "ids")))]
+    parts = [(c, *_told(h, k, i)) for c, h, k, i in zip(*(rows[n].to_pylist() for n in ("chunk", "hashes", "checks", "ids")))]
     if len(parts) < 2:
         return
-    hashes, ids = np.concatenate([h for _, h, _ in parts]), np.concatenate([i for _, _, i in parts])
-    order = np.lexsort((ids, hashes))
-    hashes, ids = hashes[order], ids[order]
-    new = np.ones(len(hashes), bool)
-    new[1:] = hashes[1:] != hashes[:-1]
-    keys, least = hashes[new], ids[new]
-    del hashes, ids, order
+    hashes, checks, ids = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3))
+    order = np.lexsort((ids, checks, hashes))
+    hashes, checks, ids = hashes[order], checks[order], ids[order]
+    new = _fresh(hashes, checks)
+    keys, marks, least = hashes[new], checks[new], ids[new]
+    del hashes, checks, ids, order
     bucket = rows["bucket"][0].as_py()
-    for chunk, mine, own in parts:
-        found = least[np.searchsorted(keys, mine)]
+    for chunk, mine, check, own in parts:
+        found = least[_find(keys, marks, mine, check)[0]]
         told = found < own
         if told.any():
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([bucket], pa.int32()), pa.array([_planes(mine[told])], pa.binary()), pa.array([found[told].tobytes()], pa.binary())], names=["chunk", "bucket", "hashes", "ids"])
+            columns = [_planes(mine[told]), check[told].tobytes(), found[told].tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([bucket], pa.int32()), *(pa.array([c], pa.binary()) for c in columns)], names=["chunk", "bucket", "hashes", "checks", "ids"])
+
+
+def _told(hashes: bytes, checks: bytes, ids: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return _unplanes(hashes, np.uint64), np.frombuffer(checks, np.uint32), np.frombuffer(ids, np.int64)
 
 
 def _grouped(schema: str, run):
@@ -186,7 +210,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     smaller id; removed holds the maximal runs of such words, kept the other words joined by a space. Windows are those of
     the input. Ids are integers. A row with a null id keeps all and is no reference; rows of equal id aren't smaller than
     one another; a null text has no words. An empty table gives an empty one; other columns are not read. Any length of text
-    is taken whole. Equality is that of 64-bit hashes.
+    is taken whole. Windows are equal if a 64-bit hash and 32 bits of a second one are.
 
     Documents are dealt by hash into chunks of about CHUNK bytes; that exchange is the only one of texts and is used three
     times. (1) Each chunk sends the distinct hashes of its non-overlapping blocks of (window + 1) / 2 words, the index, and of
@@ -215,21 +239,20 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
             return schema_table(_WINDOWS)
         chunk = _Chunk(rows, window)
         hits = {b: _unplanes(h, np.uint32) for b, h in zip(told["bucket"].to_pylist(), told["hashes"].to_pylist())}
-        windows, _, of = _candidates(chunk, hits, buckets)
-        order = np.lexsort((chunk.ids[of], windows))
-        windows, ids = windows[order], chunk.ids[of[order]]
-        new = np.ones(len(windows), bool)
-        new[1:] = windows[1:] != windows[:-1]
-        windows, ids = windows[new], ids[new]
-        parts = [(b, _planes(windows[part]), ids[part].tobytes()) for b, part in _by_bucket(windows, buckets)]
-        return pa.table([pa.array([rows["chunk"][0].as_py()] * len(parts), pa.int64()), pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary()), pa.array([p[2] for p in parts], pa.binary())], names=["chunk", "bucket", "hashes", "ids"])
+        windows, place, of = _candidates(chunk, hits, buckets)
+        checks = chunk.checks(place)
+        order = np.lexsort((chunk.ids[of], checks, windows))
+        order = order[_fresh(windows[order], checks[order])]
+        windows, checks, ids = windows[order], checks[order], chunk.ids[of[order]]
+        parts = [(b, _planes(windows[part]), checks[part].tobytes(), ids[part].tobytes()) for b, part in _by_bucket(windows, buckets)]
+        return pa.table([pa.array([rows["chunk"][0].as_py()] * len(parts), pa.int64()), pa.array([p[0] for p in parts], pa.int32()), *(pa.array([p[k] for p in parts], pa.binary()) for k in (1, 2, 3))], names=["chunk", "bucket", "hashes", "checks", "ids"])
 
     result = "doc_id long, n_words long, n_removed long, removed array<struct<start:int,end:int>>, kept binary"
 
     def finish(rows: pa.Table, told: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return schema_table(result)
-        least = {b: (_unplanes(h, np.uint64), np.frombuffer(i, np.int64)) for b, h, i in zip(*(told[k].to_pylist() for k in ("bucket", "hashes", "ids")))}
+        least = {b: _told(h, k, i) for b, h, k, i in zip(*(told[n].to_pylist() for n in ("bucket", "hashes", "checks", "ids")))}
         return pa.Table.from_batches([_result(_Chunk(rows, window), least, buckets)])
 
     asked = dealt.groupBy("chunk").applyInArrow(_grouped(_ANCHORS, ask), _ANCHORS)

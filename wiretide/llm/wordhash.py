@@ -5,10 +5,14 @@ from __future__ import annotations
 from functools import cache
 
 import numpy as np
+import xxhash
 
 #: Bytes hashed at once.
 PIECE = 2_000_000
 BASE, STEP = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+#: The step of a second hash of n-grams, and the key of the hash of a word; words of more bytes than LONG are hashed one by one.
+CHECK_STEP, KEY, LONG = 0xAEF17502108EF2D9, 0x632BE59BD9B4E019, 64
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -32,13 +36,23 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of each word of a run of bytes: a polynomial of its bytes over 2 ** 64, mixed."""
+    """Hash and start of each word of a run of bytes. The length and then eight bytes at a time are mixed in, with a key, for all words
+    together; words of at most eight bytes and equal length can't collide. Long words are hashed by XXH3."""
     word = ~_SPACE[data]
     edge = np.diff(word.view(np.int8), prepend=np.int8(0), append=np.int8(0))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    power, inverse = _upto(BASE, len(data))
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)])))
-    return mix((total[ends] - total[starts]) * inverse[starts]), starts
+    size = ends - starts
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    h = mix(size.astype(np.uint64) * np.uint64(BASE) ^ np.uint64(KEY))
+    at, done = np.flatnonzero(size <= LONG), 0
+    while at.size:
+        left = size[at] - done
+        h[at] = mix(h[at] ^ (eight[starts[at] + done] & _MASKS[np.minimum(left, 8)]))
+        at, done = at[left > 8], done + 8
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), KEY)
+    return h, starts
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -86,11 +100,11 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), np.concatenate(([0], np.cumsum(counts)))
 
 
-def ngrams(words: np.ndarray, n: int) -> np.ndarray:
+def ngrams(words: np.ndarray, n: int, step: int = STEP) -> np.ndarray:
     """Hash of the n words from each place on, for all places but the last n - 1."""
     if len(words) < n:
         return np.zeros(0, np.uint64)
-    power, inverse = _upto(STEP, len(words))
+    power, inverse = _upto(step, len(words))
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * power[: len(words)])))
     m = len(words) - n + 1
     return mix((total[n:] - total[:m]) * inverse[:m])
