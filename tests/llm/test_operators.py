@@ -95,6 +95,37 @@ def test_simhash_tiles_lose_no_link():
         assert len(set(zip(found.tolist(), label.tolist()))) == len(set(label.tolist())) == len(set(found.tolist()))
 
 
+def test_set_fingerprints_and_sketches_find_similar_sets():
+    """Of pairs that have the share, also where they differ in how often a footer is repeated, nearly all are candidates; of variants of
+    one template well below it few are."""
+    rng = random.Random(5)
+    new = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+    def measured(a, b):
+        one, two = (simhash.shingle_hashes(" ".join(w).encode()) for w in (a, b))
+        common = len(np.intersect1d(one, two))
+        bits = (simhash.set_fingerprint(one) ^ simhash.set_fingerprint(two)).bit_count()
+        agreed = bool(simhash.agree(simhash.sketch(one)[None], simhash.sketch(two)[None], 0.8)[0])
+        return common / (len(one) + len(two) - common), bits <= simhash.SIMILAR_RADIUS, agreed
+
+    def edited(w, k):
+        w = list(w)
+        for i in rng.sample(range(len(w)), k):
+            w[i] = f"e{rng.randrange(10**6)}"
+        return w
+
+    footed, plain, loose = [], [], []
+    for _ in range(300):
+        base, foot = new(rng.randrange(80, 400)), new(12)
+        footed.append(measured(base + foot, edited(base, len(base) // 80) + foot * 20))
+        plain.append(measured(base, edited(base, len(base) // 50)))
+        loose.append(measured(new(0) + base, edited(base, len(base) // 8)))
+    for found in (footed, plain):
+        alike = [f for f in found if f[0] >= 0.8]
+        assert len(alike) > 100 and sum(near for _, near, _ in alike) >= 0.97 * len(alike) and all(agreed for *_, agreed in alike)
+    assert all(share < 0.5 for share, *_ in loose) and sum(agreed for *_, agreed in loose) <= 6
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (5, 4), (9, 9), (None, 1), (7, 8), (8, 7)] + [(i, i + 1) for i in range(100, 160)] + [(1000, k) for k in range(1001, 1100)]
     got = {r["node"]: r["label"] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}

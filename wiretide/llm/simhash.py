@@ -23,6 +23,9 @@ TILE = 256
 SIMILAR_WIDTH, SIMILAR_SHARE, SIMILAR_RADIUS = 5, 0.8, 18
 #: Classes of shingle hashes that are counted per document, and pairs that a cell holds before it thins them.
 CLASSES, PAIRS = 64, 2_000_000
+#: Bins of the sketch of a shingle set, a byte each, and by how many standard deviations the sketches of a pair may agree less than
+#: the share asks: five leave out less than one of a million pairs that have it.
+BINS, DEVIATIONS = 256, 5.0
 
 
 def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
@@ -189,25 +192,50 @@ def shingle_hashes(text: bytes, width: int = SIMILAR_WIDTH, seed: int = 42) -> n
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[width - 1 :].tolist())), np.uint64, n))
 
 
+def set_fingerprint(own: np.ndarray) -> int:
+    """The fingerprint of a set of shingle hashes: a bit for every position that more than half of them set. Unlike fingerprint() it
+    doesn't depend on how often a text repeats a shingle, which their Jaccard similarity doesn't either."""
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(own), 1 << 16):
+        total += np.unpackbits(own[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
+    return int.from_bytes(np.packbits(2 * total > len(own)).tobytes(), "big")
+
+
+def sketch(own: np.ndarray) -> np.ndarray:
+    """One byte of the least hash of each of BINS classes of an ascending set of hashes, 0 where a class is empty: one-permutation MinHash."""
+    out = np.zeros(BINS, np.uint8)
+    bins, first = np.unique(own % np.uint64(BINS), return_index=True)
+    out[bins.astype(np.int64)] = ((own[first] >> np.uint64(8)) % np.uint64(255) + np.uint64(1)).astype(np.uint8)
+    return out
+
+
+def agree(a: np.ndarray, b: np.ndarray, share: float) -> np.ndarray:
+    """Which rows of sketches agree in so many of the bins that either fills as the share asks, but for chance."""
+    common = ((a == b) & (a > 0)).sum(axis=1, dtype=np.int64)
+    filled = ((a > 0) | (b > 0)).sum(axis=1, dtype=np.int64)
+    return common >= share * filled - DEVIATIONS * np.sqrt(share * (1 - share) * filled) - 1e-9
+
+
 def _set_rows(docs: DataFrame, width: int) -> DataFrame:
-    """(key, node, fp, n, counts) of every row of (_key, _text): the digest and size of its shingle set, its fingerprint, and how
-    many of the set are in each of CLASSES classes (a byte each, 255 for that many or more)."""
+    """(key, node, fp, n, counts, sketch) of every row of (_key, _text): the digest and size of its shingle set, the set's fingerprint,
+    how many of it are in each of CLASSES classes (a byte each, 255 for that many or more), and its sketch. All but key follow from node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, fps, sizes, counts = [], [], [], []
+            nodes, fps, sizes, counts, sketches = [], [], [], [], []
             for x in batch.column(1):
-                text = x.as_py()
-                own = shingle_hashes(text, width)
+                own = shingle_hashes(x.as_py(), width)
                 nodes.append(xxhash.xxh64_intdigest(own.tobytes()))
-                fps.append(fingerprint(text, width))
+                fps.append(set_fingerprint(own))
                 sizes.append(len(own))
                 counts.append(np.minimum(np.bincount((own % np.uint64(CLASSES)).astype(np.int64), minlength=CLASSES), 255).astype(np.uint8).tobytes())
+                sketches.append(sketch(own).tobytes())
             longs = [pa.array(np.array(v, np.uint64).view(np.int64)) for v in (nodes, fps)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *longs, pa.array(sizes, pa.int64()), pa.array(counts, pa.binary())], names=["key", "node", "fp", "n", "counts"])
+            rest = [pa.array(sizes, pa.int64()), pa.array(counts, pa.binary()), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *longs, *rest], names=["key", "node", "fp", "n", "counts", "sketch"])
 
     kind = docs.schema["_key"].dataType.simpleString()
-    return docs.select("_key", as_bytes("_text").alias("_text")).mapInArrow(run, f"key {kind}, node long, fp long, n long, counts binary")
+    return docs.select("_key", as_bytes("_text").alias("_text")).mapInArrow(run, f"key {kind}, node long, fp long, n long, counts binary, sketch binary")
 
 
 def _tree(a: np.ndarray, b: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
@@ -226,8 +254,9 @@ def _tree(a: np.ndarray, b: np.ndarray, weight: np.ndarray, n: int) -> np.ndarra
 
 
 def _candidates(left: dict, right: dict | None, radius: int, share: float, thin: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Places, in left and right, of the pairs of other labels whose fingerprints differ in at most radius bits and whose sizes and
-    class counts allow the share: no more than the sum of the lesser counts can be common. thin leaves a minimum spanning forest."""
+    """Places, in left and right, of the pairs of other labels whose fingerprints differ in at most radius bits, whose sizes and class
+    counts allow the share (no more than the sum of the lesser counts can be common) and whose sketches agree. thin leaves a
+    minimum spanning forest."""
     other = left if right is None else right
     shift = 0 if right is None else len(left["fp"])
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -254,6 +283,7 @@ def _candidates(left: dict, right: dict | None, radius: int, share: float, thin:
                 least = np.minimum(left["counts"][x[one]], other["counts"][y[one]])
                 common = least.sum(axis=1, dtype=np.int64)
                 may = (common >= share * (n[one] + m[one] - common) - 1e-9) | (least == 255).any(axis=1)
+                may[may] = agree(left["sketch"][x[one][may]], other["sketch"][y[one][may]], share)
                 if may.any():
                     found.append((x[one][may], y[one][may], d[one][may]))
                     held += int(may.sum())
@@ -267,13 +297,13 @@ def _candidates(left: dict, right: dict | None, radius: int, share: float, thin:
 
 
 def candidate_pairs(nodes: DataFrame, radius: int, share: float, thin: bool) -> DataFrame:
-    """(u, v): the pairs of (node, fp, n, counts, label) that _candidates() leaves, cell by cell of the grid of near_links()."""
+    """(u, v): the pairs of (node, fp, n, counts, sketch, label) that _candidates() leaves, cell by cell of the grid of near_links()."""
 
     def cell(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         def side(block: int) -> dict:
             own = rows[rows["block"] == block]
-            counts = np.frombuffer(b"".join(own["counts"]), np.uint8).reshape(-1, CLASSES)
-            return {"fp": own["fp"].to_numpy().view(np.uint64), "counts": counts} | {c: own[c].to_numpy() for c in ("node", "n", "label")}
+            packed = {c: np.frombuffer(b"".join(own[c]), np.uint8).reshape(-1, n) for c, n in (("counts", CLASSES), ("sketch", BINS))}
+            return packed | {"fp": own["fp"].to_numpy().view(np.uint64)} | {c: own[c].to_numpy() for c in ("node", "n", "label")}
 
         left, right = side(key[0]), None if key[0] == key[1] else side(key[1])
         x, y = _candidates(left, right, radius, share, thin)
@@ -305,9 +335,10 @@ def similar_links(docs: DataFrame, found: DataFrame, radius: int, width: int, sh
     bits and have the share as Jaccard similarity or more; each is verified by the exact similarity.
 
     Candidates are thinned to a spanning forest of each cell first, so that a group of near copies is verified in about as many
-    pairs as it has members. Then every candidate pair that the verified ones don't connect is verified, none left out.
+    pairs as it has members. Then every candidate pair that the verified ones don't connect is verified, none left out. Sketches
+    keep most pairs below the share, by a tenth or more, from moving texts.
     """
-    nodes = cut(found.groupBy("node").agg(F.min("key").alias("key"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("counts").alias("counts")))
+    nodes = cut(found.groupBy("node").agg(F.min("key").alias("key"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("counts").alias("counts"), F.first("sketch").alias("sketch")))
     of = docs.select(F.col("_key").alias("key"), as_bytes("_text").alias("text"))
 
     def verified(labelled: DataFrame, thin: bool) -> DataFrame:
@@ -315,7 +346,7 @@ def similar_links(docs: DataFrame, found: DataFrame, radius: int, width: int, sh
         wanted = nodes.join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi").select("node", "key")
         return cut(_verified(pairs, of.join(wanted, "key").groupBy("node").agg(F.first("text").alias("text")), width, share))
 
-    plain = nodes.select("node", "fp", "n", "counts")
+    plain = nodes.select("node", "fp", "n", "counts", "sketch")
     first = verified(plain.withColumn("label", F.col("node")), True)
     label = connected_components(first).withColumnRenamed("label", "found")
     rest = verified(plain.join(label, "node", "left").withColumn("label", F.coalesce("found", "node")).drop("found"), False)
@@ -344,7 +375,7 @@ def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """docs, all columns, with one row of each group that chains of documents with the share as exact Jaccard similarity or more
     connect: that of the smallest id (null first), of several with it one.
 
-    Candidates are the pairs whose fingerprints differ in at most radius bits, compared tile by tile as in near_duplicates().
+    Candidates are the pairs whose sets' fingerprints differ in at most radius bits, compared tile by tile as in near_duplicates().
     Equal shingle sets are one node. Texts of fewer words than a shingle are one shingle; null and blank ones are alike.
     """
     keyed = _keyed(docs, id_col, text_col)
