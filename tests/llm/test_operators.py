@@ -579,6 +579,33 @@ def test_html_layout_does_not_empty_a_page(spark, page):
     assert (own if own is not None else "\n".join(t for t, _, ruled in found if not ruled)) == "its text"
 
 
+STORY = "the story goes on and on with many words of prose in it"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<article class="post type-post category-social-media hentry"><p>{}</p></article>',
+        '<article class="post hentry tag-ads"><p>{}</p></article>',
+        '<article id="comment-policy"><p>{}</p></article>',
+        '<div class="ad-free"><article><p>{}</p></article></div>',
+        '<article><section class="share-price-report"><p>{}</p></section></article>',
+        '<article><div class="post-content share-enabled"><p>{}</p></div></article>',
+        '<article><div class="search-tips"><p>{}</p></div></article>',
+        '<div class="layout social"><article><p>{}</p></article></div>',
+        '<article><svg class="i"/><p>{}</p></article>',
+        '<article><svg class="i" /><p>{}</p><svg><text>drawn</text></svg></article>',
+        "<title-card>x</title-card><style-guide></style-guide><article><p>{}</p></article>",
+        '<article><p>{}</p></article><div id="discussion"><article><p>first</p></article></div>',
+        '<article><p>{}</p></article><div class="more-stories"><article><p>teaser</p></article></div>',
+        '<article><p>{}</p></article><div id="comments"><article class="comment"><p>' + "much longer than the story " * 30 + "</p></article></div>",
+        '<article><p>{}</p><div class="ad-slot"><p>buy</p></div><div class="comment-list"><p>' + "long " * 90 + "</p></div></article>",
+    ],
+)
+def test_html_words_of_classes_do_not_empty_articles(page):
+    assert boilerplate.article(boilerplate.blocks(page.format(STORY))) == STORY
+
+
 def test_html_long_pages_take_linear_time():
     began = time.process_time()
     for piece in ("<a ", '<a ="', "<p><b>", "<div>", "</section>", "<!", "&amp;", "<nav>", "word ", "<script "):

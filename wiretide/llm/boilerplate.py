@@ -15,9 +15,9 @@ from wiretide.llm.wordhash import mix, word_hashes
 
 #: The inside of a tag: quotes count after an equals sign only, and a tag ends before the next one starts.
 ATTRIBUTES = r"""(?:[^<>=]+|=\s*"[^"]*"|=\s*'[^']*'|=)*+"""
-#: Comments, raw elements with their content, other declarations, tags.
+#: Comments, raw elements with their content (a self-closing svg has none), other declarations, tags.
 TAG = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|textarea|title)\b{ATTRIBUTES}>.*?(?:</\1\s*>|\Z)|<[!?][^<>]*>|<(/?)([a-zA-Z][^\s/<>]*)({ATTRIBUTES})>",
+    rf"<!--.*?(?:-->|\Z)|<svg(?=[\s/>]){ATTRIBUTES}(?<=/)>|<(script|style|noscript|template|iframe|svg|textarea|title)(?=[\s/>]){ATTRIBUTES}>.*?(?:</\1\s*>|\Z)|<[!?][^<>]*>|<(/?)([a-zA-Z][^\s/<>]*)({ATTRIBUTES})>",
     re.DOTALL | re.IGNORECASE,
 )
 ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -41,7 +41,13 @@ OUT_WORDS = frozenset(
 )
 IN_WORDS = frozenset("article body content entry headline main post story title".split())
 HARD_WORDS = frozenset("ad ads advert adverts advertisement advertising comment comments cookie cookies disqus promo related share social sponsor sponsored newsletter".split())
-LAYOUT_WORDS = frozenset("with has no without".split())
+LAYOUT_WORDS = frozenset("with has no without free".split())
+#: First words of a class that names the topic of an article, and words that with another of these mark teasers of other pages.
+TOPIC_WORDS = frozenset("category tag topic".split())
+MORE_WORDS, TEASER_WORDS = frozenset("more other".split()), frozenset("stories articles news posts".split())
+#: Of the words of the third kind those that mark what readers wrote; a class or id that is one of the second line says so too.
+READER_WORDS = frozenset("comment comments disqus".split())
+READERS = frozenset("discussion responses replies".split())
 #: Tokens of a repeated substring at least, distinct pages of a host that hold it at least, and the share of a block's tokens that such substrings cover for the block to go.
 TOKENS, PAGES, COVERED = 6, 3, 0.8
 #: A block of an article goes only if so many of the host's distinct articles, and this share of them, hold it, and never more than this share of an article.
@@ -56,28 +62,47 @@ PORTION = 16_000_000
 Block = tuple[str, bool, bool]
 
 
-def _marks(name: str, attributes: str, inside: bool) -> tuple[bool, bool, bool, bool]:
-    """Whether an element is an article; is never part of one; isn't unless an article lies within; by its class or id alone."""
-    main, out, around, named = name in ("article", "main"), name in OUT, name in AROUND or name == "header" and not inside, False
+#: How sure a class or id is that an element isn't the article: not at all, by what others are ruled out around an article, by a word of an advert or the like, by one of readers' comments.
+NONE, SOFT, HARD, READER = range(4)
+
+
+def _named(value: str) -> int:
+    """What the words of a class or id say."""
+    kept = set(re.split(r"[^a-z0-9]+", value)) & IN_WORDS
+    sure = NONE
+    for one in value.split():
+        ordered = re.split(r"[^a-z0-9]+", one)
+        words = set(ordered)
+        if one in READERS:
+            sure = max(sure, READER)
+        if ordered[0] in TOPIC_WORDS or words & LAYOUT_WORDS:
+            continue
+        if words & READER_WORDS:
+            sure = max(sure, READER)
+        elif words & HARD_WORDS or words & MORE_WORDS and words & TEASER_WORDS:
+            sure = max(sure, HARD)
+        elif words & OUT_WORDS and not kept:
+            sure = max(sure, SOFT)
+    return sure
+
+
+def _marks(name: str, attributes: str, inside: bool) -> tuple[bool, bool, bool, int]:
+    """Whether an element is an article; is never part of one; isn't unless an article lies within; and what its class or id say."""
+    main, out, around, named = name in ("article", "main"), name in OUT, name in AROUND or name == "header" and not inside, NONE
     if attributes.strip():
         for found in ATTRIBUTE.finditer(attributes):
             key, value = found[1].lower(), (found[2] or "").strip("\"'").lower()
             if key in ("class", "id") and name not in ("html", "body"):
-                kept = set(re.split(r"[^a-z0-9]+", value)) & IN_WORDS
-                for one in value.split():
-                    words = set(re.split(r"[^a-z0-9]+", one))
-                    if words & OUT_WORDS and not words & LAYOUT_WORDS:
-                        out = out or bool(words & HARD_WORDS)
-                        named = named or not kept
+                named = max(named, _named(value))
             elif key == "role":
                 main, out, around = main or value in ("main", "article"), out or value in OUT_ROLES, around or value in AROUND_ROLES
             elif key == "hidden" or key == "style" and re.search(r"display\s*:\s*none", value):
                 out = True
-    return main, out, around, named or name == "form"
+    return main, out, around, max(named, SOFT) if name == "form" else named
 
 
-#: In an article, ruled out, innermost element that rules out what is not an article (0: none).
-NOTHING = (False, False, 0)
+#: In an article, ruled out, innermost element that rules out what is not an article, innermost that its words rule out (0: none).
+NOTHING = (False, False, 0, 0)
 
 
 class _Stack:
@@ -113,10 +138,13 @@ def blocks(page: str) -> list[Block]:
     block is one space; character references are decoded. Elements that were left open end with what holds them.
 
     An article ends what navigation, forms, headers and class names around it say. On a page without one, a form or an element
-    ruled out by its class that holds more than half of the text is the page's frame and rules nothing out.
+    ruled out by its class that holds more than half of the text is the page's frame and rules nothing out. Words of adverts and
+    the like rule out what they are on with all it holds, articles too, but not what holds more than half of the page's article (on
+    a page without one, of its text) apart from readers' comments; and words of comments not what holds all of it.
     """
-    found: list[tuple[str, bool, bool, int]] = []
+    found: list[tuple[str, bool, bool, int, int]] = []
     stack, buffer, at = _Stack(), [], 0
+    doubts = [(0, NONE)]  # of each element that words rule out: the next such one around it, and how sure they are
     outer, frame = [0], [True]  # of each element that rules out what is not an article: the next such one around it, and whether it may be a frame
     state = stack.state()
 
@@ -150,33 +178,64 @@ def blocks(page: str) -> list[Block]:
                 stack.cut(i)
             if name == "li" and stack.open and stack.open[-1][0] == "li":
                 stack.cut(len(stack.open) - 1)
-            inside, ruled, why = stack.state()
+            inside, ruled, why, doubt = stack.state()
             main, out, around, named = _marks(name, tag[4], inside)
             if main:
                 why = 0
-            elif around or named:
+            elif around or named == SOFT and not inside:
                 outer.append(why)
-                frame.append(named)
+                frame.append(named > NONE)
                 why = len(outer) - 1
-            if main and named:
-                out = True  # an article whose own class says that it is none
-            now = (inside or main, ruled or out, why)
+            if named >= HARD or named and (main or inside):  # an article whose own class says that it is none, too
+                doubts.append((doubt, max(named, HARD)))
+                doubt = len(doubts) - 1
+            now = (inside or main, ruled or out, why, doubt)
             if now != state:
                 close()
             stack.push(name, now)
         state = stack.state()
     buffer.append(re.sub(r"<[a-zA-Z/!?][^<>]*\Z", "", page[at:]))
     close()
+    wrong = _doubted(doubts, found)
+    found = [(text, inside, ruled or wrong[doubt], why, doubt) for text, inside, ruled, why, doubt in found]
     sizes = [0] * len(outer)
-    for text, _, ruled, why in found:
+    for text, _, ruled, why, _ in found:
         sizes[why] += 0 if ruled else len(text)
     for k in range(len(outer) - 1, 0, -1):
         sizes[outer[k]] += sizes[k]
-    framed = not any(inside and not ruled and not why for _, inside, ruled, why in found)
+    framed = not any(inside and not ruled and not why for _, inside, ruled, why, _ in found)
     rules = [False]
     for k in range(1, len(outer)):
         rules.append(rules[outer[k]] or not (framed and frame[k] and 2 * sizes[k] > sizes[0]))
-    return [(text, inside, ruled or rules[why]) for text, inside, ruled, why in found]
+    return [(text, inside, ruled or rules[why]) for text, inside, ruled, why, _ in found]
+
+
+def _doubted(doubts: list[tuple[int, int]], found: list[tuple[str, bool, bool, int, int]]) -> list[bool]:
+    """Of each element that words rule out whether that holds."""
+    if len(doubts) == 1:
+        return [False]
+    own = any(inside and not ruled for _, inside, ruled, _, _ in found)
+    readers = [False]
+    for above, sure in doubts[1:]:
+        readers.append(readers[above] or sure == READER)
+    every, but_readers = [0] * len(doubts), [0] * len(doubts)
+    for text, inside, ruled, why, doubt in found:
+        if not ruled and (inside or not own):
+            every[doubt] += len(text)
+            but_readers[doubt] += 0 if readers[doubt] else len(text)
+    for sizes in (every, but_readers):
+        for k in range(len(doubts) - 1, 0, -1):
+            sizes[doubts[k][0]] += sizes[k]
+    all_readers = not but_readers[0]  # comments' words are on all of the article: they mean something else
+    out = [False]
+    for k, (above, sure) in enumerate(doubts[1:], 1):
+        if sure == READER:
+            holds = every[k] < every[0] or not all_readers
+        else:
+            part, whole = (every[k], every[0]) if all_readers else (but_readers[k], but_readers[0])
+            holds = 2 * part <= whole
+        out.append(out[above] or holds)
+    return out
 
 
 def _main(page: list[Block]) -> list[bool]:
