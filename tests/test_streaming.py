@@ -171,6 +171,27 @@ def test_topic(spark, tmp_path):
     assert bus.read_topic(spark, topic).count() == 10
 
 
+def test_topic_goes_on_within_a_file(spark, tmp_path, monkeypatch):
+    """A batch reads no more of a long file than from the last mark before it, and gets what reading from the start gets."""
+    topic = str(tmp_path / "t")
+    bus.publish(spark.range(3_000).select(F.format_string("%06d", "id").alias("value")).coalesce(1), topic)
+    read, lines = [], bus._lines
+    monkeypatch.setattr(bus, "_lines", lambda *a: (read.append(1) or x for x in lines(*a)))
+    reader = bus.TopicStreamReader({"path": topic, "rows": 700})
+    at, got = reader.initialOffset(), []
+    while True:
+        rows, end = reader.read(at)
+        rows = [r[0] for r in rows]
+        assert rows == [r[0] for r in reader.readBetweenOffsets(at, end)]
+        if not rows:
+            break
+        got += rows
+        at = end
+    assert got == [f"{i:06}" for i in range(3_000)]
+    assert len(read) <= 2 * (3_000 + 6 * bus.MARK)  # each message is read twice here, and less than MARK before each of five batches
+
+
+
 def test_detections_are_published(spark, tmp_path, compiled):
     topic, out = str(tmp_path / "in"), str(tmp_path / "out")
     bus.publish(spark.createDataFrame([(envelope(1),), (envelope(2, 70_000),), ("{broken",), (envelope(3),)], "value string"), topic)
