@@ -276,6 +276,32 @@ def test_large_sessions_fall_into_components(spark):
     assert {r["_part"] for r in incidents._parts(incidents.sessions(spark.createDataFrame(rising, FOLD)), ["session"], 1).collect()} == {""}
 
 
+def test_session_of_one_component_stays_whole(spark):
+    rows = [(*r[:5], ["R"], *r[6:]) for r in fold_data(300, 40, 5, True, steps=(1,))]
+    assert {r["_part"] for r in incidents._parts(incidents.sessions(spark.createDataFrame(rows, FOLD)), ["session"], 1).collect()} == {""}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_crossed_sessions_against_a_scan(spark, seed):
+    rng, rows = random.Random(seed), []
+    for s in range(60):
+        ts = T0
+        for _ in range(rng.randrange(2, 9)):
+            ts += rng.choice((0, 1, 300, 500, 700)) * 1_000_000
+            rows.append((s, rng.choice("ab"), ts, float(rng.randrange(5)), rng.choice(("low", "medium"))))
+    want = set()
+    for s in range(60):
+        own = [(c, t, (risk, incidents.SEVERITIES.index(sev))) for k, c, t, risk, sev in rows if k == s]
+        for i in (0, 1):
+            ends = [(c, t, v[i]) for c, t, v in own if any(c == c2 and t - incidents.GAP_US <= t2 <= t and v2[i] < v[i] for c2, t2, v2 in own)]
+            for c, t, v in own:
+                near = [(c2, v2) for c2, t2, v2 in ends if t - incidents.GAP_US <= t2 <= t]
+                if any(c2 != c for c2, _ in near) and min(v2 for _, v2 in near) < v[i]:
+                    want.add(s)
+    told = spark.createDataFrame(rows, "session long, component string, ts_us long, risk double, severity string")
+    assert {r["session"] for r in incidents._crossed(told, ["session"]).collect()} == want and 0 < len(want) < 60
+
+
 def test_context_is_rebuilt_from_members(spark):
     """Going on from the rebuilt context assigns the next alert as the fold does, by the same reasons."""
     rows = fold_data(60, 3, 9, steps=(1, 60))
@@ -404,3 +430,10 @@ def test_incident_detail_and_ingest_results(spark):
     assert got == {"d1": ("alert-d1", True), "d2": (None, True), "d3": ("alert-d3", False)}
     candidates = sinks.export_rows(batch.withColumn("verdict", F.lit("=1+1")), ("verdict", "detection_id"))
     assert {r["verdict"] for r in candidates.collect()} == {"'=1+1"}
+
+
+def test_replayed_envelopes_are_parsed_once(spark):
+    from wiretide.plans.offline import m36
+
+    told = m36(spark, "/root/testdata/sf0.001")
+    assert "from_json" not in told._jdf.queryExecution().optimizedPlan().toString() and told.count() == 1
