@@ -23,11 +23,12 @@ def _same(keys: list[str], prefix: str) -> Column:
     return functools.reduce(operator.and_, [F.col(k).eqNullSafe(F.col(prefix + k)) for k in keys])
 
 
-def blocked(rows: DataFrame, by: list[str], order: str, halo: int, most: int = BLOCK, sample: DataFrame | None = None) -> DataFrame:
+def blocked(rows: DataFrame, by: list[str], order: str, halo: int, most: int = BLOCK, sample: DataFrame | None = None, then: tuple[str, ...] = ()) -> DataFrame:
     """rows with _n, their number from 1 within the columns by; _block, the run of `most` of them that they are in; and _own.
 
     Each block also holds the halo, the last so many rows before it, with _own false: a window that looks back no further can
-    be taken by block, so that a key with all the rows is many tasks. order is a number without ties within a key. Rows are
+    be taken by block, so that a key with all the rows is many tasks. order is a number, without ties within a key but for those
+    that the columns then put in order. Rows are
     numbered within ranges of the order, offset by a count a key and range. Bounds are taken from the sample, if one is given that
     is cheaper to read than the rows.
     """
@@ -36,7 +37,7 @@ def blocked(rows: DataFrame, by: list[str], order: str, halo: int, most: int = B
     sizes = ranged.groupBy(*by, "_range").agg(F.count("*").alias("_size"))
     before = F.sum("_size").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select(*[F.col(k).alias(f"_of_{k}") for k in [*by, "_range"]], F.coalesce(before, F.lit(0)).alias("_offset"))
-    numbered = ranged.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "_range").orderBy(order))).join(offsets, _same([*by, "_range"], "_of_"))
+    numbered = ranged.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "_range").orderBy(order, *then))).join(offsets, _same([*by, "_range"], "_of_"))
     mine = F.floor((F.col("_n") - 1) / most)
     in_halo = (F.col("_n") - 1) % most >= most - halo
     placed = numbered.withColumn("_n", F.col("_n") + F.col("_offset")).withColumn("_block", F.explode(F.when(in_halo, F.array(mine, mine + 1)).otherwise(F.array(mine))))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wiretide.operators import datasets as ds, eve, incidents, models, queries as q, temporal
+from wiretide.operators import datasets as ds, drift, eve, incidents, models, queries as q, temporal
 from wiretide.plans import basics, relational
 from wiretide.plans.basics import rounded
 from wiretide.plans.flowview import FLOW, SCORED, flows, scored
@@ -195,11 +195,13 @@ def m27(spark, d):
     """Why each alert would belong to an incident of the two before it at its sensor, of which the last has the hosts and reasons."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("sensor_id").orderBy("ts_us", "alert_id")
+    need = ["sensor_id", "alert_id", "ts_us", "src_ip", "dst_ip", "signature_ids", "reason_codes", "attack_stage", "severity", "risk"]
+    rows = drift.blocked(_alerts(spark, d).select(*need), ["sensor_id"], "ts_us", 2, sample=flows(spark, d).select("ts_us"), then=("alert_id",))
+    w = Window.partitionBy("sensor_id", "_block").orderBy("_n")
     lag = lambda c, i=1: F.lag(c, i).over(w)
     old = F.struct(F.array(lag("src_ip")).alias("source_hosts"), F.array(lag("dst_ip")).alias("destination_hosts"), lag("signature_ids").alias("signature_ids"), lag("reason_codes").alias("reason_codes"), F.array(lag("attack_stage")).alias("attack_stages"), F.array(lag("severity", 2), lag("severity")).alias("severities"), F.array(lag("risk", 2), lag("risk")).alias("risks"))
     new = F.struct(F.col("src_ip").alias("source_host"), F.col("dst_ip").alias("destination_host"), "signature_ids", "reason_codes", "attack_stage", "severity", "risk")
-    pairs = _alerts(spark, d).withColumns({"incident": old, "alert": new}).where("incident.risks[0] is not null")
+    pairs = rows.withColumns({"incident": old, "alert": new}).where("_own and incident.risks[0] is not null")
     return pairs.select("alert_id", F.array_join(incidents.grouping_reasons(), ",").alias("reasons"))
 
 
