@@ -457,3 +457,14 @@ def test_blocks_put_ties_in_order(spark):
     for k in "ab":
         assert [r["id"] for r in sorted((r for r in got if r["k"] == k), key=lambda r: r["_n"])] == [i for _, _, i in sorted(r for r in rows if r[0] == k)]
     assert max(r["_block"] for r in got) > 5
+
+
+def test_capped_sample_ranks_few_rows(spark):
+    from wiretide.operators import datasets as ds
+
+    df = spark.range(3000).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("k"))
+    h = F.xxhash64(F.lit(9), F.col("id"))
+    want = {(r["k"], r["id"]) for k in (None, 1, 2) for r in df.where(F.col("k").eqNullSafe(F.lit(k))).orderBy(h, "id").limit(100).collect()}
+    told = ds.capped_sample(df, "id", 100, by="k", seed=9)
+    assert {(r["k"], r["id"]) for r in told.collect()} == want and len(want) == 300
+    assert "left_semi" in told._jdf.queryExecution().optimizedPlan().toString().lower().replace("leftsemi", "left_semi")  # what is ranked is what the bins leave
