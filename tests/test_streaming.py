@@ -1,10 +1,11 @@
 import json
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tests.test_operators import FOLD, T0, fold_rows, loop_drift, temporal_frame, temporal_rows
+from tests.test_operators import FOLD, T0, fold_rows, loop_drift, loop_temporal, temporal_frame, temporal_rows
 from wiretide.operators import incidents, temporal
 from wiretide.sources import bus, readers, sinks, store
 from wiretide.streaming import jobs, metrics
@@ -40,6 +41,94 @@ def test_temporal_stream_equals_batch(spark, tmp_path):
         seen.add(r["event_id"])
 
 
+class CountedState:
+    """A value or a map in memory that counts the calls to it."""
+
+    calls = 0
+
+    def __init__(self):
+        self.at = {}
+
+    def get(self):
+        return self.getValue(None)
+
+    def update(self, value):
+        self.updateValue(None, value)
+
+    def exists(self):
+        return self.containsKey(None)
+
+    def containsKey(self, key):
+        CountedState.calls += 1
+        return key in self.at
+
+    def getValue(self, key):
+        CountedState.calls += 1
+        return self.at.get(key)
+
+    def updateValue(self, key, value):
+        CountedState.calls += 1
+        self.at[key] = value
+
+    def removeKey(self, key):
+        CountedState.calls += 1
+        del self.at[key]
+
+    def iterator(self):
+        CountedState.calls += 1
+        return iter(list(self.at.items()))
+
+
+class OneHandle:
+    def __init__(self):
+        self.timers, self.of = [], {}
+
+    def getValueState(self, name, *_):
+        return self.of.setdefault(name, CountedState())
+
+    def getMapState(self, name, *_):
+        return self.of.setdefault(name, CountedState())
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+class At:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.ms
+
+
+@pytest.mark.parametrize("answers", [4, 256])
+def test_temporal_state_is_called_by_source_not_by_row(monkeypatch, answers):
+    """A source's batch of a hundred rows makes a few calls to the state, answers are found in any number of buckets, and told anew once they are too old."""
+    monkeypatch.setattr(jobs, "ANSWERS", answers, raising=False)
+    rows = [(f"e{i}", *r[2:]) for i, r in enumerate(temporal_rows(400))]
+    want = {e: f for e, f in loop_temporal([(e, "k", *r) for e, *r in rows], 60_000_000, 10_000_000, 5_000_000, 2048).items()}
+    p = jobs.TemporalProcessor(60_000_000, 10_000_000, 5_000_000, 2048, 1000)
+    p.init(OneHandle())
+    CountedState.calls = 0
+
+    def batch(part, first, ms):
+        df = pd.DataFrame([(e, first + i, ts, ip, -1 if port is None else port, proto, d <= 1000) for i, (e, ts, ip, port, proto, d) in enumerate(part)], columns=["event_id", "arrival", "ts_us", "dst_ip", "port", "proto", "brief"])
+        out = pd.concat(list(p.handleInputRows(("s", "a"), iter([df.sample(frac=1, random_state=1)]), At(ms)))).sort_values("arrival")
+        return list(zip(out["event_id"], out["repeated"], out["features"]))
+
+    for at in range(0, 400, 100):
+        for e, repeated, f in batch(rows[at : at + 100], at, at):
+            assert not repeated and list(f) == pytest.approx(want[e], abs=1e-9)
+    if answers == 256:
+        assert CountedState.calls < 40
+    for e, repeated, f in batch(rows[::7], 400, 900):
+        assert repeated and list(f) == pytest.approx(want[e], abs=1e-9)
+    again = batch(rows[:150], 500, 1050)  # the first hundred were told at 0
+    assert [r for _, r, _ in again] == [False] * 100 + [True] * 50
+    buckets = len(p.answers.at)
+    assert buckets == 1 if answers > 4 and len(want) <= answers else buckets > 1
+
+
 def test_incident_stream_equals_batch(spark, tmp_path):
     rows = fold_rows() + [(f"b{i}", T0 + 700_000_000 + i * 1_000_000, *r[2:]) for i, r in enumerate(fold_rows())]
     df = spark.createDataFrame([(*r, "s", i) for i, r in enumerate(rows)], FOLD + ", sensor_id string, i long")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import bisect
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,29 +33,21 @@ class Frame:
         self.window, self.short, self.skew, self.most = window, short, skew, most
         self.rows: list[tuple] = []  # (time, arrival, ip, port, protocol, brief)
         self.low = self.near = 0  # where the window and the short window begin in rows; what is before is gone
-        self.ips, self.ports, self.protocols, self.near_ips, self.near_ports = (Counter() for _ in range(5))
+        self.ips, self.ports, self.protocols, self.near_ips, self.near_ports = ({} for _ in range(5))
         self.briefs = self.squares = 0
         self.clog = 0.0
-        self.new: list[tuple] = []
-        self.old: list[tuple] = []
 
     def _count(self, row: tuple, by: int) -> None:
         _, _, ip, port, protocol, brief = row
-        c = self.ips[ip]
-        self.clog += _clog(c + by) - _clog(c)
-        for counter, value in ((self.ips, ip), (self.ports, port), (self.protocols, protocol)):
-            self._add(counter, value, by)
+        c = _add(self.ips, ip, by)
+        self.clog += _clog(c) - _clog(c - by)
+        _add(self.ports, port, by)
+        _add(self.protocols, protocol, by)
         self.briefs += by * brief
 
-    @staticmethod
-    def _add(counter: Counter, value, by: int) -> None:
-        counter[value] += by
-        if not counter[value]:
-            del counter[value]
-
     def _count_near(self, row: tuple, by: int) -> None:
-        self._add(self.near_ips, row[2], by)
-        self._add(self.near_ports, row[3], by)
+        _add(self.near_ips, row[2], by)
+        _add(self.near_ports, row[3], by)
 
     def _drop_first(self) -> None:
         row = self.rows[self.low]
@@ -67,7 +58,6 @@ class Frame:
         self.low += 1
         if self.low < len(self.rows):
             self.squares -= (self.rows[self.low][0] - row[0]) ** 2
-        self.old.append(row)
         if self.low > 64 and 2 * self.low > len(self.rows):
             del self.rows[: self.low]
             self.near -= self.low
@@ -97,7 +87,9 @@ class Frame:
         self._move(wm)
         if row[0] < wm - min(self.skew, self.window):
             return
-        at = bisect.bisect(self.rows, row[:2], lo=self.low, key=lambda r: r[:2])
+        at = len(self.rows)
+        if at > self.low and row[:2] < self.rows[-1][:2]:
+            at = bisect.bisect(self.rows, row[:2], lo=self.low, key=lambda r: r[:2])
         before = self.rows[at - 1][0] if at > self.low else None
         after = self.rows[at][0] if at < len(self.rows) else None
         if before is not None and after is not None:
@@ -105,7 +97,6 @@ class Frame:
         self.squares += (row[0] - before) ** 2 if before is not None else 0
         self.squares += (after - row[0]) ** 2 if after is not None else 0
         self.rows.insert(at, row)
-        self.new.append(row)
         self._count(row, 1)
         if row[0] >= wm - self.short:
             self._count_near(row, 1)
@@ -118,7 +109,7 @@ class Frame:
         """The 16 features of a row that arrives, which is then remembered."""
         self._move(wm)
         p = len(self.rows) - self.low
-        same_ip, same_port, same_protocol = self.ips[row[2]], self.ports[row[3]], self.protocols[row[4]]
+        same_ip, same_port, same_protocol = self.ips.get(row[2], 0), self.ports.get(row[3], 0), self.protocols.get(row[4], 0)
         self.put(row, wm)
         n = len(self.rows) - self.low
         gaps = n - 1
@@ -133,13 +124,19 @@ class Frame:
             math.log1p(mean), math.log1p(std), std / max(mean + std, 1e-9), self.briefs / n if n else 0.0, float(p == 0), float(row[0] < wm),
         ]
 
-    def changes(self) -> tuple[list[tuple], list[tuple]]:
-        """The rows remembered and forgotten since this was last asked."""
-        new, old = self.new, self.old
-        self.new, self.old = [], []
-        gone = {r[:2] for r in old}
-        kept = {r[:2] for r in new}
-        return [r for r in new if r[:2] not in gone], [r for r in old if r[:2] not in kept]
+    def held(self) -> list[tuple]:
+        """The rows remembered, as load() takes them."""
+        return self.rows[self.low :]
+
+
+def _add(counts: dict, value, by: int) -> int:
+    """How often a value is counted now; what isn't counted any more is not in counts."""
+    c = counts.get(value, 0) + by
+    if c:
+        counts[value] = c
+    else:
+        del counts[value]
+    return c
 
 
 def _clog(c: int) -> float:
@@ -202,8 +199,6 @@ def temporal_features(flows: DataFrame, window_s: float = 60.0, short_s: float =
                     out.append(frame.observe(row, wm))
                 else:
                     frame.put(row, wm)
-                frame.new.clear()
-                frame.old.clear()
             mask = batch.column(3)
             told = [batch.column(i).filter(mask) for i in range(11, batch.num_columns)]
             made = [pa.array(c, pa.float64()) for c in zip(*out)] if out else [pa.array([], pa.float64())] * len(FEATURES)
