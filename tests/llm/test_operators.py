@@ -126,6 +126,35 @@ def test_set_fingerprints_and_sketches_find_similar_sets():
     assert all(share < 0.5 for share, *_ in loose) and sum(agreed for *_, agreed in loose) <= 6
 
 
+def test_similar_sets_go_to_few_cells_and_none_is_missed(spark, monkeypatch):
+    """Sets of many sizes go to the blocks around their own alone, however many blocks there are; all pairs that may have the share are found."""
+    rng, np_rng = random.Random(3), np.random.default_rng(3)
+    rows = []
+    for i in range(1500):
+        if i % 3 == 2:  # like the one before, up to the share in size
+            _, fp, n, *_ = rows[-1]
+            n = max(1, int(n * rng.uniform(0.8, 1.25)))
+        else:
+            fp, n = int(np_rng.integers(-(2**63), 2**63 - 1)), max(1, int(np.exp(rng.uniform(0, 9.5))))
+        rows.append((i, fp, n, bytes([255] * simhash.CLASSES), bytes([1] * simhash.BINS), i))
+    monkeypatch.setattr(simhash, "SMALL", 20)
+    dealt, moved = simhash._dealt, []
+    monkeypatch.setattr(simhash, "_dealt", lambda *a: moved.append(dealt(*a).count()) or dealt(*a))
+    nodes = spark.createDataFrame(rows, "node long, fp long, n long, counts binary, sketch binary, label long")
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        got = {tuple(sorted(p)) for p in simhash.candidate_pairs(nodes, 18, 0.8, False).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    fps, sizes = np.array([r[1] for r in rows], np.int64).view(np.uint64), np.array([r[2] for r in rows])
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 18
+    fits = np.minimum(sizes[:, None], sizes[None, :]) >= 0.8 * np.maximum(sizes[:, None], sizes[None, :]) - 1e-9
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(near & fits)) if i < j}
+    assert len(want) > 400 and got == want
+    assert moved[0] <= 6 * len(rows)
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (5, 4), (9, 9), (None, 1), (7, 8), (8, 7)] + [(i, i + 1) for i in range(100, 160)] + [(1000, k) for k in range(1001, 1100)]
     got = {r["node"]: r["label"] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}

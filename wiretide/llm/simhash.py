@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from wiretide.llm.common import as_bytes, cut, partitions, row_key, session_of
 from wiretide.llm.components import connected_components
@@ -23,6 +24,9 @@ TILE = 256
 SIMILAR_WIDTH, SIMILAR_SHARE, SIMILAR_RADIUS = 5, 0.8, 18
 #: Classes of shingle hashes that are counted per document, and pairs that a cell holds before it thins them.
 CLASSES, PAIRS = 64, 2_000_000
+#: Classes of sizes from one size to the largest that can have the share with it, and the last class: at a share of 0.8, of more than
+#: a billion shingles. Sizes that can have the share are at most STEPS + 1 classes apart, the one for rounding down.
+STEPS, TOP_SIZE = 4, 400
 #: Bins of the sketch of a shingle set, a byte each, and by how many standard deviations the sketches of a pair may agree less than
 #: the share asks: five leave out less than one of a million pairs that have it.
 BINS, DEVIATIONS = 256, 5.0
@@ -115,16 +119,16 @@ def links(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.n
     return every[low], every[top[low]]
 
 
-def _dealt(fps: DataFrame, radius: int) -> DataFrame:
-    """fps, all columns, with block and other: the grid of near_links(), a row for each block that its own comes within the radius of."""
-    spark = session_of(fps)
-    ones = F.bit_count("fp").cast("int")
-    sizes = {r["ones"]: r["count"] for r in fps.groupBy(ones.alias("ones")).count().collect()}
+def _dealt(rows: DataFrame, order: Column, radius: int, top: int, by: str) -> DataFrame:
+    """rows, all columns, with block and other: a grid over the classes 0 to top of order, a row for each block of classes that its own
+    comes within the radius of. A class with more rows than a block is several blocks, dealt by the hash of column by."""
+    spark = session_of(rows)
+    sizes = {r["class"]: r["count"] for r in rows.groupBy(order.alias("class")).count().collect()}
     total = sum(sizes.values())
     most = max(SMALL, min(BLOCK, total // max(4, int((3 * partitions(spark)) ** 0.5)) + 1))
-    first, parts, low, high = [0] * 65, [1] * 65, [], []
+    first, parts, low, high = [0] * (top + 1), [1] * (top + 1), [], []
     filled = most
-    for p in range(65):
+    for p in range(top + 1):
         n = sizes.get(p, 0)
         if filled + n <= most and low:
             first[p], filled, high[-1] = len(low) - 1, filled + n, p
@@ -135,8 +139,8 @@ def _dealt(fps: DataFrame, radius: int) -> DataFrame:
             filled = n if parts[p] == 1 else most
     reach = [[j for j in range(len(low)) if low[j] - high[i] <= radius and low[i] - high[j] <= radius] for i in range(len(low))]
     pick = lambda xs, at: F.element_at(F.array(*map(F.lit, xs)), at + 1)
-    block = pick(first, ones) + F.pmod(F.xxhash64("fp"), pick(parts, ones)).cast("int")
-    return fps.withColumn("block", block).select("*", F.explode(F.sequence(pick([r[0] for r in reach], F.col("block")), pick([r[-1] for r in reach], F.col("block")))).alias("other"))
+    block = pick(first, order) + F.pmod(F.xxhash64(by), pick(parts, order)).cast("int")
+    return rows.withColumn("block", block).select("*", F.explode(F.sequence(pick([r[0] for r in reach], F.col("block")), pick([r[-1] for r in reach], F.col("block")))).alias("other"))
 
 
 def near_links(fps: DataFrame, radius: int = 4) -> DataFrame:
@@ -146,7 +150,7 @@ def near_links(fps: DataFrame, radius: int = 4) -> DataFrame:
     counts come within the radius is one group, compared tile by tile. Each fingerprint goes to as many cells as there are
     such blocks. The 65 counts of population counts are all that comes to the driver.
     """
-    dealt = _dealt(fps.select("fp"), radius)
+    dealt = _dealt(fps.select("fp"), F.bit_count("fp").cast("int"), radius, 64, "fp")
 
     def cell(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         fp, mine = rows["fp"].to_numpy().view(np.uint64), rows["block"].to_numpy()
@@ -254,7 +258,7 @@ def _tree(a: np.ndarray, b: np.ndarray, weight: np.ndarray, n: int) -> np.ndarra
 
 
 def _candidates(left: dict, right: dict | None, radius: int, share: float, thin: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Places, in left and right, of the pairs of other labels whose fingerprints differ in at most radius bits, whose sizes and class
+    """Places, in left and right, which lie in order of size, of the pairs of other labels whose fingerprints differ in at most radius bits, whose sizes and class
     counts allow the share (no more than the sum of the lesser counts can be common) and whose sketches agree. thin leaves a
     minimum spanning forest."""
     other = left if right is None else right
@@ -268,8 +272,10 @@ def _candidates(left: dict, right: dict | None, radius: int, share: float, thin:
         return x[at], y[at], d[at]
 
     for i in range(0, len(left["fp"]), TILE):
-        for j in range(i if right is None else 0, len(other["fp"]), 16 * TILE):
-            bits = np.bitwise_count(left["fp"][i : i + TILE, None] ^ other["fp"][None, j : j + 16 * TILE])
+        sizes = left["n"][i : i + TILE]
+        low, high = np.searchsorted(other["n"], (share * sizes[0] - 1, sizes[-1] / share + 1))  # beyond, no size can have the share
+        for j in range(max(i, low) if right is None else low, high, 16 * TILE):
+            bits = np.bitwise_count(left["fp"][i : i + TILE, None] ^ other["fp"][None, j : min(high, j + 16 * TILE)])
             x, y = np.nonzero(bits <= radius)
             d = bits[x, y]
             x, y = x + i, y + j
@@ -297,11 +303,17 @@ def _candidates(left: dict, right: dict | None, radius: int, share: float, thin:
 
 
 def candidate_pairs(nodes: DataFrame, radius: int, share: float, thin: bool) -> DataFrame:
-    """(u, v): the pairs of (node, fp, n, counts, sketch, label) that _candidates() leaves, cell by cell of the grid of near_links()."""
+    """(u, v): the pairs of (node, fp, n, counts, sketch, label) that _candidates() leaves, cell by cell of a grid over the sizes of sets.
+
+    Sets of such a share differ in size by that share at most, so a set goes only to the cells of the few blocks whose sizes come
+    within it of its own. Population counts, which lie close together, would send it to nearly all of them.
+    """
+    width = max(-math.log(share), 1e-3) / STEPS
+    size = F.least(F.floor(F.log(F.col("n").cast("double")) / width), F.lit(TOP_SIZE)).cast("int")
 
     def cell(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         def side(block: int) -> dict:
-            own = rows[rows["block"] == block]
+            own = rows[rows["block"] == block].sort_values("n")
             packed = {c: np.frombuffer(b"".join(own[c]), np.uint8).reshape(-1, n) for c, n in (("counts", CLASSES), ("sketch", BINS))}
             return packed | {"fp": own["fp"].to_numpy().view(np.uint64)} | {c: own[c].to_numpy() for c in ("node", "n", "label")}
 
@@ -309,7 +321,7 @@ def candidate_pairs(nodes: DataFrame, radius: int, share: float, thin: bool) ->
         x, y = _candidates(left, right, radius, share, thin)
         return pd.DataFrame({"u": left["node"][x], "v": (left if right is None else right)["node"][y]})
 
-    return _dealt(nodes, radius).groupBy(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).applyInPandas(cell, "u long, v long")
+    return _dealt(nodes, size, STEPS + 1, TOP_SIZE, "node").groupBy(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).applyInPandas(cell, "u long, v long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, share: float) -> DataFrame:
@@ -375,7 +387,7 @@ def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """docs, all columns, with one row of each group that chains of documents with the share as exact Jaccard similarity or more
     connect: that of the smallest id (null first), of several with it one.
 
-    Candidates are the pairs whose sets' fingerprints differ in at most radius bits, compared tile by tile as in near_duplicates().
+    Candidates are the pairs whose sets' fingerprints differ in at most radius bits, compared tile by tile within a grid over their sizes.
     Equal shingle sets are one node. Texts of fewer words than a shingle are one shingle; null and blank ones are alike.
     """
     keyed = _keyed(docs, id_col, text_col)
