@@ -157,6 +157,20 @@ def test_frame_against_a_loop(window, short, skew, most):
         assert frame.observe((ts, i, ip, port, proto, ms <= 1000), marks[key]) == pytest.approx(want[event], abs=1e-9), i
 
 
+def test_frame_searches_only_for_rows_out_of_order(monkeypatch):
+    """A row that comes in order is put at the end without a search, and a frame keeps nothing but the rows of its window."""
+    calls = []
+    real = temporal.bisect.bisect
+    monkeypatch.setattr(temporal.bisect, "bisect", lambda *a, **k: calls.append(1) or real(*a, **k))
+    frame = temporal.Frame(60, 10, 5, 2048)
+    for i in range(1000):
+        frame.observe((i, i, "a", 1, "tcp", True), i)
+    assert not calls
+    frame.observe((997, 1000, "a", 1, "tcp", True), 999)
+    assert len(calls) == 1
+    assert sum(len(v) for v in vars(frame).values() if isinstance(v, list)) < 300
+
+
 def test_one_source_is_many_blocks(spark):
     """A source with all the rows, over block borders: blocks of one window, and of one that holds all."""
     rows = [(f"e{i}", ("s", "10.0.0.1"), ts, *rest) for i, (_, _, ts, *rest) in enumerate(temporal_rows(900))]
