@@ -93,3 +93,23 @@ def test_odd_rows(spark):
     docs = [(t, lang) for _, t, lang, *_ in rows()] + [(rows()[5][1], None), (None, None)]
     got = ph.collocations(ph.frequent_phrases(frame(spark), least=20, shards=2), top=50).collect()
     assert sorted(tuple(r) for r in got) == plain(docs, 20, 50)
+
+
+def test_nothing_that_grows_is_sent_to_the_workers(spark, monkeypatch):
+    """Phrases are told to the workers by filters of a fixed size alone, and words are spelled in one scan."""
+
+    def no(_):
+        raise AssertionError("a table of phrases is broadcast")
+
+    monkeypatch.setattr(ph.F, "broadcast", no)
+    docs = corpus(3)
+    got = ph.frequent_phrases(spark.createDataFrame(docs, "text string, lang string"), least=12, shards=2).where("k >= 1").collect()
+    assert {(r["lang"], r["phrase"]): r["n"] for r in got} == {key: n for key, n in counts(docs)[0].items() if n >= 12}
+
+
+def test_phrases_of_old_parts_are_not_counted_again():
+    codes, words = ph.pd.factorize(ph.np.array(["\n", "a", "b", "c", "\n", "a", "b"], dtype=object))
+    hashes = ph._word_hashes("en", words)
+    full, none = ph.np.full(1, 2**64 - 1, ph.np.uint64), ph.np.zeros(1, ph.np.uint64)
+    assert [(k, len(h)) for k, h in ph._chain(codes, hashes, 4, 1, full, none)] == [(2, 3), (3, 1)]
+    assert not sum(len(h) for _, h in ph._chain(codes, hashes, 4, 1, full, full))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import functools
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from wiretide.llm.common import folder, partitions, store, table
@@ -18,11 +19,11 @@ from wiretide.llm.common import folder, partitions, store, table
 SHARDS, LEAST, LONGEST = 4, 30, 4
 #: A phrase goes if a longer one that holds it has this percentage of its occurrences; phrases told of a language.
 COVERED, TOP = 80, 2000
-#: Bits of each of the two filters of frequent phrases that go to the workers: 4 MB, whatever the input. False positives,
-#: 2 in 100 at 2.5 million phrases, cost rows that the join after it drops; a full filter only stops sparing them.
+#: Bits of each filter of frequent phrases that goes to the workers: 4 MB, whatever the input. False positives, 2 in 100 at
+#: 2.5 million phrases, cost counting; a full filter only stops sparing it.
 BITS = 1 << 25
-#: Phrases, of some 50 bytes, that are broadcast; more are joined by a shuffle.
-BROADCAST = 1_000_000
+#: Characters of text that are encoded together, and positions that a task holds before it adds them up.
+CHUNK, HELD = 1 << 24, 1 << 23
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -41,111 +42,201 @@ def _longer(h: np.ndarray, word: np.ndarray) -> np.ndarray:
     return _mix(h * _MULTIPLIER + word)
 
 
-def _slots(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    return (h % np.uint64(size)).astype(np.int64), ((h >> np.uint64(32)) * _MULTIPLIER >> np.uint64(20)).astype(np.int64) % size
-
-
-def _holds(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    one, two = _slots(h, len(bits) << 6)
-    at = lambda i: (bits[i >> 6] >> (i & 63).astype(np.uint64)) & np.uint64(1)
-    return (at(one) & at(two)).astype(bool)
-
-
-def _grams(lang: str, texts: list[str], lengths: range, every: np.ndarray | None, recent: np.ndarray | None) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
-    """(length, phrases, counts) of the texts, in which a space parts words and a line end is the word that parts pieces: all words, and of longer phrases those both of whose parts, one word shorter,
-    are in the filter of all frequent phrases, and one in that of those found within the last cycle."""
-    tokens = np.array(" \n ".join(texts).split(" "), dtype=object)
-    tokens = tokens[tokens != ""]
-    codes, words = pd.factorize(tokens)
-    stop = np.flatnonzero(words == "\n")
-    ends = np.zeros(len(words) + 1, bool)
-    ends[stop] = True
-    at = ~ends[codes]  # where a phrase of the length at hand begins
-    if 1 in lengths:
-        n = np.bincount(codes[at], minlength=len(words))
-        some = np.flatnonzero(n)
-        yield 0, pa.array([""]), np.array([at.sum()])
-        yield 1, pa.array(words[some], pa.string()), n[some]
-    if every is None or lengths[-1] < 2:
-        return
-    hashes = _word_hashes(lang, list(words))
-    spelled = pa.array(words, pa.string())
-    ids, ih = codes, hashes  # phrase at each position, and hash of each phrase
-    for k in range(2, lengths[-1] + 1):
-        known, new = _holds(every, ih), _holds(recent, ih)
-        ok = at & known[ids]
-        fresh = new[ids]
-        both = np.zeros(len(at), bool)
-        both[:-1] = ok[:-1] & ok[1:]
-        where = np.flatnonzero(both)
-        if not len(where):
-            return
-        last = codes[where + k - 1]
-        found, pairs = pd.factorize(ids[where] * np.int64(len(words)) + last)
-        if k in lengths:
-            count = fresh[where] | fresh[where + 1]
-            n = np.bincount(found[count], minlength=len(pairs))
-            some = np.flatnonzero(n)
-            first = np.zeros(len(pairs), np.int64)
-            first[found[::-1]] = where[::-1]
-            first = first[some]
-            yield k, pc.binary_join_element_wise(*[spelled.take(pa.array(codes[first + j])) for j in range(k)], " "), n[some]
-        at = both
-        ids = np.zeros(len(at), np.int64)
-        ids[where] = found
-        ih = _longer(ih[pairs // len(words)], hashes[pairs % len(words)])
-
-
-def _counted(shard: DataFrame, lengths: range, filters, size: int) -> DataFrame:
-    """(lang, k, phrase, n) of a shard, added up within each batch."""
+def _keys(h: np.ndarray, parts: int) -> np.ndarray:
+    """A phrase's key: its part, by the upper half of its hash, and the lower half. Phrases that share a key are counted as one."""
+    return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
+
+
+def _slots(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    x, mask = _mix(keys * _MULTIPLIER), np.uint64(size - 1)
+    return (x & mask).astype(np.int64), (x >> np.uint64(32) & mask).astype(np.int64)
+
+
+def _holds(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    one, two = _slots(keys, len(bits) << 6)
+    at = lambda i: bits[i >> 6] >> (i & 63).astype(np.uint64)
+    return (at(one) & at(two) & np.uint64(1)).astype(bool)
+
+
+def _encoded(told: DataFrame, shards: int) -> DataFrame:
+    """(shard, lang, codes, hashes, words) of (lang, text), in which a space parts words and a line end is the word that parts pieces: a
+    row for each language of some texts, with its distinct words, their hashes, and the number of the word at each position. Word 0 is the line end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every = recent = None
-        if filters is not None:
-            every, recent = np.zeros(size >> 6, np.uint64), np.zeros(size >> 6, np.uint64)
-            for bits, (index, value) in zip((every, recent), filters.value):
-                bits[index] = value
+        groups: dict[str, list[str]] = {}
+        held, nth = 0, TaskContext.get().partitionId()
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for i, lang in enumerate(sorted(groups)):
+                tokens = np.array(("\n " + " \n ".join(groups.pop(lang))).split(" "), dtype=object)
+                codes, words = pd.factorize(tokens[tokens != ""])
+                row = [[(nth + i) % shards], [lang], [codes.astype(np.int32).tobytes()], [_word_hashes(lang, words).tobytes()], [" ".join(words)]]
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.string()))], names=["shard", "lang", "codes", "hashes", "words"])
+
         for batch in batches:
-            langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            groups: dict[str, list[str]] = {}
-            for lang, text in zip(langs, texts):
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 groups.setdefault(lang, []).append(text)
-            for lang, mine in groups.items():
-                for k, phrases, n in _grams(lang, mine, lengths, every, recent):
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(np.full(len(phrases), k, np.int32)), phrases, pa.array(n.astype(np.int64))], names=["lang", "k", "phrase", "n"])
+                held += len(text)
+                if held >= CHUNK:
+                    yield from out()
+                    held, nth = 0, nth + 1
+        yield from out()
+
+    return told.mapInArrow(run, "shard int, lang string, codes binary, hashes binary, words string")
+
+
+def _chain(codes: np.ndarray, hashes: np.ndarray, longest: int, parts: int, every: np.ndarray, old: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, hashes) at the positions of phrases of two words or more all of whose parts are in every, and not all of them in old."""
+    keys = _keys(hashes, parts)
+    known, new = _holds(every, keys), ~_holds(old, keys)
+    at = np.flatnonzero((codes != 0) & known[codes])
+    h, fresh = hashes[codes[at]], new[codes[at]]
+    for k in range(2, longest + 1):
+        i = np.flatnonzero(at[1:] == at[:-1] + 1)
+        if not len(i):
+            return
+        fresh = fresh[i] | fresh[i + 1]
+        at, h = at[i], _longer(h[i], hashes[codes[at[i] + k - 1]])
+        yield k, h[fresh]
+        if k < longest:
+            keys = _keys(h, parts)
+            known = np.flatnonzero(_holds(every, keys))
+            at, h, fresh = at[known], h[known], fresh[known] | ~_holds(old, keys[known])
+
+
+def _packed(keys: np.ndarray, n: np.ndarray, most: int, shift: int) -> Iterator[pa.RecordBatch]:
+    """(part, keys, n), a row for each part, of ascending keys; counts of more than most are that. shift tells the parts of the longest phrases."""
+    part = (keys >> np.uint64(32)).astype(np.int64)
+    cuts = np.flatnonzero(np.diff(part, prepend=-1))
+    ends = [*cuts[1:].tolist(), len(keys)]
+    low, n = keys.astype(np.uint32), np.minimum(n, most).astype(np.min_scalar_type(most))
+    rows = [pa.array(part[cuts] + shift, pa.int32())] + [pa.array([x[a:b].tobytes() for a, b in zip(cuts.tolist(), ends)], pa.binary()) for x in (low, n)]
+    yield pa.RecordBatch.from_arrays(rows, names=["part", "keys", "n"])
+
+
+def _added(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and how often each occurs or the sum of its n."""
+    if n is None:
+        keys = np.sort(keys)
+    else:
+        order = np.argsort(keys, kind="stable")
+        keys, n = keys[order], n[order]
+    at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return keys[at], np.diff(at, append=len(keys)) if n is None else np.add.reduceat(n, at, dtype=np.int64) if len(at) else n
+
+
+def _counted(shard: DataFrame, first: bool, longest: int, parts: int, least: int, filters) -> DataFrame:
+    """(part, keys, n) of a shard, added up within a task: phrases whose parts filters names, and words if it's the first cycle."""
 
-    return shard.mapInArrow(run, "lang string, k int, phrase string, n long").groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every, old = filters.value
+        held: dict[bool, list[np.ndarray]] = {False: [], True: []}
+        size = 0
 
+        def out() -> Iterator[pa.RecordBatch]:
+            for last, some in held.items():
+                if some:
+                    yield from _packed(*_added(np.concatenate(some)), least, parts * last)
+                    some.clear()
 
-def _filters(frequent: DataFrame, since: int, size: int):
-    """The bits of all frequent phrases and of those found since a step, as (index, word) of the words that aren't zero: at most size / 64 of each."""
+        for batch in batches:
+            for one in zip(*batch.columns):
+                codes, hashes = (np.frombuffer(x.as_buffer(), t) for x, t in zip(one, (np.int32, np.uint64)))
+                if first:
+                    n = np.bincount(codes, minlength=len(hashes))[1:]
+                    yield from _packed(*_added(_keys(hashes[1:], parts), n), least, parts * (longest == 1))
+                for k, h in _chain(codes, hashes, longest, parts, every, old):
+                    if len(h):
+                        held[k == longest].append(_keys(h, parts))
+                        size += len(h)
+                if size > HELD:
+                    yield from out()
+                    size = 0
+        yield from out()
+
+    return shard.select("codes", "hashes").mapInArrow(run, "part int, keys binary, n binary")
+
+
+def _merged(counted: DataFrame, before: DataFrame, least: int) -> DataFrame:
+    """(part, keys, n, risen): the counts of a scan added up, and the keys that occur least times in it and the scans before."""
+    kind = np.min_scalar_type(least)
+
+    def run(rows: pa.Table) -> pa.Table:
+        def total(some: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+            join = lambda c, t: np.frombuffer(b"".join(x.as_py() for x in some.column(c)), t)
+            keys, n = _added(join("keys", np.uint32), join("n", kind))
+            return keys, np.minimum(n, least).astype(np.int64)
+
+        keys, n = total(rows.filter(pc.field("now")))
+        past, m = total(rows.filter(~pc.field("now")))
+        all_n = n.copy()
+        if len(past) and len(keys):
+            at = np.minimum(np.searchsorted(past, keys), len(past) - 1)
+            all_n += np.where(past[at] == keys, m[at], 0)
+        values = [keys.tobytes(), n.astype(kind).tobytes(), keys[all_n >= least].tobytes()]
+        return pa.table([rows.column("part").slice(0, 1).cast(pa.int32()), *[pa.array([v], pa.binary()) for v in values]], names=["part", "keys", "n", "risen"])
+
+    both = counted.withColumn("now", F.lit(True)).unionByName(before.select("part", "keys", "n").withColumn("now", F.lit(False)))
+    return both.groupBy("part").applyInArrow(run, "part int, keys binary, n binary, risen binary")
+
+
+def _risen(log: DataFrame, parts: int, size: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The bits of what rose, of phrases that may be parts and of the longest, as (index, word) of the words that aren't zero: at most size / 64 of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, phrases, reach = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False)
-            h = np.zeros(len(langs), np.uint64)
-            for i, (lang, phrase) in enumerate(zip(langs, phrases)):
-                words = _word_hashes(lang, phrase.split(" "))
-                mine = words[:1]
-                for j in range(1, len(words)):
-                    mine = _longer(mine, words[j : j + 1])
-                h[i] = mine[0]
-            for which, some in ((0, h), (1, h[reach >= since])):
-                slots = np.concatenate(_slots(some, size))
+            for part, risen in zip(batch.column(0).to_pylist(), batch.column(1)):
+                keys = np.frombuffer(risen.as_buffer(), np.uint32).astype(np.uint64) | np.uint64(part % parts << 32)
+                slots = np.concatenate(_slots(keys, size))
                 index, inverse = np.unique(slots >> 6, return_inverse=True)
                 value = np.zeros(len(index), np.uint64)
                 np.bitwise_or.at(value, inverse, np.uint64(1) << (slots & 63).astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(index), which, np.int32)), pa.array(index), pa.array(value.view(np.int64))], names=["which", "at", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(index), part // parts, np.int32)), pa.array(index), pa.array(value.view(np.int64))], names=["which", "at", "bits"])
 
-    made = frequent.select("lang", "phrase", "reach").mapInArrow(run, "which int, at long, bits long")
+    made = log.select("part", "risen").where(F.length("risen") > 0).mapInArrow(run, "which int, at long, bits long")
     got = made.groupBy("which", "at").agg(F.bit_or("bits").alias("bits")).toArrow()
     which, at, bits = (got.column(i).to_numpy() for i in range(3))
     return [(at[which == w], bits[which == w].astype(np.int64).view(np.uint64)) for w in (0, 1)]
 
 
-def _small(phrases: DataFrame, known: int) -> DataFrame:
-    """Marked for a broadcast if there are few: of a part of a table of `known` rows, which are counted only if the table has many."""
-    return F.broadcast(phrases) if known <= BROADCAST or phrases.limit(BROADCAST + 1).count() <= BROADCAST else phrases
+def _phrases(lang: str, codes: np.ndarray, hashes: np.ndarray, words: list[str], longest: int, parts: int, filters: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+    """(length, phrases, counts) of the phrases in the filters, of those of fewer than longest words and of the longest, told apart by their words; of length 0 the number of words."""
+    n = np.bincount(codes, minlength=len(hashes))
+    yield 0, pa.array([""]), np.array([len(codes) - n[0]])
+    known = _holds(filters[longest == 1], _keys(hashes, parts))
+    known[0] = False
+    spelled = pa.array(words, pa.string())
+    some = np.flatnonzero(known & (n > 0))
+    yield 1, spelled.take(pa.array(some)), n[some]
+    at = np.flatnonzero(known[codes])
+    ids = codes[at].astype(np.int64)
+    h = hashes[ids]
+    for k in range(2, longest + 1):
+        i = np.flatnonzero(at[1:] == at[:-1] + 1)
+        last = codes[at[i] + k - 1]
+        longer = _longer(h[i], hashes[last])
+        own = np.flatnonzero(_holds(filters[k == longest], _keys(longer, parts)))
+        if not len(own):
+            return
+        i, h, last = i[own], longer[own], last[own]
+        at, (ids, pairs) = at[i], pd.factorize(ids[i] * len(words) + last)
+        first = np.zeros(len(pairs), np.int64)
+        first[ids[::-1]] = at[::-1]
+        yield k, pc.binary_join_element_wise(*[spelled.take(pa.array(codes[first + j])) for j in range(k)], " "), np.bincount(ids, minlength=len(pairs))
+
+
+def _spelled(corpus: DataFrame, longest: int, parts: int, filters) -> DataFrame:
+    """(lang, k, phrase, n): all occurrences of the phrases in the filters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, codes, hashes, words in zip(*batch.columns):
+                one = np.frombuffer(codes.as_buffer(), np.int32), np.frombuffer(hashes.as_buffer(), np.uint64)
+                for k, phrases, n in _phrases(lang.as_py(), *one, words.as_py().split(" "), longest, parts, filters.value):
+                    yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()] * len(phrases), pa.string()), pa.array(np.full(len(phrases), k, np.int32)), phrases, pa.array(n.astype(np.int64))], names=["lang", "k", "phrase", "n"])
+
+    made = corpus.select("lang", "codes", "hashes", "words").mapInArrow(run, "lang string, k int, phrase string, n long")
+    return made.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
 
 
 def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
@@ -153,71 +244,46 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     occurrences; the row of k = 0 has the number of its words.
 
     Dynamic itemset counting: the corpus is dealt into shards, which are scanned in turn. Words are counted from the first scan.
-    A longer phrase is counted from the scan after that in which both its parts (all but the last, all but the first word) had
-    been seen least times, for one full cycle, so each of its occurrences counts once; short and long ones are counted in the
-    same scans. When it began follows from when its parts became frequent, so phrases needn't be announced before they are seen.
-    Parts of a frequent phrase are frequent, hence none is missed. There are at most longest cycles.
+    A longer phrase is counted from the scan after that in which all its parts had been seen least times, for one full cycle, so
+    each of its occurrences counts once; short and long ones are counted in the same scans. Parts of a frequent phrase are
+    frequent, hence none is missed. There are at most longest cycles.
 
     A null text is empty, a null language `und`. Only A-Z are lower-cased; . , ; : ! ? and line ends part pieces, spaces and
     tabs part words, phrases don't cross pieces. Repeated rows count each. An empty table gives an empty one. Other columns
     are not read.
 
-    Counts are added up in a batch, then in a task, before they are shuffled; a filter of fixed size spares the workers most of
-    the phrases that can't be frequent, and a join by text drops the rest. What a scan counts is written once, by the scan in
-    which counting began. A phrase is carried from scan to scan only once a shard has its share of `least`, as some shard must;
-    what was counted of it before is added when its cycle ends, so each of these tables is read once more.
+    Texts are parted into words once. Scans count by keys, short hashes, so that only keys and counts, packed by part, are
+    shuffled; phrases that share a key can only be counted too high. What has been frequent is a filter of fixed size, bits (a
+    power of two) in all. A bit never goes, so the scan in which all bits of a phrase were there first is the same for all
+    shards, false positives included, and its cycle is whole. A last scan spells the phrases in the filters and counts them by
+    their text, which is exact.
     """
     spark = docs.sparkSession
-    top = folder(spark)
+    top, parts = folder(spark), partitions(spark)
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     text = F.regexp_replace(F.translate(text_col, upper + "\t", lower + " "), r"[.,;:!?\x0A-\x0D]", " \n ")
     told = docs.where(F.col(text_col).isNotNull()).select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), text.alias("text"))
-    told.withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(shards)).cast("int")).write.partitionBy("shard").parquet(f"{top}/shards")
-    corpus = spark.read.schema("lang string, text string, shard int").parquet(f"{top}/shards")
-
-    share = -(-least // shards)  # of a phrase that occurs least times in a cycle, some shard of it has so many
-    key = ["lang", "k", "phrase"]
-    hot, size, last, step = None, 0, shards - 1, 0
-    while step <= last:
-        filters, frequent = None, None
-        if hot is not None:
-            frequent = hot.where(F.col("reach").isNotNull() & F.col("k").between(1, longest - 1)).select("lang", "phrase", "reach")
-            filters = spark.sparkContext.broadcast(_filters(frequent, step - shards, bits))
-        lengths = range(1 if step < shards else 2, min(longest, step + 1) + 1)
-        counted = _counted(corpus.where(F.col("shard") == step % shards).select("lang", "text"), lengths, filters, bits)
-        if frequent is None:
-            counted = counted.withColumn("start", F.lit(0))
-        else:
-            part = lambda name: _small(frequent.select("lang", F.col("phrase").alias(name), F.col("reach").alias(f"{name}_reach")), size)  # noqa: B023, E731
-            split = counted.withColumn("head", F.expr("case when k >= 2 then substring_index(phrase, ' ', k - 1) end")).withColumn("tail", F.expr("case when k >= 2 then substring_index(phrase, ' ', 1 - k) end"))
-            met = split.join(part("head"), ["lang", "head"], "left").join(part("tail"), ["lang", "tail"], "left")
-            start = F.when(F.col("k") < 2, 0).when(F.col("head_reach").isNotNull() & F.col("tail_reach").isNotNull(), 1 + F.greatest("head_reach", "tail_reach"))
-            counted = met.select(*key, "n", start.alias("start")).where((F.col("start") <= step) & (F.col("start") > step - shards))
-        counted.write.partitionBy("start").parquet(f"{top}/scan/{step}")
-        log = spark.read.schema("lang string, k int, phrase string, n long, start int").parquet(f"{top}/scan/{step}")
-        seen = [F.lit(step).alias("since"), F.lit(None).cast("int").alias("reach")]
-        risen = log.where((F.col("n") >= share) | (F.col("k") == 0)).select(*key, "n", "start", *seen)
-        rows = risen
-        if hot is not None:
-            more = log.join(_small(hot.select(*key), size), key, "left_semi").select(*key, "n", "start", *seen)
-            rows = hot.unionByName(more).unionByName(risen.join(_small(hot.select(*key), size), key, "left_anti"))
-        total = rows.groupBy(*key).agg(F.sum("n").alias("n"), F.min("start").alias("start"), F.min("since").alias("since"), F.min("reach").alias("reach"))
-        whole = lambda df: df.withColumn("reach", F.coalesce("reach", F.when((F.col("n") >= least) & (F.col("k") > 0), F.lit(step))))  # noqa: B023, E731
-        hot = store(whole(total))
-        ended = step - shards + 1  # phrases that began then have had their cycle; add what was counted before they were carried
-        if ended >= 0:
-            late = _small(hot.where((F.col("start") == ended) & (F.col("since") > ended)).select(*key, "since"), hot.count())
-            past = [spark.read.schema("lang string, k int, phrase string, n long, start int").parquet(f"{top}/scan/{at}").where(F.col("start") == ended).select(*key, F.col("n").alias("before"), F.lit(at).alias("at")) for at in range(ended, step)]
-            found = functools.reduce(DataFrame.unionByName, past).join(late, key).where(F.col("at") < F.col("since")).groupBy(*key).agg(F.sum("before").alias("before"))
-            added = hot.join(found, key, "left").withColumn("n", F.col("n") + F.coalesce("before", F.lit(0))).drop("before")
-            hot = store(whole(added).where((F.col("k") == 0) | F.col("reach").isNotNull() | (F.col("start") > ended)))
-        reached, size = hot.agg(F.max(F.when(F.col("k") < longest, F.col("reach"))), F.count("*")).first()
-        if reached is not None:
-            last = max(shards - 1, reached + shards)
-        if filters is not None:
-            filters.unpersist()
+    _encoded(told, shards).write.partitionBy("shard").parquet(f"{top}/shards")
+    corpus = spark.read.schema("lang string, codes binary, hashes binary, words string, shard int").parquet(f"{top}/shards")
+
+    none = np.zeros(bits >> 6, np.uint64)
+    seen, last, step = deque([none] * (shards + 1), shards + 1), none.copy(), 0  # the filter before each scan of a cycle and this one, and that of the longest phrases
+    log = lambda at: spark.read.schema("part int, keys binary, n binary, risen binary").parquet(*[f"{top}/scan/{i}" for i in at])
+    while step < shards or not np.array_equal(seen[-1], seen[0]):
+        filters = spark.sparkContext.broadcast((seen[-1], seen[0]))
+        counted = _counted(corpus.where(F.col("shard") == step % shards), step < shards, longest, parts, least, filters)
+        before = log(range(max(0, step - shards + 1), step)) if step and shards > 1 else spark.createDataFrame([], "part int, keys binary, n binary")
+        _merged(counted, before, least).write.parquet(f"{top}/scan/{step}")
+        filters.destroy()
+        now = seen[-1].copy()
+        for have, (index, value) in zip((now, last), _risen(log([step]), parts, bits)):
+            have[index] |= value
+        seen.append(now)
         step += 1
-    return hot.where("k = 0 or reach is not null").select(*key, "n")
+    filters = spark.sparkContext.broadcast((seen[-1], last))
+    out = store(_spelled(corpus, longest, parts, filters).where((F.col("n") >= least) | (F.col("k") == 0)))
+    filters.destroy()
+    return out
 
 
 def collocations(counts: DataFrame, top: int = TOP, covered: int = COVERED) -> DataFrame:
