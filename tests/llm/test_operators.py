@@ -126,6 +126,19 @@ def test_set_fingerprints_and_sketches_find_similar_sets():
     assert all(share < 0.5 for share, *_ in loose) and sum(agreed for *_, agreed in loose) <= 6
 
 
+@pytest.mark.parametrize("words", [simhash.WORDS, 1])
+def test_only_rows_in_doubt_move_and_a_full_filter_drops_none(spark, monkeypatch, words):
+    monkeypatch.setattr(simhash, "WORDS", words)
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.xxhash64("id", F.lit(i)).cast("string") for i in range(9)]).alias("text"))
+    docs = docs.union(docs.where("doc_id < 9")).union(docs.where("doc_id < 20").select(F.col("doc_id") + 5000, "text"))
+    rows = simhash._marked(docs, F.xxhash64("doc_id"), docs.where("doc_id >= 5000").select(F.xxhash64("doc_id").alias("hash")))
+    assert rows.where("doc_id >= 5000 and not _wt_may").count() == 0
+    assert rows.where("doc_id < 5000 and _wt_may").count() < (30 if words > 1 else 3010)
+    kept = simhash.keep_one_similar(docs)
+    assert "Union" in kept._jdf.queryExecution().optimizedPlan().toString()  # of the rows that stay and those that had to move
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(3000))
+
+
 def test_similar_sets_go_to_few_cells_and_none_is_missed(spark, monkeypatch):
     """Sets of many sizes go to the blocks around their own alone, however many blocks there are; all pairs that may have the share are found."""
     rng, np_rng = random.Random(3), np.random.default_rng(3)

@@ -30,6 +30,8 @@ STEPS, TOP_SIZE = 4, 400
 #: Bins of the sketch of a shingle set, a byte each, and by how many standard deviations the sketches of a pair may agree less than
 #: the share asks: five leave out less than one of a million pairs that have it.
 BINS, DEVIATIONS = 256, 5.0
+#: Words of 64 bits of the filter that tells which rows must move: 4 MB at most, whatever the input. A full one lets all rows move.
+WORDS = 1 << 19
 
 
 def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
@@ -348,15 +350,16 @@ def similar_links(docs: DataFrame, found: DataFrame, radius: int, width: int, sh
 
     Candidates are thinned to a spanning forest of each cell first, so that a group of near copies is verified in about as many
     pairs as it has members. Then every candidate pair that the verified ones don't connect is verified, none left out. Sketches
-    keep most pairs below the share, by a tenth or more, from moving texts.
+    keep most pairs below the share, by a tenth or more, from moving texts, and a filter of fixed size all texts that are in no pair.
     """
     nodes = cut(found.groupBy("node").agg(F.min("key").alias("key"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("counts").alias("counts"), F.first("sketch").alias("sketch")))
     of = docs.select(F.col("_key").alias("key"), as_bytes("_text").alias("text"))
 
     def verified(labelled: DataFrame, thin: bool) -> DataFrame:
         pairs = cut(candidate_pairs(labelled, radius, share, thin).distinct())
-        wanted = nodes.join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi").select("node", "key")
-        return cut(_verified(pairs, of.join(wanted, "key").groupBy("node").agg(F.first("text").alias("text")), width, share))
+        wanted = cut(nodes.join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi").select("node", "key"))
+        near = _marked(of, F.xxhash64("key.a", "key.b"), wanted.select(F.xxhash64("key.a", "key.b").alias("hash"))).where("_wt_may")
+        return cut(_verified(pairs, near.join(wanted, "key").groupBy("node").agg(F.first("text").alias("text")), width, share))
 
     plain = nodes.select("node", "fp", "n", "counts", "sketch")
     first = verified(plain.withColumn("label", F.col("node")), True)
@@ -365,11 +368,27 @@ def similar_links(docs: DataFrame, found: DataFrame, radius: int, width: int, sh
     return first.unionByName(rest)
 
 
-def _firsts(docs: DataFrame, first: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of docs whose id and row key are in (_wt_a, _wt_b), one of each."""
-    rows = docs.withColumn("_wt_key", row_key(id_col, text_col))
-    kept = rows.join(first, (rows["_wt_key"] == first["_wt_b"]) & rows[id_col].eqNullSafe(first["_wt_a"]), "left_semi")
-    return kept.dropDuplicates(["_wt_key", id_col]).drop("_wt_key")
+def _marked(rows: DataFrame, own: Column, wanted: DataFrame) -> DataFrame:
+    """rows with _wt_may: false if their hash own isn't in column hash of wanted, true if it is or, by chance, if it isn't."""
+    word = lambda h: F.pmod(h, F.lit(WORDS))
+    bit = lambda h: F.shiftrightunsigned(h, 58).cast("int")
+    bits = cut(wanted.select(word(F.col("hash")).alias("_wt_word"), bit(F.col("hash")).alias("bit")).groupBy("_wt_word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("_wt_bits")))
+    found = rows.withColumn("_wt_hash", own).withColumn("_wt_word", word(F.col("_wt_hash"))).join(F.broadcast(bits), "_wt_word", "left")
+    return found.withColumn("_wt_may", F.coalesce(F.bit_get("_wt_bits", bit(F.col("_wt_hash"))) == 1, F.lit(False))).drop("_wt_hash", "_wt_word", "_wt_bits")
+
+
+def _firsts(docs: DataFrame, keys: DataFrame, first: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs whose id and row key are in (_wt_a, _wt_b), one of each; keys has both, as key, of every row of docs.
+
+    Rows that go and repeated ones are sought by a join; all others are told from them by a filter and stay where they are.
+    """
+    first = cut(first)
+    known = keys.groupBy(F.col("key.a").alias("a"), F.col("key.b").alias("b")).agg(F.count("*").alias("n"))
+    doubt = known.join(first, (known["b"] == first["_wt_b"]) & known["a"].eqNullSafe(first["_wt_a"]), "left").where("n > 1 or _wt_b is null")
+    rows = _marked(docs.withColumn("_wt_key", row_key(id_col, text_col)), F.xxhash64(id_col, "_wt_key"), doubt.select(F.xxhash64("a", "b").alias("hash")))
+    moved = rows.where("_wt_may")
+    kept = moved.join(first, (moved["_wt_key"] == first["_wt_b"]) & moved[id_col].eqNullSafe(first["_wt_a"]), "left_semi").dropDuplicates(["_wt_key", id_col])
+    return rows.where("not _wt_may").unionByName(kept).drop("_wt_key", "_wt_may")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -379,8 +398,9 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, width: int = 4) -> DataFrame:
     """docs, all columns, with one row of each component of near_duplicates(): that of the smallest id (null first), of several with it one."""
-    first = near_duplicates(_keyed(docs, id_col, text_col), "_key", "_text", radius, width).select(F.col("component_id.a").alias("_wt_a"), F.col("component_id.b").alias("_wt_b")).distinct()
-    return _firsts(docs, first, id_col, text_col)
+    found = cut(near_duplicates(_keyed(docs, id_col, text_col), "_key", "_text", radius, width).select(F.col("doc_id").alias("key"), "component_id"))
+    first = found.select(F.col("component_id.a").alias("_wt_a"), F.col("component_id.b").alias("_wt_b")).distinct()
+    return _firsts(docs, found, first, id_col, text_col)
 
 
 def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = SIMILAR_RADIUS, width: int = SIMILAR_WIDTH, share: float = SIMILAR_SHARE) -> DataFrame:
@@ -396,7 +416,7 @@ def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     nodes = found.groupBy("node").agg(F.min("key").alias("key"))
     labelled = nodes.join(label, nodes["node"] == label["_node"], "left").select("key", F.coalesce("label", "node").alias("label"))
     first = labelled.groupBy("label").agg(F.min("key").alias("key")).select(F.col("key.a").alias("_wt_a"), F.col("key.b").alias("_wt_b"))
-    return _firsts(docs, first, id_col, text_col)
+    return _firsts(docs, found, first, id_col, text_col)
 
 
 def op1_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
