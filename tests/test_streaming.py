@@ -207,6 +207,25 @@ def scored_rows(spark, rows):
     return spark.createDataFrame(rows, "detection_id string, event_id string, arrival long, verdict string, severity string, final_risk_score double, sensor_id string, ts_us long, signature_severity string")
 
 
+def test_store_asks_for_rows_once_for_filters_and_once_to_write(spark, tmp_path):
+    """An empty store doesn't look at the keys; later a batch's rows are made for the filters and for the one shuffle to their buckets, however many segments are read."""
+    at = str(tmp_path / "s")
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = lambda low, high: spark.range(low, high).selectExpr("concat('k', id % 90) AS k", "id", "id % 7 AS v").mapInArrow(count, "k string, id long, v long")
+    store.put_new(rows(0, 50), at, "t", "k", "id", "1")
+    assert made.value == 50
+    store.commit(spark, at, "1")
+    new = store.put_new(rows(30, 130), at, "t", "k", "id", "2")
+    assert made.value == 50 + 2 * 100
+    assert sorted(tuple(r) for r in new.select("k", "id", "v").collect()) == sorted((f"k{i}", i, i % 7) for i in range(50, 90))
+
+
 def test_store(spark, tmp_path):
     """First write wins over batches; what isn't committed isn't seen; a batch again gives the same; few segments are read; compaction changes no answer."""
     at = str(tmp_path / "s")

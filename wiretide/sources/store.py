@@ -62,6 +62,8 @@ def segments(keys: DataFrame, folder: str, table: str, key: str, batch_id: str,
     """(batch, bucket) of the stored rows that may hold one of the keys: those whose filter has its bit. At most buckets x batches names."""
     spark = keys.sparkSession
     live = committed(spark, folder).where(F.col("batch") != batch_id)
+    if live.isEmpty():
+        return []
     filters = read_or_empty(spark, f"{folder}/_filters/{table}", FILTER).join(F.broadcast(live), "batch", "left_semi")
     asked = _placed(keys.select(key), key, buckets).groupBy("bucket").agg(F.collect_set("_bit").alias("_asked"))  # at most BITS numbers a bucket
     byte = lambda p: F.conv(F.hex(F.substring("bits", (p / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
@@ -69,28 +71,35 @@ def segments(keys: DataFrame, folder: str, table: str, key: str, batch_id: str,
     return [(r["batch"], r["bucket"]) for r in filters.join(asked, "bucket").where(held).select("batch", "bucket").distinct().collect()]
 
 
+def _read_segments(spark: SparkSession, found: list[tuple[str, int]], folder: str, table: str, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(schema).parquet(*[f"{folder}/{table}/batch={b}/bucket={n}" for b, n in sorted(found)])
+
+
 def stored(keys: DataFrame, folder: str, table: str, key: str, schema: T.StructType, batch_id: str, buckets: int = BUCKETS) -> DataFrame:
     """The stored rows of a table that share a key with keys, read from the segments that may hold them."""
     spark = keys.sparkSession
     found = segments(keys, folder, table, key, batch_id, buckets)
     if not found:
         return spark.createDataFrame([], schema)
-    rows = spark.read.schema(schema).parquet(*[f"{folder}/{table}/batch={b}/bucket={n}" for b, n in sorted(found)])
-    return rows.join(keys.select(key).distinct(), key, "left_semi")
+    return _read_segments(spark, found, folder, table, schema).join(keys.select(key).distinct(), key, "left_semi")
 
 
 def put_new(rows: DataFrame, folder: str, table: str, key: str, order: str, batch_id: str, buckets: int = BUCKETS) -> DataFrame:
     """Writes the rows whose key is stored nowhere, of equal keys the first by order; returns them as written. They count once the batch is committed.
 
-    Rows with a null key are left out. Repeating a batch writes over it.
+    Rows with a null key are left out. Repeating a batch writes over it. Rows and the stored keys of the segments that may hold
+    theirs meet in the bucket that is written, so rows are shuffled once.
     """
     spark = rows.sparkSession
-    named = rows.where(F.col(key).isNotNull())
-    once = named.withColumn("_place", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_place = 1").drop("_place")
-    known = stored(named, folder, table, key, T.StructType([rows.schema[key]]), batch_id, buckets)
-    new = _placed(once.join(known, key, "left_anti"), key, buckets).drop("_bit")
+    named = _placed(rows.where(F.col(key).isNotNull()), key, buckets).drop("_bit").withColumn("_stored", F.lit(False))
+    found = segments(named, folder, table, key, batch_id, buckets)
+    if found:
+        known = _placed(_read_segments(spark, found, folder, table, T.StructType([rows.schema[key]])), key, buckets).drop("_bit")
+        named = named.unionByName(known.withColumn("_stored", F.lit(True)), allowMissingColumns=True)
+    first = Window.partitionBy("bucket", key).orderBy(F.desc("_stored"), order)
+    new = named.repartition("bucket").withColumn("_place", F.row_number().over(first)).where("_place = 1 and not _stored").drop("_place", "_stored")
     path = f"{folder}/{table}/batch={batch_id}"
-    new.repartition(F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(path)
+    new.write.mode("overwrite").partitionBy("bucket").parquet(path)
     _index(spark, folder, table, key, rows.schema, batch_id, buckets)
     return spark.read.schema(rows.schema).parquet(path)
 
